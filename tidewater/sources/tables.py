@@ -28,3 +28,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def broadcast_bounded_by(df: DataFrame, bound: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` when ``bound`` — a cheap table whose row count bounds ``df``'s
+    (e.g. the catalog under a catalog-left-join) — is proven <= ``max_rows``.
+
+    Probing the bound avoids executing an expensive derived plan just to size it.
+    """
+    n = bound.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
