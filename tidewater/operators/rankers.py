@@ -154,3 +154,145 @@ def recommend_products(user_scores: DataFrame, products: DataFrame, popular: Dat
     return recs.join(cat, "item_id", "left").select(
         "user_id", "rank", F.col("item_id").alias("product_id"), "product_name", "category", "price",
         "description", "score", "source")
+
+
+# ---------------------------------------------------------------- owners
+
+def material_tfidf(materials: DataFrame) -> DataFrame:
+    docs = materials.select("material_id", F.concat(F.col("category"), F.lit(" "), F.col("description")).alias("txt"))
+    return text.tfidf(docs, "material_id", "txt")
+
+
+def owner_similarity(owner_items: DataFrame, x: DataFrame) -> DataFrame:
+    """Identity C: mean_j cos(x_i, x_j) over the owner's distinct catalog items = x_i . mean_j x_j.
+
+    (user_id, item_id, sim) for every catalog item sharing a term with the owner profile.
+    """
+    xb = F.broadcast(x.select("doc_id", "term", "weight"))  # catalog x vocabulary (checked catalog)
+    held = owner_items.select("user_id", "item_id").distinct().join(
+        xb.select(F.col("doc_id").alias("item_id")).distinct(), "item_id", "left_semi")
+    m = held.groupBy("user_id").agg(F.count("*").alias("m"))
+    prof = held.join(xb, held.item_id == xb.doc_id).groupBy("user_id", "term").agg(F.sum("weight").alias("p"))
+    prof = prof.join(m, "user_id").select("user_id", "term", (F.col("p") / F.col("m")).alias("p"))
+    s = prof.join(xb, "term").groupBy("user_id", "doc_id").agg(F.sum(F.col("p") * F.col("weight")).alias("sim"))
+    return s.select("user_id", F.col("doc_id").alias("item_id"), "sim")
+
+
+def _material_score(vol: Column, urg: Column, fs: Column, sim_: Column) -> Column:
+    from tidewater.functions import W_FORECAST, W_SIMILARITY, W_URGENCY, W_VOLUME
+    return F.lit(W_VOLUME) * vol + F.lit(W_URGENCY) * urg + F.lit(W_FORECAST) * fs + F.lit(W_SIMILARITY) * sim_
+
+
+def forecast_score(q: Column) -> Column:
+    from tidewater.functions import FORECAST_SCALE
+    return F.when(q > 0, F.least(F.lit(1.0), q / FORECAST_SCALE)).otherwise(F.lit(0.0))
+
+
+def rank_materials(cand: DataFrame, defaults: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+    """Top-k per owner over *all* catalog items, exactly.
+
+    ``cand``: (user_id, item_id, score, demand, elapsed, cycle) for pairs a
+    path reaches; ``defaults``: (item_id, score, demand) for every catalog
+    item, the score an owner gets for an item no path reaches. The default
+    picks of an owner are the first k positions of the global default order
+    that are not among the owner's candidates: positions 1..k+|cand| suffice,
+    so the fill array is bounded by the catalog. Ties: rounded score, then id.
+    """
+    order = [F.col("score").desc(), F.col("item_id").asc()]
+    d = defaults.select("item_id", r4(F.col("score")).alias("score"), "demand").withColumn(
+        "pos", F.row_number().over(Window.orderBy(*order)))  # catalog-sized global order
+    d = F.broadcast(d)
+    c = cand.withColumn("score", r4(F.col("score")))
+    cw = Window.partitionBy("user_id").orderBy(*order)
+    top_c = c.withColumn("rank", F.row_number().over(cw)).where(F.col("rank") <= k)
+    cpos = c.join(d.select("item_id", "pos"), "item_id").groupBy("user_id").agg(
+        F.collect_list("pos").alias("cpos"))
+    n_c = c.groupBy("user_id").agg(F.count("*").alias("n_c"))
+    o = owners.select("user_id").distinct().join(n_c, "user_id", "left").join(cpos, "user_id", "left")
+    o = o.select("user_id", F.coalesce("cpos", F.array().cast("array<int>")).alias("cpos"),
+                 F.coalesce("n_c", F.lit(0)).alias("n_c"))
+    fill = F.slice(F.filter(F.sequence(F.lit(1), F.lit(k) + F.col("n_c")), lambda p: ~F.array_contains(F.col("cpos"), p)), 1, k)
+    fp = o.select("user_id", F.explode(fill).alias("pos")).join(d, "pos").select(
+        "user_id", "item_id", "score", "demand", F.lit(0).alias("elapsed"), F.lit(0).alias("cycle"))
+    allc = top_c.drop("rank").unionByName(fp)
+    w = Window.partitionBy("user_id").orderBy(*order)
+    return allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def recommend_materials(features: DataFrame, materials: DataFrame, owners: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
+    """R5 feature path: 0.3 volume + 0.3 urgency + 0.2 forecast + 0.2 similarity for every catalog item."""
+    from tidewater.functions import FEATURE_PATH_ELAPSED, URGENCY_HORIZON, VOLUME_SCALE
+    sim.check_catalog(materials)
+    x = material_tfidf(materials)
+    s = owner_similarity(features, x)
+    cyc = F.col("avg_procurement_interval_days")
+    rec = features.select(
+        "user_id", "item_id",
+        F.least(F.lit(1.0), F.col("procurement_count") / VOLUME_SCALE).alias("vol"),
+        F.when(cyc > 0, F.least(F.lit(1.0), F.lit(URGENCY_HORIZON) / cyc)).otherwise(F.lit(0.5)).alias("urg"),
+        F.col("avg_procurement_quantity").alias("fq"),
+        cyc.cast("int").alias("cycle"))
+    j = s.join(rec, ["user_id", "item_id"], "full")
+    has = F.col("fq").isNotNull()
+    cand = j.select(
+        "user_id", "item_id",
+        _material_score(F.coalesce("vol", F.lit(0.0)), F.coalesce("urg", F.lit(0.0)),
+                        forecast_score(F.coalesce("fq", F.lit(0.0))), F.coalesce("sim", F.lit(0.0))).alias("score"),
+        F.round(F.coalesce("fq", F.lit(0.0)), 1).alias("demand"),
+        F.when(has, F.lit(FEATURE_PATH_ELAPSED)).otherwise(F.lit(0)).alias("elapsed"),
+        F.when(has, F.col("cycle")).otherwise(F.lit(0)).alias("cycle"))
+    defaults = materials.select(F.col("material_id").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0.0).alias("demand"))
+    return _material_output(rank_materials(cand, defaults, owners, k), materials)
+
+
+def _material_output(ranked: DataFrame, materials: DataFrame) -> DataFrame:
+    cat = F.broadcast(materials.withColumnRenamed("material_id", "item_id"))  # checked catalog
+    return ranked.join(cat, "item_id").select(
+        "user_id", F.col("rank").cast("long").alias("rank"), F.col("item_id").alias("material_id"),
+        "material_name", "category", "price", "description",
+        F.col("demand").alias("predicted_demand_qty"), F.col("elapsed").cast("long").alias("urgency_days_elapsed"),
+        F.col("cycle").cast("long").alias("urgency_cycle_days"), "score")
+
+
+def popular_materials_from_features(features: DataFrame, n: int) -> DataFrame:
+    return popular_from_features(features, n, "material_interaction_count")
+
+
+def recommend_materials_cold_start(owners: DataFrame, popular: DataFrame, materials: DataFrame, k: int) -> DataFrame:
+    """First k of the popular list with demand 50.0, elapsed 7, cycle 14, score 0.5."""
+    from tidewater.functions import COLD_CYCLE, COLD_DEMAND, COLD_ELAPSED
+    arr = owners.select("user_id").distinct().withColumn("pop", F.slice(_popular_array(popular), 1, k))
+    e = arr.select("user_id", F.posexplode("pop").alias("pos", "item_id"))
+    ranked = e.select("user_id", (F.col("pos") + 1).alias("rank"), "item_id", F.lit(COLD_START_SCORE).alias("score"),
+                      F.lit(COLD_DEMAND).alias("demand"), F.lit(COLD_ELAPSED).alias("elapsed"), F.lit(COLD_CYCLE).alias("cycle"))
+    return _material_output(ranked, materials)
+
+
+def recommend_materials_raw(events: DataFrame, materials: DataFrame, owners: DataFrame, model, k: int = DEFAULT_TOP_K) -> DataFrame:
+    """R6 raw path: counts, reorder urgency, next-week forecast and similarity for every catalog item."""
+    from tidewater.functions import DEFAULT_MEAN_QTY, VOLUME_SCALE
+    from tidewater.operators import forecasting as fc
+    sim.check_catalog(materials)
+    x = material_tfidf(materials)
+    s = owner_similarity(events, x)
+    urg = fc.reorder_urgency(events).select(
+        "user_id", "item_id", F.col("n_purchases").alias("cnt"), "urgency", "days_elapsed", "cycle_days")
+    pairs = events.select("user_id", "item_id").distinct()
+    fq = fc.forecast_next_week(events, pairs, model)
+    rec = pairs.join(fq, ["user_id", "item_id"], "left").join(urg, ["user_id", "item_id"], "left")
+    item_mean = events.groupBy("item_id").agg(F.avg("quantity").alias("im"))
+    defaults = materials.select(F.col("material_id").alias("item_id")).join(item_mean, "item_id", "left").select(
+        "item_id", F.coalesce("im", F.lit(DEFAULT_MEAN_QTY)).alias("fq"))
+    j = s.join(rec, ["user_id", "item_id"], "full").join(F.broadcast(defaults.withColumnRenamed("fq", "dfq")), "item_id", "left")
+    q = F.coalesce(F.col("forecast_qty"), F.col("dfq"), F.lit(DEFAULT_MEAN_QTY))
+    has_p = F.col("cnt").isNotNull()
+    cand = j.select(
+        "user_id", "item_id",
+        _material_score(F.when(has_p, F.least(F.lit(1.0), F.col("cnt") / VOLUME_SCALE)).otherwise(F.lit(0.0)),
+                        F.coalesce("urgency", F.lit(0.0)), forecast_score(q), F.coalesce("sim", F.lit(0.0))).alias("score"),
+        F.round(q, 1).alias("demand"),
+        F.when(has_p, F.col("days_elapsed")).otherwise(F.lit(0)).alias("elapsed"),
+        F.when(has_p, F.col("cycle_days").cast("int")).otherwise(F.lit(0)).alias("cycle"))
+    dflt = defaults.select("item_id", (F.lit(0.2) * forecast_score(F.col("fq"))).alias("score"),
+                           F.round("fq", 1).alias("demand"))
+    return _material_output(rank_materials(cand, dflt, owners, k), materials)

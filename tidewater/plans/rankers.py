@@ -121,3 +121,80 @@ def recommend_cold_start(spark, sf):
     empty = f.limit(0).select("user_id", "item_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     recs = rk.with_backfill(cold, empty, rk.popular_from_features(f), K)
     return recs.select("user_id", "rank", F.col("item_id").alias("product_id"), "score", "source")
+
+
+# ---------------------------------------------------------------- materials
+from tidewater.functions import POPULAR_MATERIALS_N  # noqa: E402
+from tidewater.operators import forecasting as fc  # noqa: E402
+from tidewater.plans.owner import OWNER_FEATURES_SQL  # noqa: E402
+from tidewater.plans.sqlblocks import tfidf_sql  # noqa: E402
+
+
+def _owner_features(spark, sf):
+    return fe.owner_features(V.owner_interactions(spark, sf), V.materials(spark, sf))
+
+
+MAT_COLS = """SELECT r.user_id, CAST(r.rank AS BIGINT) AS rank, r.item_id AS material_id, m.material_name, m.category, m.price,
+       m.description, r.demand AS predicted_demand_qty, CAST(r.elapsed AS BIGINT) AS urgency_days_elapsed,
+       CAST(r.cycle AS BIGINT) AS urgency_cycle_days, r.score FROM RKM r JOIN O_materials m ON r.item_id = m.material_id"""
+
+R5_SQL = OWNER_FEATURES_SQL + ", " + tfidf_sql(
+    "SELECT material_id AS doc_id, category || ' ' || description AS txt FROM O_materials", "MX") + f""",
+HELD AS (SELECT DISTINCT user_id, item_id FROM OF WHERE item_id IN (SELECT doc_id FROM MX)),
+MM AS (SELECT user_id, count(*) AS m FROM HELD GROUP BY 1),
+PRO AS (SELECT h.user_id, x.term, sum(x.weight) / max(mm.m) AS p FROM HELD h JOIN MX x ON h.item_id = x.doc_id JOIN MM mm USING (user_id) GROUP BY 1, 2),
+SIMS AS (SELECT p.user_id, x.doc_id AS item_id, sum(p.p * x.weight) AS sim FROM PRO p JOIN MX x USING (term) GROUP BY 1, 2),
+OWN AS (SELECT DISTINCT user_id FROM OF),
+GRID AS (SELECT o.user_id, m.material_id AS item_id FROM OWN o CROSS JOIN O_materials m),
+SC AS (SELECT g.user_id, g.item_id,
+         round(0.3 * COALESCE(least(1.0, CAST(f.procurement_count AS DOUBLE) / 15.0), 0.0)
+             + 0.3 * (CASE WHEN f.user_id IS NULL THEN 0.0 WHEN f.avg_procurement_interval_days > 0 THEN least(1.0, 7.0 / f.avg_procurement_interval_days) ELSE 0.5 END)
+             + 0.2 * (CASE WHEN COALESCE(f.avg_procurement_quantity, 0.0) > 0 THEN least(1.0, f.avg_procurement_quantity / 200.0) ELSE 0.0 END)
+             + 0.2 * COALESCE(s.sim, 0.0), 4) AS score,
+         round(COALESCE(f.avg_procurement_quantity, 0.0), 1) AS demand,
+         CASE WHEN f.user_id IS NOT NULL THEN 7 ELSE 0 END AS elapsed,
+         CASE WHEN f.user_id IS NOT NULL THEN CAST(trunc(f.avg_procurement_interval_days) AS BIGINT) ELSE 0 END AS cycle
+       FROM GRID g LEFT JOIN OF f USING (user_id, item_id) LEFT JOIN SIMS s USING (user_id, item_id)),
+RKM AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM SC QUALIFY rank <= {K})
+"""
+
+
+@query("recommend_materials", R5_SQL + MAT_COLS)
+def recommend_materials(spark, sf):
+    """R5 (feature path): every supplier in the owner feature frame, scored over the whole catalog."""
+    f = _owner_features(spark, sf)
+    return rk.recommend_materials(f, V.materials(spark, sf), f.select("user_id"), K)
+
+
+POPM_SQL = f"""
+POPM AS (SELECT item_id, row_number() OVER (ORDER BY max(material_interaction_count) DESC, item_id) AS pos
+         FROM OF GROUP BY item_id QUALIFY pos <= {POPULAR_MATERIALS_N})
+"""
+
+
+@query("popular_materials", OWNER_FEATURES_SQL + ", " + POPM_SQL + "SELECT item_id, CAST(pos AS BIGINT) AS pos FROM POPM")
+def popular_materials(spark, sf):
+    p = rk.popular_materials_from_features(_owner_features(spark, sf), POPULAR_MATERIALS_N)
+    return p.select("item_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query("recommend_materials_cold_start", OWNER_FEATURES_SQL + ", " + POPM_SQL + f""",
+COLD AS (SELECT s_suppkey AS user_id FROM supplier WHERE s_suppkey NOT IN (SELECT user_id FROM OF)),
+RKM AS (SELECT c.user_id, p.pos AS rank, p.item_id, 0.5 AS score, 50.0 AS demand, 7 AS elapsed, 14 AS cycle
+        FROM COLD c CROSS JOIN POPM p WHERE p.pos <= {K})
+""" + MAT_COLS)
+def recommend_materials_cold_start(spark, sf):
+    """Suppliers without any interaction (supplier table minus feature owners)."""
+    f = _owner_features(spark, sf)
+    sup = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("user_id"))
+    cold = sup.join(f.select("user_id").distinct(), "user_id", "left_anti")
+    return rk.recommend_materials_cold_start(cold, rk.popular_materials_from_features(f, POPULAR_MATERIALS_N),
+                                             V.materials(spark, sf), K)
+
+
+@query("recommend_materials_raw")
+def recommend_materials_raw(spark, sf):
+    """R6 (raw path) on view OK: reorder urgency + ridge forecast + similarity, every catalog key."""
+    ev = V.owner_interactions_k(spark, sf)
+    model = fc.fit_demand(ev)
+    return rk.recommend_materials_raw(ev, V.materials_k(spark, sf), ev.select("user_id"), model, K)
