@@ -1,0 +1,8 @@
+"""Streaming.
+
+The rebuilt system has no streaming operators: retraining is a periodic
+batch job, so there is nothing to map onto Structured Streaming (no
+watermark, window, trigger or state exists in it). The package is kept so a
+later incremental job (e.g. ``foreachBatch`` maintenance of affinities,
+decayed against a fixed epoch) has a home.
+"""
