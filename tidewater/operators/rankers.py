@@ -188,7 +188,8 @@ def forecast_score(q: Column) -> Column:
     return F.when(q > 0, F.least(F.lit(1.0), q / FORECAST_SCALE)).otherwise(F.lit(0.0))
 
 
-def rank_materials(cand: DataFrame, defaults: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+def rank_materials(cand: DataFrame, defaults: DataFrame, owners: DataFrame, k: int,
+                   blocked: DataFrame | None = None, score_round: int = 4) -> DataFrame:
     """Top-k per owner over *all* catalog items, exactly.
 
     ``cand``: (user_id, item_id, score, demand, elapsed, cycle) for pairs a
@@ -199,22 +200,28 @@ def rank_materials(cand: DataFrame, defaults: DataFrame, owners: DataFrame, k: i
     so the fill array is bounded by the catalog. Ties: rounded score, then id.
     """
     order = [F.col("score").desc(), F.col("item_id").asc()]
-    d = defaults.select("item_id", r4(F.col("score")).alias("score"), "demand").withColumn(
+    d = defaults.withColumn("score", F.round(F.col("score"), score_round)).withColumn(
         "pos", F.row_number().over(Window.orderBy(*order)))  # catalog-sized global order
     d = F.broadcast(d)
-    c = cand.withColumn("score", r4(F.col("score")))
+    c = cand.withColumn("score", F.round(F.col("score"), score_round))
     cw = Window.partitionBy("user_id").orderBy(*order)
     top_c = c.withColumn("rank", F.row_number().over(cw)).where(F.col("rank") <= k)
-    cpos = c.join(d.select("item_id", "pos"), "item_id").groupBy("user_id").agg(
+    taken = c.select("user_id", "item_id")
+    if blocked is not None:  # items an owner may not receive at all (e.g. already purchased)
+        taken = taken.unionByName(blocked.select("user_id", "item_id")).distinct()
+    cpos = taken.join(d.select("item_id", "pos"), "item_id").groupBy("user_id").agg(
         F.collect_list("pos").alias("cpos"))
-    n_c = c.groupBy("user_id").agg(F.count("*").alias("n_c"))
+    n_c = taken.groupBy("user_id").agg(F.count("*").alias("n_c"))
     o = owners.select("user_id").distinct().join(n_c, "user_id", "left").join(cpos, "user_id", "left")
     o = o.select("user_id", F.coalesce("cpos", F.array().cast("array<int>")).alias("cpos"),
                  F.coalesce("n_c", F.lit(0)).alias("n_c"))
     fill = F.slice(F.filter(F.sequence(F.lit(1), F.lit(k) + F.col("n_c")), lambda p: ~F.array_contains(F.col("cpos"), p)), 1, k)
-    fp = o.select("user_id", F.explode(fill).alias("pos")).join(d, "pos").select(
-        "user_id", "item_id", "score", "demand", F.lit(0).alias("elapsed"), F.lit(0).alias("cycle"))
-    allc = top_c.drop("rank").unionByName(fp)
+    extra = [c_ for c_ in d.columns if c_ not in ("item_id", "score", "pos")]
+    fp = o.select("user_id", F.explode(fill).alias("pos")).join(d, "pos").select("user_id", "item_id", "score", *extra)
+    for c_ in top_c.columns:
+        if c_ not in fp.columns and c_ != "rank":
+            fp = fp.withColumn(c_, F.lit(0))
+    allc = top_c.drop("rank").unionByName(fp, allowMissingColumns=True)
     w = Window.partitionBy("user_id").orderBy(*order)
     return allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -296,3 +303,96 @@ def recommend_materials_raw(events: DataFrame, materials: DataFrame, owners: Dat
     dflt = defaults.select("item_id", (F.lit(0.2) * forecast_score(F.col("fq"))).alias("score"),
                            F.round("fq", 1).alias("demand"))
     return _material_output(rank_materials(cand, dflt, owners, k), materials)
+
+
+# ---------------------------------------------------------------- older tree
+
+def knn_cf_scores(user_item: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """R7 CF: sum over bought items p of sim(p, o) * qty(u, p) for o among p's 20 neighbours (o != p),
+    max-normalised per user; only positive scores. ``user_item`` (user_id, item_id, qty)."""
+    nb = F.broadcast(neighbors.where(F.col("item_i") != F.col("item_j")))  # <= 20 per catalog item
+    raw = user_item.where(F.col("qty") > 0).join(nb, user_item.item_id == nb.item_i).groupBy(
+        "user_id", F.col("item_j").alias("item_id")).agg(F.sum(F.col("sim") * F.col("qty")).alias("cf"))
+    mx = F.max("cf").over(Window.partitionBy("user_id"))  # <= catalog rows per user
+    return raw.select("user_id", "item_id", F.when(mx > 0, F.col("cf") / mx).otherwise(F.col("cf")).alias("cf")).where(F.col("cf") > 0)
+
+
+def preferred_category_scores(customers: DataFrame, products: DataFrame) -> DataFrame:
+    """R11 (sparse form): (user_id, item_id, 1.0) for products in the customer's preferred category;
+    every other product of a known customer carries the default 0.3."""
+    from tidewater.functions import PREFERRED_SCORE
+    p = F.broadcast(products.select(F.col("product_id").alias("item_id"), "category"))  # checked catalog
+    return customers.join(p, customers.preferred_category == p.category).select(
+        F.col("customer_id").alias("user_id"), "item_id", F.lit(PREFERRED_SCORE).alias("content"))
+
+
+def recommend_products_knn(user_item: DataFrame, neighbors: DataFrame, customers: DataFrame, products: DataFrame,
+                           users: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
+    """0.7 * knn_cf + 0.3 * content (1.0 preferred category, else 0.3); bought items stay eligible.
+
+    Candidates are the CF keys and the preferred-category products; every
+    other product scores 0.3 * 0.3 and enters through the exact fill.
+    """
+    from tidewater.functions import KNN_W_CB, KNN_W_CF, OTHER_CATEGORY_SCORE
+    sim.check_catalog(products)
+    cf = knn_cf_scores(user_item, neighbors)
+    pref = preferred_category_scores(customers, products)
+    known = customers.select(F.col("customer_id").alias("user_id"))
+    j = cf.join(pref, ["user_id", "item_id"], "full").join(known.withColumn("known", F.lit(True)), "user_id", "left")
+    content = F.coalesce(F.col("content"), F.when(F.col("known"), F.lit(OTHER_CATEGORY_SCORE)).otherwise(F.lit(0.0)))
+    cand = j.select("user_id", "item_id", (F.lit(KNN_W_CF) * F.coalesce("cf", F.lit(0.0)) + F.lit(KNN_W_CB) * content).alias("score"))
+    cand = cand.withColumn("score", F.round("score", 9))
+    defaults = products.select(F.col("product_id").alias("item_id"), F.lit(KNN_W_CB * OTHER_CATEGORY_SCORE).alias("score"))
+    u = users.select("user_id").distinct().join(known, "user_id", "left_semi")
+    ranked = rank_materials(cand.join(u, "user_id", "left_semi"), defaults, u, k, score_round=9)
+    cat = F.broadcast(products.withColumnRenamed("product_id", "item_id"))
+    return ranked.join(cat, "item_id").select("user_id", F.col("rank").cast("long").alias("rank"),
+                                             F.col("item_id").alias("product_id"), "name", "category", "subcategory", "price", "score")
+
+
+def industry_category_scores(owners: DataFrame, rules: DataFrame, materials: DataFrame) -> DataFrame:
+    """0.5 for every catalog material in a category the owner's industry maps to (equi-joins)."""
+    from tidewater.functions import INDUSTRY_RULE_SCORE
+    m = F.broadcast(materials.select(F.col("material_id").alias("item_id"), "category"))  # checked catalog
+    oc = owners.join(F.broadcast(rules), "industry")
+    return oc.join(m, "category").select(F.col("owner_id").alias("user_id"), "item_id", F.lit(INDUSTRY_RULE_SCORE).alias("score"))
+
+
+def owner_history_summary(purchases: DataFrame) -> DataFrame:
+    """Per owner purchase count, quantity, span and the first material in history order (partial aggregates)."""
+    order = F.struct("date", "l_orderkey", "l_linenumber", "l_partkey")
+    return purchases.groupBy("owner_id").agg(
+        F.count("*").alias("n_purchases"), F.sum("quantity").cast("long").alias("total_quantity"),
+        F.min_by("material_id", order).alias("first_material_id"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+def recommend_materials_copurchase(purchases: DataFrame, materials: DataFrame, owners: DataFrame, rules: DataFrame,
+                                   co_sim: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
+    """Sum over every purchase row of co-purchase similarity to non-purchased materials,
+    + 0.5 * 0.5 for materials of the owner's industry categories (purchased ones too); reason text."""
+    from tidewater.functions import INDUSTRY_RULE_WEIGHT, REASON_SIMILAR, REASON_TRENDS
+    sim.check_catalog(materials)
+    cnt = purchases.groupBy(F.col("owner_id").alias("user_id"), F.col("material_id").alias("item_id")).agg(F.count("*").alias("c"))
+    s = F.broadcast(co_sim)  # <= catalog^2 rows (checked catalog)
+    ss = cnt.join(s, cnt.item_id == s.item_i).groupBy("user_id", F.col("item_j").alias("item_id")).agg(
+        F.sum(F.col("c") * F.col("sim")).alias("s"))
+    ss = ss.join(cnt.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn("np", F.lit(True))
+    hist_owners = cnt.select("user_id").distinct()
+    ind = industry_category_scores(owners.join(hist_owners.withColumnRenamed("user_id", "owner_id"), "owner_id", "left_semi"),
+                                   rules, materials)
+    ind = ind.select("user_id", "item_id", (F.col("score") * INDUSTRY_RULE_WEIGHT).alias("ind"))
+    j = ss.join(ind, ["user_id", "item_id"], "full")
+    purchased = cnt.select("user_id", "item_id", F.lit(True).alias("bought"))
+    j = j.join(purchased, ["user_id", "item_id"], "left")
+    cand = j.select("user_id", "item_id", (F.coalesce("s", F.lit(0.0)) + F.coalesce("ind", F.lit(0.0))).alias("score"),
+                    F.coalesce("bought", F.lit(False)).alias("bought"))
+    defaults = materials.select(F.col("material_id").alias("item_id"), F.lit(0.0).alias("score"), F.lit(False).alias("bought"))
+    ranked = rank_materials(cand, defaults, hist_owners, k, blocked=cnt.select("user_id", "item_id"), score_round=9)
+    first = owner_history_summary(purchases).select(F.col("owner_id").alias("user_id"), "first_material_id")
+    names = F.broadcast(materials.select(F.col("material_id").alias("first_material_id"), F.col("material_name").alias("first_name")))
+    ranked = ranked.join(first, "user_id", "left").join(names, "first_material_id", "left")
+    reason = F.when(F.col("bought"), F.lit(REASON_TRENDS)).otherwise(F.concat(F.lit(REASON_SIMILAR), F.col("first_name")))
+    cat = F.broadcast(materials.withColumnRenamed("material_id", "item_id"))
+    return ranked.join(cat, "item_id").select(
+        "user_id", F.col("rank").cast("long").alias("rank"), F.col("item_id").alias("material_id"), "material_name", "category",
+        F.col("price").alias("unit_cost"), F.round("score", 6).alias("score"), reason.alias("reason"))

@@ -198,3 +198,123 @@ def recommend_materials_raw(spark, sf):
     ev = V.owner_interactions_k(spark, sf)
     model = fc.fit_demand(ev)
     return rk.recommend_materials_raw(ev, V.materials_k(spark, sf), ev.select("user_id"), model, K)
+
+
+# ---------------------------------------------------------------- older tree (views T, M)
+from tidewater.functions import KNN_NEIGHBORS  # noqa: E402
+from tidewater.operators import similarity as simop  # noqa: E402
+from tidewater.plans.sqlblocks import colcos_sql  # noqa: E402
+
+TV = with_views("T", "T_products", "T_customers")
+
+
+def _knn_inputs(spark, sf):
+    simop.check_catalog(V.products_k(spark, sf))
+    t = V.transactions(spark, sf)
+    nb = simop.top_neighbors(simop.column_cosine(t, "customer_id", "product_id", "quantity"), KNN_NEIGHBORS, include_self=True)
+    ui = t.groupBy(F.col("customer_id").alias("user_id"), F.col("product_id").alias("item_id")).agg(
+        F.sum("quantity").cast("double").alias("qty"))
+    return t, nb, ui
+
+
+KNN_SQL = TV + ", " + colcos_sql("T", "customer_id", "product_id", "quantity") + f""",
+NB AS (SELECT item_i, item_j, sim FROM (SELECT *, row_number() OVER (PARTITION BY item_i ORDER BY round(sim, 9) DESC, item_j) AS rk FROM SIM)
+       WHERE rk <= {KNN_NEIGHBORS} AND item_i <> item_j),
+UI AS (SELECT customer_id AS user_id, product_id AS item_id, CAST(sum(quantity) AS DOUBLE) AS qty FROM T GROUP BY 1, 2),
+RAWK AS (SELECT u.user_id, n.item_j AS item_id, sum(n.sim * u.qty) AS cf FROM UI u JOIN NB n ON u.item_id = n.item_i WHERE u.qty > 0 GROUP BY 1, 2),
+KC AS (SELECT user_id, item_id, CASE WHEN max(cf) OVER (PARTITION BY user_id) > 0 THEN cf / max(cf) OVER (PARTITION BY user_id) ELSE cf END AS cf FROM RAWK)
+"""
+
+
+@query("knn_cf_scores", KNN_SQL + "SELECT user_id, item_id, round(cf, 6) AS cf FROM KC WHERE cf > 0")
+def knn_cf_scores(spark, sf):
+    """R7 CF part: neighbour-weighted purchase quantities, max-normalised per customer."""
+    _, nb, ui = _knn_inputs(spark, sf)
+    return rk.knn_cf_scores(ui, nb).select("user_id", "item_id", r6(F.col("cf")).alias("cf"))
+
+
+@query("preferred_category_scores", TV + """
+SELECT c.customer_id AS user_id, p.product_id AS item_id, 1.0 AS content FROM T_customers c JOIN T_products p ON c.preferred_category = p.category""")
+def preferred_category_scores(spark, sf):
+    """R11 sparse form: 1.0 for preferred-category products (all others default to 0.3)."""
+    return rk.preferred_category_scores(V.customers_t(spark, sf), V.products_k(spark, sf))
+
+
+@query("recommend_products_knn", KNN_SQL + f""",
+USERS AS (SELECT DISTINCT customer_id AS user_id FROM T WHERE customer_id IN (SELECT customer_id FROM T_customers)),
+SCK AS (SELECT u.user_id, p.product_id AS item_id,
+               round(0.7 * COALESCE(kc.cf, 0.0) + 0.3 * CASE WHEN p.category = c.preferred_category THEN 1.0 ELSE 0.3 END, 9) AS score
+        FROM USERS u CROSS JOIN T_products p JOIN T_customers c ON u.user_id = c.customer_id
+        LEFT JOIN KC kc ON kc.user_id = u.user_id AND kc.item_id = p.product_id),
+RKK AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM SCK QUALIFY rank <= {K})
+SELECT r.user_id, CAST(r.rank AS BIGINT) AS rank, r.item_id AS product_id, p.name, p.category, p.subcategory, p.price,
+       round(r.score, 6) AS score FROM RKK r JOIN T_products p ON r.item_id = p.product_id""")
+def recommend_products_knn(spark, sf):
+    """Every customer with transactions, KNN CF + preferred-category content, bought items eligible."""
+    t, nb, ui = _knn_inputs(spark, sf)
+    out = rk.recommend_products_knn(ui, nb, V.customers_t(spark, sf), V.products_k(spark, sf), ui.select("user_id"), K)
+    return out.withColumn("score", r6(F.col("score")))
+
+
+MV = with_views("M", "OK_materials", "M_owners", "RULES")
+
+
+@query("industry_category_scores", MV + """
+SELECT o.owner_id AS user_id, k.material_id AS item_id, 0.5 AS score
+FROM M_owners o JOIN RULES r ON o.industry = r.industry JOIN OK_materials k ON k.category = r.category""")
+def industry_category_scores(spark, sf):
+    """Rule score 0.5 for materials in the owner's industry categories."""
+    return rk.industry_category_scores(V.brand_owners(spark, sf), V.industry_rules(spark), V.materials_k(spark, sf))
+
+
+@query("owner_history", MV + """
+SELECT owner_id, count(*) AS n_purchases, CAST(sum(quantity) AS BIGINT) AS total_quantity,
+       first(material_id ORDER BY date, l_orderkey, l_linenumber, l_partkey) AS first_material_id,
+       min(date) AS first_date, max(date) AS last_date FROM M GROUP BY owner_id""")
+def owner_history(spark, sf):
+    """Per-owner purchase history summary (the parts of the history list the ranker reads)."""
+    return rk.owner_history_summary(V.owner_purchases(spark, sf))
+
+
+@query("popular_purchases", MV + f"""
+SELECT material_id, count(*) AS n, 1.0 AS score, 'Popular material' AS reason FROM M GROUP BY 1 ORDER BY n DESC, material_id LIMIT {K}""")
+def popular_purchases(spark, sf):
+    """Cold-start list: most purchased materials (purchase rows), score 1.0."""
+    from tidewater.operators import profiling as pf
+    from tidewater.functions import REASON_POPULAR
+    t = pf.top_n(V.owner_purchases(spark, sf), "material_id", K)
+    return t.select("material_id", "n", F.lit(1.0).alias("score"), F.lit(REASON_POPULAR).alias("reason"))
+
+
+COP_SQL = MV + """,
+DM AS (SELECT DISTINCT owner_id, material_id FROM M),
+CO AS (SELECT a.material_id AS ma, b.material_id AS mb, count(*) AS n FROM DM a JOIN DM b ON a.owner_id = b.owner_id GROUP BY 1, 2),
+""" + colcos_sql("CO", "mb", "ma", "n") + f""",
+CNT AS (SELECT owner_id AS user_id, material_id AS item_id, count(*) AS c FROM M GROUP BY 1, 2),
+HO AS (SELECT DISTINCT user_id FROM CNT),
+SSC AS (SELECT c.user_id, s.item_j AS item_id, sum(c.c * s.sim) AS s FROM CNT c JOIN SIM s ON c.item_id = s.item_i GROUP BY 1, 2),
+IND AS (SELECT o.owner_id AS user_id, k.material_id AS item_id, 0.25 AS ind
+        FROM M_owners o JOIN RULES r ON o.industry = r.industry JOIN OK_materials k ON k.category = r.category
+        WHERE o.owner_id IN (SELECT user_id FROM HO)),
+GR AS (SELECT h.user_id, k.material_id AS item_id FROM HO h CROSS JOIN OK_materials k),
+SCO AS (SELECT g.user_id, g.item_id, round(CASE WHEN c.user_id IS NULL THEN COALESCE(ss.s, 0.0) ELSE 0.0 END + COALESCE(i.ind, 0.0), 9) AS score, c.user_id IS NOT NULL AS bought
+        FROM GR g LEFT JOIN SSC ss USING (user_id, item_id) LEFT JOIN IND i USING (user_id, item_id) LEFT JOIN CNT c USING (user_id, item_id)
+        WHERE c.user_id IS NULL OR i.ind IS NOT NULL),
+RKC AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM SCO QUALIFY rank <= {K}),
+FM AS (SELECT owner_id AS user_id, first(material_id ORDER BY date, l_orderkey, l_linenumber, l_partkey) AS fm FROM M GROUP BY 1)
+SELECT r.user_id, CAST(r.rank AS BIGINT) AS rank, r.item_id AS material_id, k.material_name, k.category, k.price AS unit_cost,
+       round(r.score, 6) AS score,
+       CASE WHEN r.bought THEN 'Based on production trends' ELSE 'Similar to ' || f.material_name END AS reason
+FROM RKC r JOIN OK_materials k ON r.item_id = k.material_id JOIN FM ON FM.user_id = r.user_id
+JOIN OK_materials f ON f.material_id = FM.fm"""
+
+
+@query("recommend_materials_copurchase", COP_SQL)
+def recommend_materials_copurchase(spark, sf):
+    """Co-purchase similarity over every purchase row + industry rules, with reasons."""
+    mats = V.materials_k(spark, sf)
+    simop.check_catalog(mats)
+    m = V.owner_purchases(spark, sf)
+    co = simop.cooccurrence(m, "owner_id", "material_id").withColumn("n", F.col("n_owners").cast("double"))
+    co_sim = simop.column_cosine(co, "item_b", "item_a", "n")
+    return rk.recommend_materials_copurchase(m, mats, V.brand_owners(spark, sf), V.industry_rules(spark), co_sim, K)
