@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("customer", "owner", "similarity", "rankers", "forecast", "evaluation", "profiling", "io")
+_MODULES = ("customer", "owner", "similarity", "rankers", "forecast", "evaluation", "profiling", "io", "notebook")
 
 
 def query(key: str, sql: str | None = None):
