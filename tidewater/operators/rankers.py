@@ -396,3 +396,106 @@ def recommend_materials_copurchase(purchases: DataFrame, materials: DataFrame, o
     return ranked.join(cat, "item_id").select(
         "user_id", F.col("rank").cast("long").alias("rank"), F.col("item_id").alias("material_id"), "material_name", "category",
         F.col("price").alias("unit_cost"), F.round("score", 6).alias("score"), reason.alias("reason"))
+
+
+# ---------------------------------------------------------------- vectorised catalog scoring
+
+# Dense item x term matrix cells we are willing to broadcast (8 bytes each).
+MAX_DENSE_CELLS = 20_000_000
+
+
+def _round_half_up(values, places: int):
+    """Spark-compatible HALF_UP rounding of doubles (on their shortest decimal repr)."""
+    from decimal import ROUND_HALF_UP, Decimal
+    q = Decimal(1).scaleb(-places)
+    return [float(Decimal(repr(float(v))).quantize(q, rounding=ROUND_HALF_UP)) for v in values]
+
+
+def dense_catalog(x: DataFrame, catalog_ids: DataFrame):
+    """(sorted item ids, term index, dense L2-normalised TF-IDF matrix) of a checked catalog, or None if too big."""
+    import numpy as np
+    n_items = catalog_ids.count()
+    n_terms = x.select("term").distinct().count()
+    if n_items * max(n_terms, 1) > MAX_DENSE_CELLS:
+        return None
+    ids = np.array(sorted(r[0] for r in catalog_ids.collect()), dtype=np.int64)
+    rows = x.select("doc_id", "term", "weight").collect()
+    terms = sorted({r.term for r in rows})
+    tix = {t: i for i, t in enumerate(terms)}
+    m = np.zeros((len(ids), len(terms)))
+    pos = np.searchsorted(ids, np.array([r.doc_id for r in rows], dtype=np.int64))
+    for p, r in zip(pos, rows):
+        m[p, tix[r.term]] = r.weight
+    return ids, tix, m
+
+
+def recommend_materials_dense(features: DataFrame, materials: DataFrame, owners: DataFrame, k: int = DEFAULT_TOP_K):
+    """R5 with per-owner vectorised scoring of the whole catalog; None when the dense catalog is too big.
+
+    Each owner group carries only its term profile (<= vocabulary) and its
+    record rows (<= catalog), so a hot owner costs no more than any other;
+    each group emits just its top-k.
+    """
+    import numpy as np
+    import pandas as pd
+    from tidewater.functions import (FEATURE_PATH_ELAPSED, FORECAST_SCALE, URGENCY_HORIZON, VOLUME_SCALE,
+                                     W_FORECAST, W_SIMILARITY, W_URGENCY, W_VOLUME)
+    sim.check_catalog(materials)
+    x = material_tfidf(materials)
+    dense = dense_catalog(x, materials.select("material_id"))
+    if dense is None:
+        return None
+    spark = features.sparkSession
+    bc = spark.sparkContext.broadcast(dense)
+    xb = F.broadcast(x.select("doc_id", "term", "weight"))
+    held = features.select("user_id", "item_id").distinct().join(
+        xb.select(F.col("doc_id").alias("item_id")).distinct(), "item_id", "left_semi")
+    m = held.groupBy("user_id").agg(F.count("*").alias("m"))
+    prof = held.join(xb, held.item_id == xb.doc_id).groupBy("user_id", "term").agg(F.sum("weight").alias("p"))
+    prof = prof.join(m, "user_id").select("user_id", "term", (F.col("p") / F.col("m")).alias("p"))
+    prof = owners.select("user_id").distinct().join(prof, "user_id", "left")
+    rec = features.select(F.col("user_id").alias("owner_key"), "item_id", F.col("procurement_count").cast("double").alias("cnt"),
+                          F.col("avg_procurement_interval_days").alias("cyc"), F.col("avg_procurement_quantity").alias("fq"))
+
+    def score(key, pp: pd.DataFrame, rr: pd.DataFrame) -> pd.DataFrame:
+        ids, tix, mat = bc.value
+        q = np.zeros(mat.shape[1])
+        for t, p in zip(pp["term"], pp["p"]):
+            if t is not None and t in tix:
+                q[tix[t]] = p
+        sims = mat @ q
+        vol = np.zeros(len(ids)); urg = np.zeros(len(ids)); fs = np.zeros(len(ids))
+        demand = np.zeros(len(ids)); elapsed = np.zeros(len(ids), dtype=np.int64); cycle = np.zeros(len(ids), dtype=np.int64)
+        if len(rr):
+            pos = np.searchsorted(ids, rr["item_id"].to_numpy(np.int64))
+            ok = (pos < len(ids)) & (ids[np.minimum(pos, len(ids) - 1)] == rr["item_id"].to_numpy(np.int64))
+            pos, r_ = pos[ok], rr[ok]
+            c = r_["cyc"].to_numpy(float)
+            f = r_["fq"].to_numpy(float)
+            vol[pos] = np.minimum(1.0, r_["cnt"].to_numpy(float) / VOLUME_SCALE)
+            urg[pos] = np.where(c > 0, np.minimum(1.0, URGENCY_HORIZON / np.where(c > 0, c, 1.0)), 0.5)
+            fs[pos] = np.where(f > 0, np.minimum(1.0, f / FORECAST_SCALE), 0.0)
+            demand[pos] = _round_half_up(f, 1)
+            elapsed[pos] = FEATURE_PATH_ELAPSED
+            cycle[pos] = np.trunc(c).astype(np.int64)
+        raw = W_VOLUME * vol + W_URGENCY * urg + W_FORECAST * fs + W_SIMILARITY * sims
+        # exact rounded top-k: round only the items that can reach it
+        kth = np.sort(raw)[::-1][min(k, len(raw)) - 1] if len(raw) else 0.0
+        near = np.nonzero(raw >= kth - 1e-4)[0]
+        rs = np.array(_round_half_up(raw[near], 4))
+        order = np.lexsort((ids[near], -rs))[:k]
+        sel = near[order]
+        return pd.DataFrame({"user_id": np.full(len(sel), key[0], dtype=np.int64), "rank": np.arange(1, len(sel) + 1, dtype=np.int64),
+                             "item_id": ids[sel], "score": rs[order], "demand": demand[sel],
+                             "elapsed": elapsed[sel], "cycle": cycle[sel]})
+
+    schema = "user_id long, rank long, item_id long, score double, demand double, elapsed long, cycle long"
+    ranked = prof.groupBy("user_id").cogroup(rec.groupBy("owner_key")).applyInPandas(score, schema)
+    return _material_output(ranked, materials)
+
+
+def recommend_materials_best(features: DataFrame, materials: DataFrame, owners: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
+    """R5 entry point: vectorised per-owner scoring when the dense catalog fits the broadcast bound,
+    else the join formulation (same results)."""
+    dense = recommend_materials_dense(features, materials, owners, k)
+    return dense if dense is not None else recommend_materials(features, materials, owners, k)

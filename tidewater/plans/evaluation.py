@@ -132,7 +132,7 @@ def eval_materials(spark, sf):
     mats = V.materials(spark, sf)
     feats = fe.owner_features(train, mats)
     rel = ev.relevance(test, ("purchase", "reorder")).join(feats.select("user_id").distinct(), "user_id", "left_semi")
-    recs = rk.recommend_materials(feats, mats, rel.select("user_id"), 5)
+    recs = rk.recommend_materials_best(feats, mats, rel.select("user_id"), 5)
     m = ev.ranking_metrics(recs.select("user_id", "rank", F.col("material_id").alias("item_id")), rel, (5,), "owner_")
     return m.where(~F.col("metric").startswith("owner_ndcg")).select("metric", r6(F.col("value")).alias("value"))
 

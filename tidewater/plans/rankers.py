@@ -163,7 +163,8 @@ RKM AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, i
 def recommend_materials(spark, sf):
     """R5 (feature path): every supplier in the owner feature frame, scored over the whole catalog."""
     f = _owner_features(spark, sf)
-    return rk.recommend_materials(f, V.materials(spark, sf), f.select("user_id"), K)
+    mats = V.materials(spark, sf)
+    return rk.recommend_materials_best(f, mats, f.select("user_id"), K)
 
 
 POPM_SQL = f"""
