@@ -179,3 +179,26 @@ def test_svd_projector_matches_numpy_truncated_svd(spark):
     rk_ = (u[:, :k] * s[:k]) @ vt[:k]
     assert got and all(math.isclose(v, rk_[a, b], abs_tol=1e-9) for (a, b), v in got.items())
     assert all(r[a, b] == 0 for (a, b) in got)  # only unrated items are scored
+
+
+def test_dense_personal_matches_join_formulation(spark):
+    rng = np.random.default_rng(11)
+    cat = ["alpha beta", "beta gamma", "gamma delta", "delta alpha", "epsilon"]
+    products = spark.createDataFrame([(i, f"p{i}", "cat", 1.0, cat[i % 5] + f" w{i % 3}") for i in range(15)], rk_products_schema())
+    rows = [(u, i, (None if (u + i) % 11 == 0 else float(rng.integers(1, 6)))) for u in range(25) for i in range(15)
+            if rng.random() < 0.3]
+    scores = spark.createDataFrame(rows, "user_id long, item_id long, score double")
+    a = {(r.user_id, r.rank): (r.item_id, r.score) for r in rk.personal_top_k_dense(scores, products, 5).collect()}
+    b = {(r.user_id, r.rank): (r.item_id, r.score) for r in rk.personal_top_k(rk.hybrid_scores(scores, products), 5).collect()}
+    assert a and a == b
+
+
+def test_dense_gramian_matches_numpy(spark):
+    from tidewater.operators import dense as dn
+    rng = np.random.default_rng(5)
+    r = np.where(rng.random((40, 9)) < 0.4, rng.integers(1, 5, (40, 9)), 0).astype(float)
+    df = spark.createDataFrame([(u, i, float(r[u, i])) for u in range(40) for i in range(9) if r[u, i]],
+                               "user_id long, item_id long, v double").repartition(3)
+    g = {(x.item_i, x.item_j): x.g for x in dn.gramian(df, "user_id", "item_id", "v", np.arange(9)).collect()}
+    ref = r.T @ r
+    assert all(math.isclose(g.get((i, j), 0.0), ref[i, j]) for i in range(9) for j in range(9))

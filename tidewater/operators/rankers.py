@@ -499,3 +499,69 @@ def recommend_materials_best(features: DataFrame, materials: DataFrame, owners:
     else the join formulation (same results)."""
     dense = recommend_materials_dense(features, materials, owners, k)
     return dense if dense is not None else recommend_materials(features, materials, owners, k)
+
+
+def personal_top_k_dense(user_scores: DataFrame, products: DataFrame, k: int, alpha: float = HYBRID_ALPHA):
+    """R3 personal picks with vectorised per-user scoring; None when the catalog is too big for dense blocks.
+
+    Same semantics as ``personal_top_k(hybrid_scores(...))``: CF from the
+    column-cosine matrix (partial Gramians summed by a shuffle), content from
+    the dense TF-IDF matrix, min-max over the whole catalog row, seen items
+    suppressed, positive scores only, ranked on 9-place scores then id.
+    """
+    import numpy as np
+    import pandas as pd
+    from tidewater.operators import dense as dn
+    n = sim.check_catalog(products)
+    if n > dn.MAX_GRAM_CATALOG:
+        return None
+    x = product_tfidf(products)
+    cat = dense_catalog(x, products.select("product_id"))
+    if cat is None:
+        return None
+    ids, _, xm = cat
+    r = catalog_scores(user_scores, products)
+    s = dn.cosine_from_gramian(dn.gramian(r, "user_id", "item_id", "score", ids).collect(), ids)  # <= catalog^2
+    den = np.abs(s).sum(axis=1)
+    den = np.where(den == 0, 1.0, den)
+    bc = r.sparkSession.sparkContext.broadcast((ids, s, den, xm))
+
+    def mm(a):
+        lo, hi = a.min(axis=1, keepdims=True), a.max(axis=1, keepdims=True)
+        return np.where(hi > lo, (a - lo) / np.where(hi > lo, hi - lo, 1.0), a)
+
+    def score(it):
+        ids_, s_, den_, x_ = bc.value
+        for users, m in dn.user_blocks(it, "user_id", "item_id", "score", ids_):
+            h = (1.0 - alpha) * mm((m @ s_) / den_) + alpha * mm((m @ x_) @ x_.T)
+            h = np.where(m > 0, -1.0, h)
+            key = np.round(h, 9)
+            out_u, out_i, out_s, out_r = [], [], [], []
+            for row in range(len(users)):
+                cand = np.nonzero(h[row] > 0)[0]
+                if not len(cand):
+                    continue
+                order = cand[np.lexsort((ids_[cand], -key[row, cand]))][:k]
+                out_u += [users[row]] * len(order)
+                out_i += list(ids_[order])
+                out_s += _round_half_up(h[row, order], 4)
+                out_r += list(range(1, len(order) + 1))
+            if out_u:
+                yield pd.DataFrame({"user_id": np.array(out_u, dtype=np.int64), "item_id": np.array(out_i, dtype=np.int64),
+                                    "score": out_s, "rank": np.array(out_r, dtype=np.int32)})
+
+    from tidewater.operators.dense import sorted_by
+    return sorted_by(r, "user_id").mapInPandas(score, "user_id long, item_id long, score double, rank int")
+
+
+def recommend_products_best(user_scores: DataFrame, products: DataFrame, popular: DataFrame, users: DataFrame,
+                            k: int = DEFAULT_TOP_K, alpha: float = HYBRID_ALPHA) -> DataFrame:
+    """``recommend_products`` with the vectorised personal stage when the catalog allows it."""
+    personal = personal_top_k_dense(user_scores, products, k, alpha)
+    if personal is None:
+        return recommend_products(user_scores, products, popular, users, k, alpha)
+    recs = with_backfill(users, personal, popular, k)
+    cat = F.broadcast(products.withColumnRenamed("product_id", "item_id"))  # checked catalog
+    return recs.join(cat, "item_id", "left").select(
+        "user_id", "rank", F.col("item_id").alias("product_id"), "product_name", "category", "price",
+        "description", "score", "source")

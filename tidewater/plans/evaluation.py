@@ -113,7 +113,7 @@ def eval_products(spark, sf):
     feats, rel = _customer_split(spark, sf)
     scores = feats.select("user_id", "item_id", F.col("weighted_score").alias("score"))
     users = rel.select("user_id").distinct()
-    recs = rk.recommend_products(scores, V.products(spark, sf), rk.popular_from_features(feats), users, 10)
+    recs = rk.recommend_products_best(scores, V.products(spark, sf), rk.popular_from_features(feats), users, 10)
     m = ev.ranking_metrics(recs.select("user_id", "rank", F.col("product_id").alias("item_id")), rel, (5, 10))
     return m.select("metric", r6(F.col("value")).alias("value"))
 

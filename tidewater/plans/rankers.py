@@ -94,7 +94,7 @@ def recommend_products(spark, sf):
     """Flagship R3/R4 (feature path): top-5 hybrid picks for every customer in the feature frame."""
     f = _features(spark, sf)
     scores = f.select("user_id", "item_id", F.col("weighted_score").alias("score"))
-    return rk.recommend_products(scores, V.products(spark, sf), rk.popular_from_features(f), f.select("user_id"), K)
+    return rk.recommend_products_best(scores, V.products(spark, sf), rk.popular_from_features(f), f.select("user_id"), K)
 
 
 RAW_HY = with_views("C", "C_products") + f""", R0 AS (SELECT user_id, item_id, sum({raw_weight_sql()}) AS score FROM C GROUP BY 1, 2),
@@ -106,7 +106,7 @@ def recommend_products_raw(spark, sf):
     """Raw path: weights view/click/purchase (case-sensitive), popularity by purchases then events."""
     c = V.customer_interactions(spark, sf)
     scores = fe.raw_user_item_scores(c)
-    return rk.recommend_products(scores, V.products(spark, sf), rk.popular_from_events(c), c.select("user_id"), K)
+    return rk.recommend_products_best(scores, V.products(spark, sf), rk.popular_from_events(c), c.select("user_id"), K)
 
 
 @query("recommend_cold_start", CUSTOMER_FEATURES_SQL + ", " + POPF_SQL + f""",

@@ -20,13 +20,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_PROBES: dict[tuple[int, int, int], int] = {}
+
+
+def bounded_count(df: DataFrame, limit: int) -> int:
+    """``min(count, limit + 1)`` via ``limit(limit + 1).count()`` (stops early on big inputs).
+
+    Memoised per session on the plan's semantic hash, so re-probing the same
+    dimension table within a job costs nothing.
+    """
+    key = (id(df.sparkSession), df.semanticHash(), limit)
+    if key not in _PROBES:
+        _PROBES[key] = df.limit(limit + 1).count()
+    return _PROBES[key]
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only when its row count is proven <= ``max_rows``.
 
     The probe is ``limit(max_rows + 1).count()`` so an oversized side stops
     early; the fallback keeps the planner's shuffle join.
     """
-    n = df.limit(max_rows + 1).count()
+    n = bounded_count(df, max_rows)
     return F.broadcast(df) if n <= max_rows else df
 
 
@@ -36,5 +51,5 @@ def broadcast_bounded_by(df: DataFrame, bound: DataFrame, max_rows: int = BROADC
 
     Probing the bound avoids executing an expensive derived plan just to size it.
     """
-    n = bound.limit(max_rows + 1).count()
+    n = bounded_count(bound, max_rows)
     return F.broadcast(df) if n <= max_rows else df
