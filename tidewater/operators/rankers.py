@@ -10,6 +10,7 @@ catalog-many rows, and top-k uses ``row_number <= k`` (WindowGroupLimit).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -520,7 +521,8 @@ def personal_top_k_dense(user_scores: DataFrame, products: DataFrame, k: int, al
     if cat is None:
         return None
     ids, _, xm = cat
-    r = catalog_scores(user_scores, products)
+    # read twice (Gramian job, then scoring): keep it; lineage-backed, so lost executors recompute
+    r = catalog_scores(user_scores, products).persist(StorageLevel.MEMORY_AND_DISK)
     s = dn.cosine_from_gramian(dn.gramian(r, "user_id", "item_id", "score", ids).collect(), ids)  # <= catalog^2
     den = np.abs(s).sum(axis=1)
     den = np.where(den == 0, 1.0, den)

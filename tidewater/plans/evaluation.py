@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tidewater.functions import HYBRID_ALPHA, POPULAR_MATERIALS_N, TRAIN_FRACTION, r6
@@ -62,7 +63,7 @@ REL AS (SELECT DISTINCT user_id, item_id FROM C_TEST WHERE interaction_type IN (
 def _customer_split(spark, sf):
     c = V.customer_interactions(spark, sf)
     train, test = ev.temporal_split(c, C_ORDER, TRAIN_FRACTION)
-    feats = fe.customer_features(train, V.products(spark, sf))
+    feats = fe.customer_features(train, V.products(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
     rel = ev.relevance(test, ("purchase", "click")).join(feats.select("user_id").distinct(), "user_id", "left_semi")
     return feats, rel
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tidewater.functions import HYBRID_ALPHA, POPULAR_PRODUCTS_N, r6
@@ -17,8 +18,10 @@ from tidewater.sources.tables import read_table
 K = 5
 
 
-def _features(spark, sf):
-    return fe.customer_features(V.customer_interactions(spark, sf), V.products(spark, sf))
+def _features(spark, sf, keep: bool = False):
+    f = fe.customer_features(V.customer_interactions(spark, sf), V.products(spark, sf))
+    # the ranker reads the frame three times (scores, popular list, users); keep one copy
+    return f.persist(StorageLevel.MEMORY_AND_DISK) if keep else f
 
 
 def _feature_scores(spark, sf):
@@ -92,7 +95,7 @@ REC_COLS = """SELECT r.user_id, r.rank, r.item_id AS product_id, p.product_name,
 @query("recommend_products", FEAT_HY + ", " + POPF_SQL + ", " + topk_backfill_sql("R0", "POPF", K) + REC_COLS)
 def recommend_products(spark, sf):
     """Flagship R3/R4 (feature path): top-5 hybrid picks for every customer in the feature frame."""
-    f = _features(spark, sf)
+    f = _features(spark, sf, keep=True)
     scores = f.select("user_id", "item_id", F.col("weighted_score").alias("score"))
     return rk.recommend_products_best(scores, V.products(spark, sf), rk.popular_from_features(f), f.select("user_id"), K)
 
@@ -130,8 +133,9 @@ from tidewater.plans.owner import OWNER_FEATURES_SQL  # noqa: E402
 from tidewater.plans.sqlblocks import tfidf_sql  # noqa: E402
 
 
-def _owner_features(spark, sf):
-    return fe.owner_features(V.owner_interactions(spark, sf), V.materials(spark, sf))
+def _owner_features(spark, sf, keep: bool = False):
+    f = fe.owner_features(V.owner_interactions(spark, sf), V.materials(spark, sf))
+    return f.persist(StorageLevel.MEMORY_AND_DISK) if keep else f
 
 
 MAT_COLS = """SELECT r.user_id, CAST(r.rank AS BIGINT) AS rank, r.item_id AS material_id, m.material_name, m.category, m.price,
@@ -162,7 +166,7 @@ RKM AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, i
 @query("recommend_materials", R5_SQL + MAT_COLS)
 def recommend_materials(spark, sf):
     """R5 (feature path): every supplier in the owner feature frame, scored over the whole catalog."""
-    f = _owner_features(spark, sf)
+    f = _owner_features(spark, sf, keep=True)
     mats = V.materials(spark, sf)
     return rk.recommend_materials_best(f, mats, f.select("user_id"), K)
 
