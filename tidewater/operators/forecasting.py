@@ -8,6 +8,7 @@ driver. Predictions for every (owner, item) pair are one grouped pass.
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +100,8 @@ def solve_ridge(m: dict, features=FORECAST_FEATURES, alpha: float = RIDGE_ALPHA)
 
 
 def fit_demand(events: DataFrame) -> tuple[float, list[float]]:
-    row = ridge_moments(training_set(events)).first().asDict()
+    """D2 fit from the sparse moment computation (equal to the dense training-set moments)."""
+    row = sparse_training_moments(events).first().asDict()
     return solve_ridge(row)
 
 
@@ -165,3 +167,60 @@ def reorder_urgency(events: DataFrame) -> DataFrame:
     elapsed = F.floor(days_between(F.col("last_purchase"), newest)).cast("long")
     c = c.withColumn("days_elapsed", elapsed)
     return c.withColumn("urgency", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("days_elapsed") / F.col("cycle_days"))))
+
+
+def sparse_training_moments(events: DataFrame) -> DataFrame:
+    """Exactly ``ridge_moments(training_set(events))`` without materialising the dense week grid.
+
+    A kept grid row t (t >= first week + 3 weeks) has x = (q[t-1], q[t-2], q[t-3],
+    their mean, pair mean, item mean) and y = q[t] (weeks as steps). Only rows
+    within 3 weeks after an active week can be non-zero in the first four
+    features or y; every other kept row contributes (0,0,0,0,pm,im) with y = 0,
+    so its share of the moments is a per-pair count times constants. Work is
+    proportional to active weeks, not to the date range.
+    """
+    # the weekly aggregate feeds seven branches below: keep one (lineage-backed) copy
+    wk = weekly_demand(events).select("user_id", "item_id", "week", F.col("quantity").cast("double").alias("q")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    span = wk.groupBy("user_id", "item_id").agg(F.min("week").alias("w0"), F.max("week").alias("w1"))
+    touched = wk.select("user_id", "item_id", F.explode(F.array(*[F.date_add("week", 7 * o) for o in range(4)])).alias("t")).distinct()
+    touched = touched.join(span, ["user_id", "item_id"]).where(
+        (F.col("t") <= F.col("w1")) & (F.col("t") >= F.date_add("w0", 21)))
+    qv = lambda off, name: wk.select("user_id", "item_id", F.date_add("week", off).alias("t"), F.col("q").alias(name))
+    rows = touched
+    for off, name in ((0, "quantity"), (7, "lag_1"), (14, "lag_2"), (21, "lag_3")):
+        rows = rows.join(qv(off, name), ["user_id", "item_id", "t"], "left")
+    rows = rows.select("user_id", "item_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("quantity", "lag_1", "lag_2", "lag_3")])
+    rows = rows.withColumn("rolling_mean_3", (F.col("lag_1") + F.col("lag_2") + F.col("lag_3")) / 3.0)
+    base = demand_baselines(events).persist(StorageLevel.MEMORY_AND_DISK)
+    item = base.select("item_id", "material_mean_qty").distinct()
+    pair = base.select("user_id", "item_id", "owner_mean_qty")
+    rows = rows.join(pair, ["user_id", "item_id"], "left").join(item, "item_id", "left").select(
+        "user_id", "item_id", "lag_1", "lag_2", "lag_3", "rolling_mean_3",
+        F.coalesce("owner_mean_qty", F.lit(DEFAULT_MEAN_QTY)).alias("owner_mean_qty"),
+        F.coalesce("material_mean_qty", F.lit(DEFAULT_MEAN_QTY)).alias("material_mean_qty"), "quantity")
+    n_touched = rows.groupBy("user_id", "item_id").agg(F.count("*").alias("nt"))
+    kept = span.select("user_id", "item_id", F.greatest(F.datediff("w1", "w0") / 7 + 1 - 3, F.lit(0)).cast("long").alias("nk"))
+    idle = kept.join(n_touched, ["user_id", "item_id"], "left").select(
+        "user_id", "item_id", (F.col("nk") - F.coalesce("nt", F.lit(0))).alias("c")).where(F.col("c") > 0)
+    idle = idle.join(pair, ["user_id", "item_id"], "left").join(item, "item_id", "left").select(
+        "c", F.coalesce("owner_mean_qty", F.lit(DEFAULT_MEAN_QTY)).alias("pm"),
+        F.coalesce("material_mean_qty", F.lit(DEFAULT_MEAN_QTY)).alias("im"))
+    m = ridge_moments(rows)
+    zero = {"lag_1", "lag_2", "lag_3", "rolling_mean_3"}
+    const = {"owner_mean_qty": F.col("pm"), "material_mean_qty": F.col("im")}
+    adds = [F.sum("c").alias("n")]
+    for i, a in enumerate(FORECAST_FEATURES):
+        adds.append((F.sum(F.col("c") * const[a]) if a in const else F.lit(0.0)).alias(f"s_{a}"))
+        for b in FORECAST_FEATURES[i:]:
+            prod = F.sum(F.col("c") * const[a] * const[b]) if (a in const and b in const) else F.lit(0.0)
+            adds.append(prod.alias(f"s_{a}__{b}"))
+    extra = idle.agg(*adds)
+    return _combine(m, extra)
+
+
+def _combine(m: DataFrame, extra: DataFrame) -> DataFrame:
+    """Add two one-row moment frames column-wise: union, then one aggregate."""
+    u = m.unionByName(extra.select(*[F.col(c).cast(m.schema[c].dataType).alias(c) for c in extra.columns]),
+                      allowMissingColumns=True)
+    return u.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(m.schema[c].dataType).alias(c) for c in m.columns])

@@ -81,7 +81,7 @@ def _moments_sql() -> str:
 
 @query("forecast_ridge_moments", _moments_sql())
 def forecast_ridge_moments(spark, sf):
-    m = fc.ridge_moments(fc.training_set(V.demand_interactions(spark, sf)))
+    m = fc.sparse_training_moments(V.demand_interactions(spark, sf))
     return m.select(*[F.col(c) if c == "n" else F.round(F.col(c), 0).alias(c) for c in m.columns])
 
 
