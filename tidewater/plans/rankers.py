@@ -200,7 +200,8 @@ def recommend_materials_cold_start(spark, sf):
 @query("recommend_materials_raw")
 def recommend_materials_raw(spark, sf):
     """R6 (raw path) on view OK: reorder urgency + ridge forecast + similarity, every catalog key."""
-    ev = V.owner_interactions_k(spark, sf)
+    # the view feeds the ridge fit and ~10 scoring branches: materialise it once (lineage-backed)
+    ev = V.owner_interactions_k(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     model = fc.fit_demand(ev)
     return rk.recommend_materials_raw(ev, V.materials_k(spark, sf), ev.select("user_id"), model, K)
 
