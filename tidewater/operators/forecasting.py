@@ -179,22 +179,21 @@ def sparse_training_moments(events: DataFrame) -> DataFrame:
     so its share of the moments is a per-pair count times constants. Work is
     proportional to active weeks, not to the date range.
     """
-    # the weekly aggregate feeds seven branches below: keep one (lineage-backed) copy
-    wk = weekly_demand(events).select("user_id", "item_id", "week", F.col("quantity").cast("double").alias("q")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    n_part = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one hash partitioning on (user, item) serves every aggregate and join below
+    wk = weekly_demand(events).select("user_id", "item_id", "week", F.col("quantity").cast("double").alias("q")).repartition(
+        n_part, "user_id", "item_id").persist(StorageLevel.MEMORY_AND_DISK)
     span = wk.groupBy("user_id", "item_id").agg(F.min("week").alias("w0"), F.max("week").alias("w1"))
-    touched = wk.select("user_id", "item_id", F.explode(F.array(*[F.date_add("week", 7 * o) for o in range(4)])).alias("t")).distinct()
-    touched = touched.join(span, ["user_id", "item_id"]).where(
-        (F.col("t") <= F.col("w1")) & (F.col("t") >= F.date_add("w0", 21)))
-    qv = lambda off, name: wk.select("user_id", "item_id", F.date_add("week", off).alias("t"), F.col("q").alias(name))
-    rows = touched
-    for off, name in ((0, "quantity"), (7, "lag_1"), (14, "lag_2"), (21, "lag_3")):
-        rows = rows.join(qv(off, name), ["user_id", "item_id", "t"], "left")
-    rows = rows.select("user_id", "item_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("quantity", "lag_1", "lag_2", "lag_3")])
+    # an active week feeds rows t = week + 0..3 weeks as quantity, lag_1, lag_2, lag_3
+    names = ("quantity", "lag_1", "lag_2", "lag_3")
+    contrib = wk.select("user_id", "item_id", F.explode(F.array(*[
+        F.struct(F.date_add("week", 7 * o).alias("t"), F.lit(o).alias("o"), F.col("q").alias("q")) for o in range(4)])).alias("c"))
+    rows = contrib.groupBy("user_id", "item_id", F.col("c.t").alias("t")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("c.o") == o, F.col("c.q"))), F.lit(0.0)).alias(n) for o, n in enumerate(names)])
+    rows = rows.join(span, ["user_id", "item_id"]).where((F.col("t") <= F.col("w1")) & (F.col("t") >= F.date_add("w0", 21)))
     rows = rows.withColumn("rolling_mean_3", (F.col("lag_1") + F.col("lag_2") + F.col("lag_3")) / 3.0)
-    base = demand_baselines(events).persist(StorageLevel.MEMORY_AND_DISK)
-    item = base.select("item_id", "material_mean_qty").distinct()
-    pair = base.select("user_id", "item_id", "owner_mean_qty")
+    pair = events.groupBy("user_id", "item_id").agg(F.avg("quantity").alias("owner_mean_qty"))
+    item = F.broadcast(events.groupBy("item_id").agg(F.avg("quantity").alias("material_mean_qty")))  # <= catalog rows
     rows = rows.join(pair, ["user_id", "item_id"], "left").join(item, "item_id", "left").select(
         "user_id", "item_id", "lag_1", "lag_2", "lag_3", "rolling_mean_3",
         F.coalesce("owner_mean_qty", F.lit(DEFAULT_MEAN_QTY)).alias("owner_mean_qty"),
@@ -207,7 +206,6 @@ def sparse_training_moments(events: DataFrame) -> DataFrame:
         "c", F.coalesce("owner_mean_qty", F.lit(DEFAULT_MEAN_QTY)).alias("pm"),
         F.coalesce("material_mean_qty", F.lit(DEFAULT_MEAN_QTY)).alias("im"))
     m = ridge_moments(rows)
-    zero = {"lag_1", "lag_2", "lag_3", "rolling_mean_3"}
     const = {"owner_mean_qty": F.col("pm"), "material_mean_qty": F.col("im")}
     adds = [F.sum("c").alias("n")]
     for i, a in enumerate(FORECAST_FEATURES):
