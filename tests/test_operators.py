@@ -202,3 +202,18 @@ def test_dense_gramian_matches_numpy(spark):
     g = {(x.item_i, x.item_j): x.g for x in dn.gramian(df, "user_id", "item_id", "v", np.arange(9)).collect()}
     ref = r.T @ r
     assert all(math.isclose(g.get((i, j), 0.0), ref[i, j]) for i in range(9) for j in range(9))
+
+
+def test_sparse_moments_equal_dense_grid(spark):
+    rows = []
+    i = 0
+    for u, item, weeks in ((1, 1, [0, 1, 5, 9, 30]), (1, 2, [2]), (2, 1, [0, 3, 4, 12])):
+        for w in weeks:
+            i += 1
+            rows.append((i, "o", u, item, "m", "purchase" if w % 2 else "reorder", "A", 3 + w, 1.0,
+                         dt.datetime(2024, 1, 1) + dt.timedelta(days=7 * w, hours=w)))
+    rows.append((999, "o", 2, 1, "m", "view", "A", 50, 1.0, dt.datetime(2024, 2, 1)))
+    df = ev_frame(spark, rows)
+    a = fc.ridge_moments(fc.training_set(df)).first().asDict()
+    b = fc.sparse_training_moments(df).first().asDict()
+    assert a.keys() == b.keys() and all(math.isclose(a[k] or 0, b[k] or 0, rel_tol=1e-12, abs_tol=1e-9) for k in a)
