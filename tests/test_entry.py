@@ -15,9 +15,15 @@ def test_oracle_keys_are_registered():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
 def test_every_query_plans_and_runs(spark):
+    """Every key runs, and no physical plan contains a cross / nested-loop join."""
     for key, fn in sorted(E.queries().items()):
         if key in SLOW:
             continue
         df = fn(spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(f in plan for f in FORBIDDEN), (key, [f for f in FORBIDDEN if f in plan])
         assert df.limit(5).count() >= 0, key
