@@ -151,15 +151,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     the order of their texts, and each takes the copies of its number.
     """
     taken = mix(docs, **options)
-    names = [F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_s")]
-    marked = docs.withColumn("_size", words_count("text"))
-    at = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_s"))
-    out = [*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")]
-    repeated = taken.filter("nth = 2").select(*names).distinct()
+    key = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")]
+    taken = taken.select(*key, F.col("nth").alias("__nth"), F.col("copies").alias("__copies"))
+    marked = docs.withColumn("__words", words_count("text"))
+    at = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    out = [*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy")]
+    chosen = taken.filter("__copies > 0")
+    repeated = taken.filter("__nth = 2").select("__id", "__source", "__size").distinct()
     if repeated.isEmpty():
-        return marked.join(taken.filter("copies > 0").select(*names, "copies"), at).select(*out)
+        return marked.join(chosen, at).select(*out)
     again = marked.join(repeated, at, "left_semi")
-    again = again.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "source", "_size").orderBy("text")))
-    plain = marked.join(repeated, at, "left_anti")
-    left = plain.withColumn("_nth", F.lit(1)).unionByName(again)
-    return left.join(taken.filter("copies > 0").select(*names, "nth", "copies"), at & (F.col("_nth") == F.col("nth"))).select(*out)
+    again = again.withColumn("__row", F.row_number().over(W.partitionBy("doc_id", "source", "__words").orderBy("text")))
+    left = marked.join(repeated, at, "left_anti").withColumn("__row", F.lit(1)).unionByName(again)
+    return left.join(chosen, at & (F.col("__row") == F.col("__nth"))).select(*out)
