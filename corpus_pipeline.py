@@ -1,29 +1,52 @@
-"""Pipeline of corpus stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Pipeline of corpus stages over ``documents``.
+
+STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame, which
+``run`` writes as Parquet to the shared folder and reads again as the next stage's docs. All stages but
+the last return the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import mixing, secrets
+from tidewater.llm import decontaminate, mixing, near_dedup, secrets, toxicity
 from tidewater.llm.common import read_table, scratch_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold."""
+    return toxicity.clean(docs, read_table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, the one with the least doc_id."""
+    return near_dedup.dedup(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret span replaced by a mark; all documents stay."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as the mix takes them, numbered in ``copy``."""
+    """Documents as often as the mix takes them, numbered in ``copy``."""
     return mixing.mixed(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
     ("secret_scan", mask_secrets),
     ("mix_sources", mix_sources),
 ]
 
-#: The rounding of the last stage draws from a seeded generator and earlier stages hash: no SQL form.
+#: A trained score, a token vocabulary and seeded draws decide: no SQL form.
 ORACLE_SQL = None
 
 

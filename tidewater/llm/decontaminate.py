@@ -122,9 +122,9 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 #: DuckDB: exact containment of every item in every document.
 ORACLE = r"""
 WITH w AS (
-  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS ws FROM documents
+  SELECT 'd' AS kind, doc_id AS id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS ws FROM documents
   UNION ALL
-  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') FROM benchmark
+  SELECT 'i', item_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] FROM benchmark
 ), s AS (
   SELECT DISTINCT kind, id, array_to_string(ws[i:i + 4], ' ') AS shingle
   FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)

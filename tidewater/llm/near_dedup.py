@@ -346,3 +346,23 @@ def dedup(docs: DataFrame) -> DataFrame:
     several = found.filter("n_rows > 1").select(F.col("fp").alias("__fp")).distinct()
     again = out.join(several, F.col("__key") == F.col("__fp"), "left_semi").dropDuplicates(["__key", "doc_id"])
     return out.join(several, F.col("__key") == F.col("__fp"), "left_anti").unionByName(again).select(*docs.columns)
+
+
+#: DuckDB: exact weighted Jaccard of all pairs of distinct texts that share a shingle, then components.
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS id FROM documents GROUP BY 1
+), w AS (
+  SELECT id, [x FOR x IN regexp_split_to_array(lower(text), '[\x00-/:-@\[-`{-\x7F]+') IF x <> ''] AS ws FROM t
+), g AS (
+  SELECT id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4
+), c AS (SELECT id, s, count(*) AS n FROM g GROUP BY id, s),
+m AS (SELECT id, sum(n) AS n FROM c GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS low FROM c a JOIN c b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE low >= 0.8 * (x.n + y.n - low) - 1e-9),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT id, id AS class_id FROM t UNION SELECT l.b, r.class_id FROM r JOIN l ON l.a = r.id WHERE r.class_id < l.b),
+f AS (SELECT id, min(class_id) AS class_id FROM r GROUP BY id)
+SELECT d.doc_id, f.class_id FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN f ON f.id = t.id
+"""
