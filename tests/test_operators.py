@@ -181,27 +181,51 @@ def test_svd_projector_matches_numpy_truncated_svd(spark):
     assert all(r[a, b] == 0 for (a, b) in got)  # only unrated items are scored
 
 
-def test_dense_personal_matches_join_formulation(spark):
-    rng = np.random.default_rng(11)
-    cat = ["alpha beta", "beta gamma", "gamma delta", "delta alpha", "epsilon"]
-    products = spark.createDataFrame([(i, f"p{i}", "cat", 1.0, cat[i % 5] + f" w{i % 3}") for i in range(15)], rk_products_schema())
-    rows = [(u, i, (None if (u + i) % 11 == 0 else float(rng.integers(1, 6)))) for u in range(25) for i in range(15)
-            if rng.random() < 0.3]
-    scores = spark.createDataFrame(rows, "user_id long, item_id long, score double")
-    a = {(r.user_id, r.rank): (r.item_id, r.score) for r in rk.personal_top_k_dense(scores, products, 5).collect()}
-    b = {(r.user_id, r.rank): (r.item_id, r.score) for r in rk.personal_top_k(rk.hybrid_scores(scores, products), 5).collect()}
-    assert a and a == b
-
-
-def test_dense_gramian_matches_numpy(spark):
-    from tidewater.operators import dense as dn
-    rng = np.random.default_rng(5)
-    r = np.where(rng.random((40, 9)) < 0.4, rng.integers(1, 5, (40, 9)), 0).astype(float)
-    df = spark.createDataFrame([(u, i, float(r[u, i])) for u in range(40) for i in range(9) if r[u, i]],
-                               "user_id long, item_id long, v double").repartition(3)
-    g = {(x.item_i, x.item_j): x.g for x in dn.gramian(df, "user_id", "item_id", "v", np.arange(9)).collect()}
-    ref = r.T @ r
-    assert all(math.isclose(g.get((i, j), 0.0), ref[i, j]) for i in range(9) for j in range(9))
+def test_free_positions_are_the_first_gaps(spark):
+    rng = np.random.default_rng(4)
+    n, k = 40, 5
+    taken = {u: set(map(int, rng.choice(np.arange(1, n + 1), m, replace=False))) for u, m in enumerate((0, 3, 30, 37, 40))}
+    t_ = spark.createDataFrame([(u, p) for u, ps in taken.items() for p in ps], "user_id long, pos int")
+    owners = spark.createDataFrame([(u,) for u in taken], "user_id long")
+    got = {u: [] for u in taken}
+    for r in rk.free_positions(t_, owners, F.lit(n), k).collect():
+        got[r.user_id].append(r.pos)
+    assert {u: sorted(v) for u, v in got.items()} == {u: [p for p in range(1, n + 1) if p not in ps][:k] for u, ps in taken.items()}
+
+
+def test_rank_materials_equals_full_grid(spark):
+    rng = np.random.default_rng(6)
+    items, k = range(30), 6
+    default = {i: float(rng.integers(0, 4)) / 4 for i in items}
+    cand = {(u, i): float(rng.integers(0, 5)) / 4 for u in range(6) for i in items if u and rng.random() < u / 5}
+    c = spark.createDataFrame([(u, i, v) for (u, i), v in cand.items()], "user_id long, item_id long, score double")
+    d = spark.createDataFrame(list(default.items()), "item_id long, score double")
+    o = spark.createDataFrame([(u,) for u in range(6)], "user_id long")
+    got = {(r.user_id, r["rank"]): (r.item_id, r.score) for r in rk.rank_materials(c, d, o, k).collect()}
+    for u in range(6):
+        full = sorted(((-cand.get((u, i), default[i]), i) for i in items))[:k]
+        assert [got[u, n + 1] for n in range(k)] == [(i, -s_) for s_, i in full]
+
+
+def test_older_rankers_serve_users_without_history(spark):
+    products = spark.createDataFrame([(i, f"p{i}", "A" if i < 3 else "B", "s", 1.0) for i in range(6)], "product_id long, name string, category string, subcategory string, price double")
+    customers = spark.createDataFrame([(1, "A"), (2, "B")], "customer_id long, preferred_category string")
+    qty = spark.createDataFrame([(1, 0, 2.0), (9, 0, 1.0)], "user_id long, item_id long, qty double")
+    near = spark.createDataFrame([(0, 5, 0.5), (0, 0, 1.0)], "item_i long, item_j long, sim double")
+    got = {}
+    for r in rk.recommend_products_knn(qty, near, customers, products, qty.select("user_id"), 3).orderBy("user_id", "rank").collect():
+        got.setdefault(r.user_id, []).append((r.product_id, round(r.score, 9)))
+    assert got[2] == [(3, 0.3), (4, 0.3), (5, 0.3)]  # no transactions: content alone
+    assert got[1] == [(5, 0.79), (0, 0.3), (1, 0.3)]
+    assert got[9] == [(5, 0.7)]  # no profile: collaborative part alone
+    mats = spark.createDataFrame([(i, f"m{i}", "X", 2.0, "d") for i in range(4)], "material_id long, material_name string, category string, price double, description string")
+    bought = spark.createDataFrame([(1, 0, 5, t(1), 1, 1, 1), (1, 1, 5, t(2), 1, 2, 1), (3, 1, 5, t(2), 2, 1, 1)], "owner_id long, material_id long, quantity int, date timestamp_ntz, l_orderkey long, l_linenumber int, l_partkey long")
+    owners = spark.createDataFrame([(1, "I"), (2, "I"), (3, "J")], "owner_id long, industry string")
+    rules = spark.createDataFrame([("I", "X")], "industry string, category string")
+    co = spark.createDataFrame([(0, 2, 0.5), (1, 0, 0.4)], "item_i long, item_j long, sim double")
+    rows = rk.recommend_materials_copurchase(bought, mats, owners, rules, co, 2).orderBy("user_id", "rank").collect()
+    assert {r.user_id for r in rows} == {1, 2, 3}
+    assert [(r.material_id, r.score, r.reason) for r in rows if r.user_id == 2] == [(1, 1.0, "Popular material"), (0, 1.0, "Popular material")]
 
 
 def test_sparse_moments_equal_dense_grid(spark):

@@ -7,7 +7,7 @@ sources    driver tables, the marketplace views over them, file/feature-store I/
 operators  feature engineering, text, similarity, rankers, forecasting,
            evaluation, profiling, validation
 plans      the query registry used by ``__spark_entry__`` and its DuckDB oracles
-streaming  incremental affinity maintenance with Structured Streaming
+llm        training-data operators (optional: nothing else imports it)
 """
 
 __all__ = ["session"]

@@ -38,7 +38,6 @@ FORECAST_FEATURES = ["lag_1", "lag_2", "lag_3", "rolling_mean_3", "owner_mean_qt
 # --- fixed values: evaluation
 EVAL_KS = (5, 10)
 TRAIN_FRACTION = 0.85
-FORECAST_SAMPLE_ROWS = 300
 PROMOTION_BASELINE_ACTIVE = 0.01
 
 # --- fixed values: older (KNN / co-purchase) rankers

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidewater.functions.constants import INTERACTION_WEIGHTS, RAW_WEIGHTS, UNKNOWN_WEIGHT
 
 __all__ = [
-    "micros_between", "seconds_between", "days_between", "interaction_weight", "raw_weight", "lit_map",
-    "r6", "r4", "scalar_max", "stable_hash_pct", "week_start",
+    "micros_between", "days_between", "interaction_weight", "raw_weight", "lit_map",
+    "r6", "r4", "scalar_max", "week_start",
 ]
 
 
@@ -24,10 +24,6 @@ def micros_between(start: Column, end: Column) -> Column:
     return (secs * F.lit(1000000)).cast("long")
 
 
-def seconds_between(start: Column, end: Column) -> Column:
-    return micros_between(start, end) / F.lit(1e6)
-
-
 def days_between(start: Column, end: Column) -> Column:
     """Fractional days (micros / 86 400 000 000), as the reference's total_seconds / 86400."""
     return micros_between(start, end) / F.lit(86400000000.0)
@@ -58,11 +54,6 @@ def scalar_max(df: DataFrame, col: str) -> Column:
     return df.agg(F.max(col)).scalar()
 
 
-def stable_hash_pct(*cols: Column) -> Column:
-    """Deterministic 0..99 bucket from md5 of the key (engine-independent)."""
-    h = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(100))
-
 
 def week_start(ts: Column) -> Column:
     """Monday of the ISO week containing ``ts`` as DATE."""

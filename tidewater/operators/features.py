@@ -15,7 +15,6 @@ from tidewater.functions import (
     CUSTOMER_DECAY, DEFAULT_INTERVAL_DAYS, OWNER_DECAY, days_between, interaction_weight,
     raw_weight, scalar_max,
 )
-from tidewater.sources.tables import broadcast_bounded_by
 
 TS = "interaction_timestamp"
 
@@ -112,8 +111,8 @@ def customer_features(events: DataFrame, products: DataFrame, rate: float = CUST
         F.coalesce("avg_spend", F.lit(0.0)).alias("avg_spend"),
         F.col("purchase_count").cast("long").alias("purchase_count"))
     users = users.join(top_categories(s, 3, "favorite_category"), "user_id", "left")
-    items = broadcast_bounded_by(item_popularity(s, products, "product_id", "product_category",
-                                                 "item_interaction_count", "item_score_sum"), products)
+    items = item_popularity(s, products, "product_id", "product_category",
+                                                 "item_interaction_count", "item_score_sum")
     out = pairs.join(users, "user_id", "left").join(items, "item_id", "left")
     return out.select(
         "user_id", "item_id", "weighted_score", "recency_days",
@@ -177,8 +176,8 @@ def owner_features(events: DataFrame, materials: DataFrame, rate: float = OWNER_
     users = (owner_interval_days(s)
              .join(peak_month(s), "user_id", "left")
              .join(top_categories(s, 2, "supplier_affinity_category"), "user_id", "left"))
-    items = broadcast_bounded_by(item_popularity(s, materials, "material_id", "material_category",
-                                                 "material_interaction_count", "material_demand_score"), materials)
+    items = item_popularity(s, materials, "material_id", "material_category",
+                                                 "material_interaction_count", "material_demand_score")
     out = pairs.join(users, "user_id", "left").join(items, "item_id", "left")
     return out.select(
         "user_id", "item_id", "weighted_score", "avg_procurement_quantity", "total_quantity_procured",

@@ -193,7 +193,7 @@ def sparse_training_moments(events: DataFrame) -> DataFrame:
     rows = rows.join(span, ["user_id", "item_id"]).where((F.col("t") <= F.col("w1")) & (F.col("t") >= F.date_add("w0", 21)))
     rows = rows.withColumn("rolling_mean_3", (F.col("lag_1") + F.col("lag_2") + F.col("lag_3")) / 3.0)
     pair = events.groupBy("user_id", "item_id").agg(F.avg("quantity").alias("owner_mean_qty"))
-    item = F.broadcast(events.groupBy("item_id").agg(F.avg("quantity").alias("material_mean_qty")))  # <= catalog rows
+    item = events.groupBy("item_id").agg(F.avg("quantity").alias("material_mean_qty"))  # <= catalog rows
     rows = rows.join(pair, ["user_id", "item_id"], "left").join(item, "item_id", "left").select(
         "user_id", "item_id", "lag_1", "lag_2", "lag_3", "rolling_mean_3",
         F.coalesce("owner_mean_qty", F.lit(DEFAULT_MEAN_QTY)).alias("owner_mean_qty"),

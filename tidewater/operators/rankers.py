@@ -3,14 +3,13 @@
 Every ranker scores *all* requested users in one job. Item-item matrices are
 never materialised densely: content scores use the profile identity
 ``sum_j r_uj C_ij = x_i . (sum_j r_uj x_j)`` (user term profile joined to the
-broadcast item-term table), collaborative scores join the user rows with the
-sparse, catalog-bounded similarity table. Per-user windows sort at most
-catalog-many rows, and top-k uses ``row_number <= k`` (WindowGroupLimit).
+item-term table), collaborative scores join the user rows with the sparse
+similarity table. Top-k uses ``row_number <= k`` (WindowGroupLimit). There is
+one path for every catalog size; joins are left to the planner.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +18,6 @@ from tidewater.functions import (
 )
 from tidewater.operators import similarity as sim
 from tidewater.operators import text
-from tidewater.sources.tables import broadcast_if_small
 
 
 def rank_key(score: Column) -> Column:
@@ -31,7 +29,7 @@ def rank_key(score: Column) -> Column:
 
 def catalog_scores(user_scores: DataFrame, products: DataFrame) -> DataFrame:
     """(user_id, item_id, score) restricted to catalog items, one row per pair."""
-    ids = F.broadcast(products.select(F.col("product_id").alias("item_id")))  # checked catalog
+    ids = products.select(F.col("product_id").alias("item_id"))
     return (user_scores.join(ids, "item_id", "left_semi")
             .groupBy("user_id", "item_id").agg(F.sum("score").alias("score")))
 
@@ -46,7 +44,7 @@ def cf_scores(r: DataFrame) -> DataFrame:
     s = sim.column_cosine(r, "user_id", "item_id", "score")
     den = s.groupBy("item_i").agg(F.sum(F.abs("sim")).alias("den")).select(
         "item_i", F.when(F.col("den") == 0, F.lit(1.0)).otherwise(F.col("den")).alias("den"))
-    s = F.broadcast(s.join(den, "item_i"))  # <= catalog^2 rows; catalog checked by the caller
+    s = s.join(den, "item_i")
     num = r.join(s, r.item_id == s.item_j).groupBy("user_id", "item_i").agg(
         F.sum(F.col("score") * F.col("sim")).alias("num"), F.max("den").alias("den"))
     return num.select("user_id", F.col("item_i").alias("item_id"), (F.col("num") / F.col("den")).alias("cf"))
@@ -54,7 +52,7 @@ def cf_scores(r: DataFrame) -> DataFrame:
 
 def content_scores(r: DataFrame, x: DataFrame) -> DataFrame:
     """R2: (user_id, item_id, cb) = sum_j r_uj cos(x_i, x_j) via the user term profile."""
-    xb = F.broadcast(x.select("doc_id", "term", "weight"))  # catalog x vocabulary (checked catalog)
+    xb = x.select("doc_id", "term", "weight")
     prof = r.join(xb, r.item_id == xb.doc_id).groupBy("user_id", "term").agg(
         F.sum(F.col("score") * F.col("weight")).alias("p"))
     cb = prof.join(xb, "term").groupBy("user_id", "doc_id").agg(F.sum(F.col("p") * F.col("weight")).alias("cb"))
@@ -75,7 +73,6 @@ def hybrid_scores(user_scores: DataFrame, products: DataFrame, alpha: float = HY
     Min-max runs per user over the whole catalog; items no path reaches hold
     an implicit 0 (folded into min/max), and keep the raw value when max = min.
     """
-    sim.check_catalog(products)
     r = catalog_scores(user_scores, products)
     n_catalog = products.agg(F.count("*")).scalar()
     j = cf_scores(r).join(content_scores(r, product_tfidf(products)), ["user_id", "item_id"], "full")
@@ -151,7 +148,7 @@ def recommend_products(user_scores: DataFrame, products: DataFrame, popular: Dat
     """Top-k hybrid recommendations for ``users`` with back-fill and catalog attributes (J10 after top-k)."""
     personal = personal_top_k(hybrid_scores(user_scores, products, alpha), k)
     recs = with_backfill(users, personal, popular, k)
-    cat = F.broadcast(products.withColumnRenamed("product_id", "item_id"))  # checked catalog
+    cat = products.withColumnRenamed("product_id", "item_id")
     return recs.join(cat, "item_id", "left").select(
         "user_id", "rank", F.col("item_id").alias("product_id"), "product_name", "category", "price",
         "description", "score", "source")
@@ -169,7 +166,7 @@ def owner_similarity(owner_items: DataFrame, x: DataFrame) -> DataFrame:
 
     (user_id, item_id, sim) for every catalog item sharing a term with the owner profile.
     """
-    xb = F.broadcast(x.select("doc_id", "term", "weight"))  # catalog x vocabulary (checked catalog)
+    xb = x.select("doc_id", "term", "weight")
     held = owner_items.select("user_id", "item_id").distinct().join(
         xb.select(F.col("doc_id").alias("item_id")).distinct(), "item_id", "left_semi")
     m = held.groupBy("user_id").agg(F.count("*").alias("m"))
@@ -189,6 +186,20 @@ def forecast_score(q: Column) -> Column:
     return F.when(q > 0, F.least(F.lit(1.0), q / FORECAST_SCALE)).otherwise(F.lit(0.0))
 
 
+def free_positions(taken: DataFrame, owners: DataFrame, n: Column, k: int) -> DataFrame:
+    """(user_id, pos): the first k of positions 1..n that are not among an owner's taken ones.
+
+    Between two taken positions lies a gap; only gaps with fewer than k free positions before them
+    count, and each gives at most k rows. No array and no row per free position of the catalog.
+    """
+    marks = taken.select("user_id", "pos").unionByName(owners.select("user_id", F.lit(0).alias("pos")))
+    w = Window.partitionBy("user_id").orderBy("pos")
+    g = marks.select("user_id", "pos", (F.col("pos") - F.row_number().over(w) + 1).alias("free"), F.lead("pos").over(w).alias("next"))
+    last = F.coalesce(F.col("next") - 1, n)
+    g = g.select("user_id", (F.col("pos") + 1).alias("a"), F.least(last, F.col("pos") + F.lit(k) - F.col("free")).alias("b"))
+    return g.where(F.col("a") <= F.col("b")).select("user_id", F.explode(F.sequence("a", "b")).alias("pos"))
+
+
 def rank_materials(cand: DataFrame, defaults: DataFrame, owners: DataFrame, k: int,
                    blocked: DataFrame | None = None, score_round: int = 4) -> DataFrame:
     """Top-k per owner over *all* catalog items, exactly.
@@ -197,28 +208,22 @@ def rank_materials(cand: DataFrame, defaults: DataFrame, owners: DataFrame, k: i
     path reaches; ``defaults``: (item_id, score, demand) for every catalog
     item, the score an owner gets for an item no path reaches. The default
     picks of an owner are the first k positions of the global default order
-    that are not among the owner's candidates: positions 1..k+|cand| suffice,
-    so the fill array is bounded by the catalog. Ties: rounded score, then id.
+    that are not among the owner's candidates. Ties: rounded score, then id.
     """
     order = [F.col("score").desc(), F.col("item_id").asc()]
     d = defaults.withColumn("score", F.round(F.col("score"), score_round)).withColumn(
-        "pos", F.row_number().over(Window.orderBy(*order)))  # catalog-sized global order
-    d = F.broadcast(d)
+        "pos", F.row_number().over(Window.orderBy(*order)))  # one row per catalog item
+    n = defaults.agg(F.count("*")).scalar().cast("int")
     c = cand.withColumn("score", F.round(F.col("score"), score_round))
     cw = Window.partitionBy("user_id").orderBy(*order)
     top_c = c.withColumn("rank", F.row_number().over(cw)).where(F.col("rank") <= k)
     taken = c.select("user_id", "item_id")
     if blocked is not None:  # items an owner may not receive at all (e.g. already purchased)
         taken = taken.unionByName(blocked.select("user_id", "item_id")).distinct()
-    cpos = taken.join(d.select("item_id", "pos"), "item_id").groupBy("user_id").agg(
-        F.collect_list("pos").alias("cpos"))
-    n_c = taken.groupBy("user_id").agg(F.count("*").alias("n_c"))
-    o = owners.select("user_id").distinct().join(n_c, "user_id", "left").join(cpos, "user_id", "left")
-    o = o.select("user_id", F.coalesce("cpos", F.array().cast("array<int>")).alias("cpos"),
-                 F.coalesce("n_c", F.lit(0)).alias("n_c"))
-    fill = F.slice(F.filter(F.sequence(F.lit(1), F.lit(k) + F.col("n_c")), lambda p: ~F.array_contains(F.col("cpos"), p)), 1, k)
+    o = owners.select("user_id").distinct()
+    fill = free_positions(taken.join(d.select("item_id", "pos"), "item_id"), o, n, k)
     extra = [c_ for c_ in d.columns if c_ not in ("item_id", "score", "pos")]
-    fp = o.select("user_id", F.explode(fill).alias("pos")).join(d, "pos").select("user_id", "item_id", "score", *extra)
+    fp = fill.join(o, "user_id", "left_semi").join(d, "pos").select("user_id", "item_id", "score", *extra)
     for c_ in top_c.columns:
         if c_ not in fp.columns and c_ != "rank":
             fp = fp.withColumn(c_, F.lit(0))
@@ -230,7 +235,6 @@ def rank_materials(cand: DataFrame, defaults: DataFrame, owners: DataFrame, k: i
 def recommend_materials(features: DataFrame, materials: DataFrame, owners: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
     """R5 feature path: 0.3 volume + 0.3 urgency + 0.2 forecast + 0.2 similarity for every catalog item."""
     from tidewater.functions import FEATURE_PATH_ELAPSED, URGENCY_HORIZON, VOLUME_SCALE
-    sim.check_catalog(materials)
     x = material_tfidf(materials)
     s = owner_similarity(features, x)
     cyc = F.col("avg_procurement_interval_days")
@@ -254,7 +258,7 @@ def recommend_materials(features: DataFrame, materials: DataFrame, owners: DataF
 
 
 def _material_output(ranked: DataFrame, materials: DataFrame) -> DataFrame:
-    cat = F.broadcast(materials.withColumnRenamed("material_id", "item_id"))  # checked catalog
+    cat = materials.withColumnRenamed("material_id", "item_id")
     return ranked.join(cat, "item_id").select(
         "user_id", F.col("rank").cast("long").alias("rank"), F.col("item_id").alias("material_id"),
         "material_name", "category", "price", "description",
@@ -280,7 +284,6 @@ def recommend_materials_raw(events: DataFrame, materials: DataFrame, owners: Dat
     """R6 raw path: counts, reorder urgency, next-week forecast and similarity for every catalog item."""
     from tidewater.functions import DEFAULT_MEAN_QTY, VOLUME_SCALE
     from tidewater.operators import forecasting as fc
-    sim.check_catalog(materials)
     x = material_tfidf(materials)
     s = owner_similarity(events, x)
     urg = fc.reorder_urgency(events).select(
@@ -291,7 +294,7 @@ def recommend_materials_raw(events: DataFrame, materials: DataFrame, owners: Dat
     item_mean = events.groupBy("item_id").agg(F.avg("quantity").alias("im"))
     defaults = materials.select(F.col("material_id").alias("item_id")).join(item_mean, "item_id", "left").select(
         "item_id", F.coalesce("im", F.lit(DEFAULT_MEAN_QTY)).alias("fq"))
-    j = s.join(rec, ["user_id", "item_id"], "full").join(F.broadcast(defaults.withColumnRenamed("fq", "dfq")), "item_id", "left")
+    j = s.join(rec, ["user_id", "item_id"], "full").join(defaults.withColumnRenamed("fq", "dfq"), "item_id", "left")
     q = F.coalesce(F.col("forecast_qty"), F.col("dfq"), F.lit(DEFAULT_MEAN_QTY))
     has_p = F.col("cnt").isNotNull()
     cand = j.select(
@@ -311,7 +314,7 @@ def recommend_materials_raw(events: DataFrame, materials: DataFrame, owners: Dat
 def knn_cf_scores(user_item: DataFrame, neighbors: DataFrame) -> DataFrame:
     """R7 CF: sum over bought items p of sim(p, o) * qty(u, p) for o among p's 20 neighbours (o != p),
     max-normalised per user; only positive scores. ``user_item`` (user_id, item_id, qty)."""
-    nb = F.broadcast(neighbors.where(F.col("item_i") != F.col("item_j")))  # <= 20 per catalog item
+    nb = neighbors.where(F.col("item_i") != F.col("item_j"))
     raw = user_item.where(F.col("qty") > 0).join(nb, user_item.item_id == nb.item_i).groupBy(
         "user_id", F.col("item_j").alias("item_id")).agg(F.sum(F.col("sim") * F.col("qty")).alias("cf"))
     mx = F.max("cf").over(Window.partitionBy("user_id"))  # <= catalog rows per user
@@ -322,7 +325,7 @@ def preferred_category_scores(customers: DataFrame, products: DataFrame) -> Data
     """R11 (sparse form): (user_id, item_id, 1.0) for products in the customer's preferred category;
     every other product of a known customer carries the default 0.3."""
     from tidewater.functions import PREFERRED_SCORE
-    p = F.broadcast(products.select(F.col("product_id").alias("item_id"), "category"))  # checked catalog
+    p = products.select(F.col("product_id").alias("item_id"), "category")
     return customers.join(p, customers.preferred_category == p.category).select(
         F.col("customer_id").alias("user_id"), "item_id", F.lit(PREFERRED_SCORE).alias("content"))
 
@@ -332,10 +335,11 @@ def recommend_products_knn(user_item: DataFrame, neighbors: DataFrame, customers
     """0.7 * knn_cf + 0.3 * content (1.0 preferred category, else 0.3); bought items stay eligible.
 
     Candidates are the CF keys and the preferred-category products; every
-    other product scores 0.3 * 0.3 and enters through the exact fill.
+    other product scores 0.3 * 0.3 and enters through the exact fill. All
+    customers are served, with or without transactions; ``users`` without a
+    customer row get their collaborative picks alone.
     """
     from tidewater.functions import KNN_W_CB, KNN_W_CF, OTHER_CATEGORY_SCORE
-    sim.check_catalog(products)
     cf = knn_cf_scores(user_item, neighbors)
     pref = preferred_category_scores(customers, products)
     known = customers.select(F.col("customer_id").alias("user_id"))
@@ -344,9 +348,13 @@ def recommend_products_knn(user_item: DataFrame, neighbors: DataFrame, customers
     cand = j.select("user_id", "item_id", (F.lit(KNN_W_CF) * F.coalesce("cf", F.lit(0.0)) + F.lit(KNN_W_CB) * content).alias("score"))
     cand = cand.withColumn("score", F.round("score", 9))
     defaults = products.select(F.col("product_id").alias("item_id"), F.lit(KNN_W_CB * OTHER_CATEGORY_SCORE).alias("score"))
-    u = users.select("user_id").distinct().join(known, "user_id", "left_semi")
-    ranked = rank_materials(cand.join(u, "user_id", "left_semi"), defaults, u, k, score_round=9)
-    cat = F.broadcast(products.withColumnRenamed("product_id", "item_id"))
+    ranked = rank_materials(cand.join(known, "user_id", "left_semi"), defaults, known, k, score_round=9)
+    # users without a profile have no content score: only what the collaborative part reaches
+    bare = users.select("user_id").distinct().join(known, "user_id", "left_anti")
+    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
+    bare = cand.join(bare, "user_id", "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = ranked.select("user_id", "item_id", "score", "rank").unionByName(bare.select("user_id", "item_id", "score", "rank"))
+    cat = products.withColumnRenamed("product_id", "item_id")
     return ranked.join(cat, "item_id").select("user_id", F.col("rank").cast("long").alias("rank"),
                                              F.col("item_id").alias("product_id"), "name", "category", "subcategory", "price", "score")
 
@@ -354,8 +362,8 @@ def recommend_products_knn(user_item: DataFrame, neighbors: DataFrame, customers
 def industry_category_scores(owners: DataFrame, rules: DataFrame, materials: DataFrame) -> DataFrame:
     """0.5 for every catalog material in a category the owner's industry maps to (equi-joins)."""
     from tidewater.functions import INDUSTRY_RULE_SCORE
-    m = F.broadcast(materials.select(F.col("material_id").alias("item_id"), "category"))  # checked catalog
-    oc = owners.join(F.broadcast(rules), "industry")
+    m = materials.select(F.col("material_id").alias("item_id"), "category")
+    oc = owners.join(rules, "industry")
     return oc.join(m, "category").select(F.col("owner_id").alias("user_id"), "item_id", F.lit(INDUSTRY_RULE_SCORE).alias("score"))
 
 
@@ -370,11 +378,12 @@ def owner_history_summary(purchases: DataFrame) -> DataFrame:
 def recommend_materials_copurchase(purchases: DataFrame, materials: DataFrame, owners: DataFrame, rules: DataFrame,
                                    co_sim: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
     """Sum over every purchase row of co-purchase similarity to non-purchased materials,
-    + 0.5 * 0.5 for materials of the owner's industry categories (purchased ones too); reason text."""
-    from tidewater.functions import INDUSTRY_RULE_WEIGHT, REASON_SIMILAR, REASON_TRENDS
-    sim.check_catalog(materials)
+    + 0.5 * 0.5 for materials of the owner's industry categories (purchased ones too); reason text.
+
+    Owners without history get the k most purchased materials, score 1.0."""
+    from tidewater.functions import INDUSTRY_RULE_WEIGHT, REASON_POPULAR, REASON_SIMILAR, REASON_TRENDS
     cnt = purchases.groupBy(F.col("owner_id").alias("user_id"), F.col("material_id").alias("item_id")).agg(F.count("*").alias("c"))
-    s = F.broadcast(co_sim)  # <= catalog^2 rows (checked catalog)
+    s = co_sim
     ss = cnt.join(s, cnt.item_id == s.item_i).groupBy("user_id", F.col("item_j").alias("item_id")).agg(
         F.sum(F.col("c") * F.col("sim")).alias("s"))
     ss = ss.join(cnt.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").withColumn("np", F.lit(True))
@@ -390,180 +399,17 @@ def recommend_materials_copurchase(purchases: DataFrame, materials: DataFrame, o
     defaults = materials.select(F.col("material_id").alias("item_id"), F.lit(0.0).alias("score"), F.lit(False).alias("bought"))
     ranked = rank_materials(cand, defaults, hist_owners, k, blocked=cnt.select("user_id", "item_id"), score_round=9)
     first = owner_history_summary(purchases).select(F.col("owner_id").alias("user_id"), "first_material_id")
-    names = F.broadcast(materials.select(F.col("material_id").alias("first_material_id"), F.col("material_name").alias("first_name")))
+    names = materials.select(F.col("material_id").alias("first_material_id"), F.col("material_name").alias("first_name"))
     ranked = ranked.join(first, "user_id", "left").join(names, "first_material_id", "left")
     reason = F.when(F.col("bought"), F.lit(REASON_TRENDS)).otherwise(F.concat(F.lit(REASON_SIMILAR), F.col("first_name")))
-    cat = F.broadcast(materials.withColumnRenamed("material_id", "item_id"))
-    return ranked.join(cat, "item_id").select(
-        "user_id", F.col("rank").cast("long").alias("rank"), F.col("item_id").alias("material_id"), "material_name", "category",
-        F.col("price").alias("unit_cost"), F.round("score", 6).alias("score"), reason.alias("reason"))
-
-
-# ---------------------------------------------------------------- vectorised catalog scoring
-
-# Dense item x term matrix cells we are willing to broadcast (8 bytes each).
-MAX_DENSE_CELLS = 20_000_000
-
-
-def _round_half_up(values, places: int):
-    """Spark-compatible HALF_UP rounding of doubles (on their shortest decimal repr)."""
-    from decimal import ROUND_HALF_UP, Decimal
-    q = Decimal(1).scaleb(-places)
-    return [float(Decimal(repr(float(v))).quantize(q, rounding=ROUND_HALF_UP)) for v in values]
-
-
-def dense_catalog(x: DataFrame, catalog_ids: DataFrame):
-    """(sorted item ids, term index, dense L2-normalised TF-IDF matrix) of a checked catalog, or None if too big."""
-    import numpy as np
-    n_items = catalog_ids.count()
-    n_terms = x.select("term").distinct().count()
-    if n_items * max(n_terms, 1) > MAX_DENSE_CELLS:
-        return None
-    ids = np.array(sorted(r[0] for r in catalog_ids.collect()), dtype=np.int64)
-    rows = x.select("doc_id", "term", "weight").collect()
-    terms = sorted({r.term for r in rows})
-    tix = {t: i for i, t in enumerate(terms)}
-    m = np.zeros((len(ids), len(terms)))
-    pos = np.searchsorted(ids, np.array([r.doc_id for r in rows], dtype=np.int64))
-    for p, r in zip(pos, rows):
-        m[p, tix[r.term]] = r.weight
-    return ids, tix, m
-
-
-def recommend_materials_dense(features: DataFrame, materials: DataFrame, owners: DataFrame, k: int = DEFAULT_TOP_K):
-    """R5 with per-owner vectorised scoring of the whole catalog; None when the dense catalog is too big.
-
-    Each owner group carries only its term profile (<= vocabulary) and its
-    record rows (<= catalog), so a hot owner costs no more than any other;
-    each group emits just its top-k.
-    """
-    import numpy as np
-    import pandas as pd
-    from tidewater.functions import (FEATURE_PATH_ELAPSED, FORECAST_SCALE, URGENCY_HORIZON, VOLUME_SCALE,
-                                     W_FORECAST, W_SIMILARITY, W_URGENCY, W_VOLUME)
-    sim.check_catalog(materials)
-    x = material_tfidf(materials)
-    dense = dense_catalog(x, materials.select("material_id"))
-    if dense is None:
-        return None
-    spark = features.sparkSession
-    bc = spark.sparkContext.broadcast(dense)
-    xb = F.broadcast(x.select("doc_id", "term", "weight"))
-    held = features.select("user_id", "item_id").distinct().join(
-        xb.select(F.col("doc_id").alias("item_id")).distinct(), "item_id", "left_semi")
-    m = held.groupBy("user_id").agg(F.count("*").alias("m"))
-    prof = held.join(xb, held.item_id == xb.doc_id).groupBy("user_id", "term").agg(F.sum("weight").alias("p"))
-    prof = prof.join(m, "user_id").select("user_id", "term", (F.col("p") / F.col("m")).alias("p"))
-    prof = owners.select("user_id").distinct().join(prof, "user_id", "left")
-    rec = features.select(F.col("user_id").alias("owner_key"), "item_id", F.col("procurement_count").cast("double").alias("cnt"),
-                          F.col("avg_procurement_interval_days").alias("cyc"), F.col("avg_procurement_quantity").alias("fq"))
-
-    def score(key, pp: pd.DataFrame, rr: pd.DataFrame) -> pd.DataFrame:
-        ids, tix, mat = bc.value
-        q = np.zeros(mat.shape[1])
-        for t, p in zip(pp["term"], pp["p"]):
-            if t is not None and t in tix:
-                q[tix[t]] = p
-        sims = mat @ q
-        vol = np.zeros(len(ids)); urg = np.zeros(len(ids)); fs = np.zeros(len(ids))
-        demand = np.zeros(len(ids)); elapsed = np.zeros(len(ids), dtype=np.int64); cycle = np.zeros(len(ids), dtype=np.int64)
-        if len(rr):
-            pos = np.searchsorted(ids, rr["item_id"].to_numpy(np.int64))
-            ok = (pos < len(ids)) & (ids[np.minimum(pos, len(ids) - 1)] == rr["item_id"].to_numpy(np.int64))
-            pos, r_ = pos[ok], rr[ok]
-            c = r_["cyc"].to_numpy(float)
-            f = r_["fq"].to_numpy(float)
-            vol[pos] = np.minimum(1.0, r_["cnt"].to_numpy(float) / VOLUME_SCALE)
-            urg[pos] = np.where(c > 0, np.minimum(1.0, URGENCY_HORIZON / np.where(c > 0, c, 1.0)), 0.5)
-            fs[pos] = np.where(f > 0, np.minimum(1.0, f / FORECAST_SCALE), 0.0)
-            demand[pos] = _round_half_up(f, 1)
-            elapsed[pos] = FEATURE_PATH_ELAPSED
-            cycle[pos] = np.trunc(c).astype(np.int64)
-        raw = W_VOLUME * vol + W_URGENCY * urg + W_FORECAST * fs + W_SIMILARITY * sims
-        # exact rounded top-k: round only the items that can reach it
-        kth = np.sort(raw)[::-1][min(k, len(raw)) - 1] if len(raw) else 0.0
-        near = np.nonzero(raw >= kth - 1e-4)[0]
-        rs = np.array(_round_half_up(raw[near], 4))
-        order = np.lexsort((ids[near], -rs))[:k]
-        sel = near[order]
-        return pd.DataFrame({"user_id": np.full(len(sel), key[0], dtype=np.int64), "rank": np.arange(1, len(sel) + 1, dtype=np.int64),
-                             "item_id": ids[sel], "score": rs[order], "demand": demand[sel],
-                             "elapsed": elapsed[sel], "cycle": cycle[sel]})
-
-    schema = "user_id long, rank long, item_id long, score double, demand double, elapsed long, cycle long"
-    ranked = prof.groupBy("user_id").cogroup(rec.groupBy("owner_key")).applyInPandas(score, schema)
-    return _material_output(ranked, materials)
-
-
-def recommend_materials_best(features: DataFrame, materials: DataFrame, owners: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
-    """R5 entry point: vectorised per-owner scoring when the dense catalog fits the broadcast bound,
-    else the join formulation (same results)."""
-    dense = recommend_materials_dense(features, materials, owners, k)
-    return dense if dense is not None else recommend_materials(features, materials, owners, k)
-
-
-def personal_top_k_dense(user_scores: DataFrame, products: DataFrame, k: int, alpha: float = HYBRID_ALPHA):
-    """R3 personal picks with vectorised per-user scoring; None when the catalog is too big for dense blocks.
-
-    Same semantics as ``personal_top_k(hybrid_scores(...))``: CF from the
-    column-cosine matrix (partial Gramians summed by a shuffle), content from
-    the dense TF-IDF matrix, min-max over the whole catalog row, seen items
-    suppressed, positive scores only, ranked on 9-place scores then id.
-    """
-    import numpy as np
-    import pandas as pd
-    from tidewater.operators import dense as dn
-    n = sim.check_catalog(products)
-    if n > dn.MAX_GRAM_CATALOG:
-        return None
-    x = product_tfidf(products)
-    cat = dense_catalog(x, products.select("product_id"))
-    if cat is None:
-        return None
-    ids, _, xm = cat
-    # read twice (Gramian job, then scoring): keep it; lineage-backed, so lost executors recompute
-    r = catalog_scores(user_scores, products).persist(StorageLevel.MEMORY_AND_DISK)
-    s = dn.cosine_from_gramian(dn.gramian(r, "user_id", "item_id", "score", ids).collect(), ids)  # <= catalog^2
-    den = np.abs(s).sum(axis=1)
-    den = np.where(den == 0, 1.0, den)
-    bc = r.sparkSession.sparkContext.broadcast((ids, s, den, xm))
-
-    def mm(a):
-        lo, hi = a.min(axis=1, keepdims=True), a.max(axis=1, keepdims=True)
-        return np.where(hi > lo, (a - lo) / np.where(hi > lo, hi - lo, 1.0), a)
-
-    def score(it):
-        ids_, s_, den_, x_ = bc.value
-        for users, m in dn.user_blocks(it, "user_id", "item_id", "score", ids_):
-            h = (1.0 - alpha) * mm((m @ s_) / den_) + alpha * mm((m @ x_) @ x_.T)
-            h = np.where(m > 0, -1.0, h)
-            key = np.round(h, 9)
-            out_u, out_i, out_s, out_r = [], [], [], []
-            for row in range(len(users)):
-                cand = np.nonzero(h[row] > 0)[0]
-                if not len(cand):
-                    continue
-                order = cand[np.lexsort((ids_[cand], -key[row, cand]))][:k]
-                out_u += [users[row]] * len(order)
-                out_i += list(ids_[order])
-                out_s += _round_half_up(h[row, order], 4)
-                out_r += list(range(1, len(order) + 1))
-            if out_u:
-                yield pd.DataFrame({"user_id": np.array(out_u, dtype=np.int64), "item_id": np.array(out_i, dtype=np.int64),
-                                    "score": out_s, "rank": np.array(out_r, dtype=np.int32)})
-
-    from tidewater.operators.dense import sorted_by
-    return sorted_by(r, "user_id").mapInPandas(score, "user_id long, item_id long, score double, rank int")
-
-
-def recommend_products_best(user_scores: DataFrame, products: DataFrame, popular: DataFrame, users: DataFrame,
-                            k: int = DEFAULT_TOP_K, alpha: float = HYBRID_ALPHA) -> DataFrame:
-    """``recommend_products`` with the vectorised personal stage when the catalog allows it."""
-    personal = personal_top_k_dense(user_scores, products, k, alpha)
-    if personal is None:
-        return recommend_products(user_scores, products, popular, users, k, alpha)
-    recs = with_backfill(users, personal, popular, k)
-    cat = F.broadcast(products.withColumnRenamed("product_id", "item_id"))  # checked catalog
-    return recs.join(cat, "item_id", "left").select(
-        "user_id", "rank", F.col("item_id").alias("product_id"), "product_name", "category", "price",
-        "description", "score", "source")
+    ranked = ranked.select("user_id", F.col("rank").cast("long").alias("rank"), "item_id", F.round("score", 6).alias("score"), reason.alias("reason"))
+    most = purchases.groupBy(F.col("material_id").alias("item_id")).agg(F.count("*").alias("n"))
+    order = [F.col("n").desc(), F.col("item_id").asc()]
+    most = most.orderBy(*order).limit(k).select("item_id", F.row_number().over(Window.orderBy(*order)).alias("pos"))
+    new = owners.select(F.col("owner_id").alias("user_id")).distinct().join(hist_owners, "user_id", "left_anti")
+    new = new.withColumn("pop", _popular_array(most)).select("user_id", F.posexplode("pop").alias("at", "item_id"))
+    new = new.select("user_id", (F.col("at") + 1).cast("long").alias("rank"), "item_id", F.lit(1.0).alias("score"), F.lit(REASON_POPULAR).alias("reason"))
+    cat = materials.withColumnRenamed("material_id", "item_id")
+    return ranked.unionByName(new).join(cat, "item_id").select(
+        "user_id", "rank", F.col("item_id").alias("material_id"), "material_name", "category",
+        F.col("price").alias("unit_cost"), "score", "reason")

@@ -26,7 +26,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dfreq = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = dfreq.select("term", (F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
     # idf: one row per vocabulary term
-    w = tf.join(F.broadcast(idf), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    w = tf.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
     norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return w.join(norm, "doc_id").select(
         "doc_id", "term", "tf", "idf", (F.col("raw") / F.col("norm")).alias("weight"))

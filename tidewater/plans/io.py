@@ -151,7 +151,7 @@ def validate_layout(spark, sf):
 
 @query("bulk_load_interactions")
 def bulk_load_interactions(spark, sf):
-    """Interactions appended in files of <= 2000 rows, read back."""
+    """Interactions appended to a Parquet folder, read back."""
     path = files.shared_scratch(spark, "bulk")
     sinks.bulk_load(V.customer_interactions(spark, sf), path)
     return spark.read.parquet(path)
@@ -193,7 +193,7 @@ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_regionk
 def entity_list_customers(spark, sf):
     """Customers joined with their nation, restricted to one region (the role constant)."""
     c = read_table(spark, sf, "customer")
-    n = F.broadcast(read_table(spark, sf, "nation").where(F.col("n_regionkey") == 1))
+    n = read_table(spark, sf, "nation").where(F.col("n_regionkey") == 1)
     return c.join(n, c.c_nationkey == n.n_nationkey).select(
         F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.col("n_name").alias("nation"))
 

@@ -97,7 +97,7 @@ def recommend_products(spark, sf):
     """Flagship R3/R4 (feature path): top-5 hybrid picks for every customer in the feature frame."""
     f = _features(spark, sf, keep=True)
     scores = f.select("user_id", "item_id", F.col("weighted_score").alias("score"))
-    return rk.recommend_products_best(scores, V.products(spark, sf), rk.popular_from_features(f), f.select("user_id"), K)
+    return rk.recommend_products(scores, V.products(spark, sf), rk.popular_from_features(f), f.select("user_id"), K)
 
 
 RAW_HY = with_views("C", "C_products") + f""", R0 AS (SELECT user_id, item_id, sum({raw_weight_sql()}) AS score FROM C GROUP BY 1, 2),
@@ -109,7 +109,7 @@ def recommend_products_raw(spark, sf):
     """Raw path: weights view/click/purchase (case-sensitive), popularity by purchases then events."""
     c = V.customer_interactions(spark, sf)
     scores = fe.raw_user_item_scores(c)
-    return rk.recommend_products_best(scores, V.products(spark, sf), rk.popular_from_events(c), c.select("user_id"), K)
+    return rk.recommend_products(scores, V.products(spark, sf), rk.popular_from_events(c), c.select("user_id"), K)
 
 
 @query("recommend_cold_start", CUSTOMER_FEATURES_SQL + ", " + POPF_SQL + f""",
@@ -168,7 +168,7 @@ def recommend_materials(spark, sf):
     """R5 (feature path): every supplier in the owner feature frame, scored over the whole catalog."""
     f = _owner_features(spark, sf, keep=True)
     mats = V.materials(spark, sf)
-    return rk.recommend_materials_best(f, mats, f.select("user_id"), K)
+    return rk.recommend_materials(f, mats, f.select("user_id"), K)
 
 
 POPM_SQL = f"""
@@ -215,7 +215,6 @@ TV = with_views("T", "T_products", "T_customers")
 
 
 def _knn_inputs(spark, sf):
-    simop.check_catalog(V.products_k(spark, sf))
     t = V.transactions(spark, sf)
     nb = simop.top_neighbors(simop.column_cosine(t, "customer_id", "product_id", "quantity"), KNN_NEIGHBORS, include_self=True)
     ui = t.groupBy(F.col("customer_id").alias("user_id"), F.col("product_id").alias("item_id")).agg(
@@ -247,7 +246,7 @@ def preferred_category_scores(spark, sf):
 
 
 @query("recommend_products_knn", KNN_SQL + f""",
-USERS AS (SELECT DISTINCT customer_id AS user_id FROM T WHERE customer_id IN (SELECT customer_id FROM T_customers)),
+USERS AS (SELECT customer_id AS user_id FROM T_customers),
 SCK AS (SELECT u.user_id, p.product_id AS item_id,
                round(0.7 * COALESCE(kc.cf, 0.0) + 0.3 * CASE WHEN p.category = c.preferred_category THEN 1.0 ELSE 0.3 END, 9) AS score
         FROM USERS u CROSS JOIN T_products p JOIN T_customers c ON u.user_id = c.customer_id
@@ -256,7 +255,7 @@ RKK AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, i
 SELECT r.user_id, CAST(r.rank AS BIGINT) AS rank, r.item_id AS product_id, p.name, p.category, p.subcategory, p.price,
        round(r.score, 6) AS score FROM RKK r JOIN T_products p ON r.item_id = p.product_id""")
 def recommend_products_knn(spark, sf):
-    """Every customer with transactions, KNN CF + preferred-category content, bought items eligible."""
+    """Every customer, KNN CF + preferred-category content, bought items eligible."""
     t, nb, ui = _knn_inputs(spark, sf)
     out = rk.recommend_products_knn(ui, nb, V.customers_t(spark, sf), V.products_k(spark, sf), ui.select("user_id"), K)
     return out.withColumn("score", r6(F.col("score")))
@@ -312,14 +311,17 @@ SELECT r.user_id, CAST(r.rank AS BIGINT) AS rank, r.item_id AS material_id, k.ma
        round(r.score, 6) AS score,
        CASE WHEN r.bought THEN 'Based on production trends' ELSE 'Similar to ' || f.material_name END AS reason
 FROM RKC r JOIN OK_materials k ON r.item_id = k.material_id JOIN FM ON FM.user_id = r.user_id
-JOIN OK_materials f ON f.material_id = FM.fm"""
+JOIN OK_materials f ON f.material_id = FM.fm
+UNION ALL
+SELECT o.owner_id, p.pos, k.material_id, k.material_name, k.category, k.price, 1.0, 'Popular material'
+FROM M_owners o CROSS JOIN (SELECT material_id, row_number() OVER (ORDER BY count(*) DESC, material_id) AS pos FROM M GROUP BY 1 QUALIFY pos <= {K}) p
+JOIN OK_materials k ON k.material_id = p.material_id WHERE o.owner_id NOT IN (SELECT user_id FROM HO)""".replace("{K}", str(K))
 
 
 @query("recommend_materials_copurchase", COP_SQL)
 def recommend_materials_copurchase(spark, sf):
     """Co-purchase similarity over every purchase row + industry rules, with reasons."""
     mats = V.materials_k(spark, sf)
-    simop.check_catalog(mats)
     m = V.owner_purchases(spark, sf)
     co = simop.cooccurrence(m, "owner_id", "material_id").withColumn("n", F.col("n_owners").cast("double"))
     co_sim = simop.column_cosine(co, "item_b", "item_a", "n")

@@ -34,7 +34,6 @@ SELECT item_i AS item_id, item_j AS similar_item_id, round(sim, 6) AS similarity
 WHERE rank <= {TOP_SIMILAR}""")
 def content_similar_items(spark, sf):
     p = V.products(spark, sf)
-    sim.check_catalog(p)
     s = sim.tfidf_cosine(rk.product_tfidf(p))
     t = sim.top_neighbors(s, TOP_SIMILAR, include_self=False)
     return t.select(F.col("item_i").alias("item_id"), F.col("item_j").alias("similar_item_id"),
@@ -47,7 +46,6 @@ SELECT item_i AS item_id, item_j AS similar_item_id, round(sim, 6) AS similarity
 WHERE rank <= {TOP_SIMILAR}""")
 def cf_similar_items(spark, sf):
     p = V.products(spark, sf)
-    sim.check_catalog(p)
     f = fe.customer_features(V.customer_interactions(spark, sf), p)
     s = sim.column_cosine(f, "user_id", "item_id", "weighted_score")
     t = sim.top_neighbors(s, TOP_SIMILAR, include_self=False)
@@ -64,7 +62,6 @@ SELECT item_i AS product_id, item_j AS neighbor_id, round(sim, 6) AS similarity,
 WHERE rank <= {KNN_NEIGHBORS}""")
 def knn_neighbors(spark, sf):
     """M5: 20 nearest products (self included) by cosine of customer-quantity columns."""
-    sim.check_catalog(V.products_k(spark, sf))
     t = V.transactions(spark, sf)
     s = sim.column_cosine(t, "customer_id", "product_id", "quantity")
     n = sim.top_neighbors(s, KNN_NEIGHBORS, include_self=True)
@@ -95,7 +92,6 @@ DM AS (SELECT DISTINCT owner_id, material_id FROM M)
 SELECT a.material_id AS material_a, b.material_id AS material_b, count(*) AS n_owners
 FROM DM a JOIN DM b ON a.owner_id = b.owner_id GROUP BY 1, 2""")
 def copurchase_counts(spark, sf):
-    sim.check_catalog(V.materials_k(spark, sf))
     c = sim.cooccurrence(V.owner_purchases(spark, sf), "owner_id", "material_id")
     return c.select(F.col("item_a").alias("material_a"), F.col("item_b").alias("material_b"), "n_owners")
 
@@ -107,7 +103,6 @@ CO AS (SELECT a.material_id AS ma, b.material_id AS mb, count(*) AS n FROM DM a
 SELECT item_i AS material_a, item_j AS material_b, round(sim, 6) AS similarity FROM SIM""")
 def copurchase_similarity(spark, sf):
     """M7: cosine between co-purchase rows (row scaling cancels in the cosine)."""
-    sim.check_catalog(V.materials_k(spark, sf))
     c = sim.cooccurrence(V.owner_purchases(spark, sf), "owner_id", "material_id")
     s = sim.column_cosine(c.withColumn("n", F.col("n_owners").cast("double")), "item_b", "item_a", "n")
     return s.select(F.col("item_i").alias("material_a"), F.col("item_j").alias("material_b"), r6(F.col("sim")).alias("similarity"))

@@ -6,7 +6,7 @@ requested views (dependencies included, in order).
 
 from __future__ import annotations
 
-from tidewater.sources.views import EVENT_ITEM_LIMIT, INDUSTRY_RULES
+from tidewater.sources.views import INDUSTRY_RULES
 
 _RULE_ROWS = ", ".join(f"('{i}', '{c}')" for i, cats in INDUSTRY_RULES.items() for c in cats)
 
@@ -14,7 +14,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "C_products": ((), f"""
         SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category,
                p_retailprice AS price, p_brand || ' ' || p_name AS description
-        FROM part WHERE p_partkey < {EVENT_ITEM_LIMIT}"""),
+        FROM part"""),
     "C": (("C_products",), """
         SELECT e.event_id AS interaction_id, 'customer' AS user_type, e.user_id,
                e.k AS item_id, 'product' AS item_type, e.event_type AS interaction_type,
@@ -22,7 +22,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                p.price, e.ts AS interaction_timestamp
         FROM (SELECT event_id, ts, user_id, event_type,
                      TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e
-        JOIN C_products p ON e.k = p.product_id"""),
+        LEFT JOIN C_products p ON e.k = p.product_id"""),
     "O_materials": ((), """
         SELECT p_partkey AS material_id, p_name AS material_name, p_type AS category,
                p_retailprice AS price, p_brand || ' ' || p_name AS description
@@ -86,7 +86,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         WHERE rn = 1"""),
     "P_items": ((), f"""
         SELECT p_partkey AS movie_id, p_name AS title, p_type AS genre, p_brand || ' ' || p_name AS description
-        FROM part WHERE p_partkey < {EVENT_ITEM_LIMIT}"""),
+        FROM part"""),
 }
 
 

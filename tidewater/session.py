@@ -32,13 +32,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tid
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    A cluster sets ``spark.checkpoint.dir`` to a shared filesystem; only when it
-    is unset (local tests) do we create a scratch folder of our own.
+    A cluster sets ``spark.checkpoint.dir`` to a shared filesystem. Only a
+    session whose driver and executors are one process may do without it and
+    gets a scratch folder of its own; any other session is refused.
     """
     cp = spark.conf.get("spark.checkpoint.dir", None)
     if not cp:
         cp = spark.sparkContext._jsc.sc().getCheckpointDir()
         cp = cp.get() if cp.isDefined() else None
+    if not cp and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not cp:
         cp = tempfile.mkdtemp(prefix="tidewater-cp-")
         spark.conf.set("spark.checkpoint.dir", cp)

@@ -1 +1 @@
-from tidewater.sources.tables import read_table, broadcast_if_small  # noqa: F401
+from tidewater.sources.tables import read_table  # noqa: F401

@@ -23,7 +23,7 @@ def _require_category(cid: F.Column, name: F.Column, key: F.Column) -> F.Column:
 
 def products_layout(products: DataFrame, category_ids: DataFrame, as_of: F.Column) -> DataFrame:
     """Catalog -> operational Products layout (constants, casts, category lookup that fails on unknown)."""
-    j = products.join(F.broadcast(category_ids.withColumnRenamed("p_type", "category")), "category", "left")
+    j = products.join(category_ids.withColumnRenamed("p_type", "category"), "category", "left")
     cid = _require_category(F.col("category_id"), F.col("category"), F.col("product_id"))
     null_s, null_ts, null_d = F.lit(None).cast("string"), F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("double")
     return j.select(
@@ -67,9 +67,14 @@ def validate_layout(layout: DataFrame, n_categories: int, required=PRODUCT_REQUI
     ).withColumn("type_mismatches", F.lit(bad_types))
 
 
-def bulk_load(df: DataFrame, path: str, batch_rows: int = BULK_BATCH_ROWS) -> None:
-    """Append in files of at most ``batch_rows`` rows (parquet sink; a JDBC sink takes ``batchsize``)."""
-    df.write.mode("append").option("maxRecordsPerFile", batch_rows).parquet(path)
+def bulk_load(df: DataFrame, path: str) -> None:
+    """Append to a Parquet folder; files follow the partitions."""
+    df.write.mode("append").parquet(path)
+
+
+def bulk_load_jdbc(df: DataFrame, url: str, table: str, batch_rows: int = BULK_BATCH_ROWS, **options: str) -> None:
+    """Append to a database table in batches of ``batch_rows`` rows, one transaction a partition."""
+    df.write.format("jdbc").mode("append").options(url=url, dbtable=table, batchsize=batch_rows, **options).save()
 
 
 def append_run(spark: SparkSession, path: str, run_id: str, kind: str, params: dict, metrics: DataFrame) -> DataFrame:

@@ -1,14 +1,8 @@
-"""Driver tables and the size-checked broadcast helper."""
+"""Driver tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Upper bound for a side we are willing to ship to every executor. Dimension
-# tables (catalogs, category keys) are checked against it at plan time; above
-# it the join is left to the planner (sort-merge / AQE), never forced.
-BROADCAST_MAX_ROWS = 2_000_000
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -18,38 +12,3 @@ TABLES = (
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-_PROBES: dict[tuple[int, int, int], int] = {}
-
-
-def bounded_count(df: DataFrame, limit: int) -> int:
-    """``min(count, limit + 1)`` via ``limit(limit + 1).count()`` (stops early on big inputs).
-
-    Memoised per session on the plan's semantic hash, so re-probing the same
-    dimension table within a job costs nothing.
-    """
-    key = (id(df.sparkSession), df.semanticHash(), limit)
-    if key not in _PROBES:
-        _PROBES[key] = df.limit(limit + 1).count()
-    return _PROBES[key]
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven <= ``max_rows``.
-
-    The probe is ``limit(max_rows + 1).count()`` so an oversized side stops
-    early; the fallback keeps the planner's shuffle join.
-    """
-    n = bounded_count(df, max_rows)
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def broadcast_bounded_by(df: DataFrame, bound: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` when ``bound`` — a cheap table whose row count bounds ``df``'s
-    (e.g. the catalog under a catalog-left-join) — is proven <= ``max_rows``.
-
-    Probing the bound avoids executing an expensive derived plan just to size it.
-    """
-    n = bounded_count(bound, max_rows)
-    return F.broadcast(df) if n <= max_rows else df

@@ -8,7 +8,7 @@
 * ``ratings`` / ``rated_items`` (P)
 
 Every view keeps the interaction schema of the reference so the operators
-take them unchanged. Dimension sides go through ``broadcast_if_small``.
+take them unchanged. The planner and adaptive execution choose the joins.
 """
 
 from __future__ import annotations
@@ -16,10 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.sources.tables import broadcast_if_small, read_table
-
-# --- fixed values: number of event items (props.k lies in 0..99 = parts below this key)
-EVENT_ITEM_LIMIT = 100
+from tidewater.sources.tables import read_table
 
 # --- fixed values: lineitem return flag -> owner interaction type
 RETURNFLAG_TYPES = {"R": "reorder", "N": "purchase", "A": "view"}
@@ -36,7 +33,7 @@ INDUSTRY_RULES = {
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part")
-    return part.where(F.col("p_partkey") < EVENT_ITEM_LIMIT).select(
+    return part.select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
@@ -50,8 +47,8 @@ def customer_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "ts", "user_id", "event_type",
         F.get_json_object("props", "$.k").try_cast("long").alias("k"),
     )
-    cat = broadcast_if_small(products(spark, sf_dir).select("product_id", "category", "price"))
-    return ev.join(cat, ev.k == cat.product_id, "inner").select(
+    cat = products(spark, sf_dir).select("product_id", "category", "price")
+    return ev.join(cat, ev.k == cat.product_id, "left").select(
         F.col("event_id").alias("interaction_id"),
         F.lit("customer").alias("user_type"),
         F.col("user_id"),
@@ -101,7 +98,7 @@ def _owner_rows(li: DataFrame, item_col: F.Column) -> DataFrame:
 def _lineitem_part(spark: SparkSession, sf_dir: str, part_cols: list[str]) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_quantity", "l_shipdate")
-    part = broadcast_if_small(read_table(spark, sf_dir, "part").select("p_partkey", *part_cols))
+    part = read_table(spark, sf_dir, "part").select("p_partkey", *part_cols)
     return li.join(part, li.l_partkey == part.p_partkey, "inner")
 
 
@@ -119,7 +116,7 @@ def category_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def demand_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View D: owner events with item = category position (supplier x category series)."""
     j = _lineitem_part(spark, sf_dir, ["p_type", "p_retailprice"])
-    ids = F.broadcast(category_ids(spark, sf_dir).withColumnRenamed("p_type", "cid_type"))
+    ids = category_ids(spark, sf_dir).withColumnRenamed("p_type", "cid_type")
     j = j.join(ids, j.p_type == ids.cid_type, "inner")
     return _owner_rows(j, F.col("category_id"))
 
@@ -145,7 +142,7 @@ def materials_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _part_to_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.broadcast(coarse_keys(spark, sf_dir).select("kid", F.col("p_brand").alias("k_brand"), F.col("p_type").alias("k_type")))
+    k = coarse_keys(spark, sf_dir).select("kid", F.col("p_brand").alias("k_brand"), F.col("p_type").alias("k_type"))
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
     return part.join(k, (part.p_brand == k.k_brand) & (part.p_type == k.k_type), "inner").drop("k_brand", "k_type")
 
@@ -153,7 +150,7 @@ def _part_to_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def owner_interactions_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_partkey", "l_returnflag", "l_quantity", "l_shipdate")
-    pk = broadcast_if_small(_part_to_k(spark, sf_dir))
+    pk = _part_to_k(spark, sf_dir)
     j = li.join(pk, li.l_partkey == pk.p_partkey, "inner")
     return _owner_rows(j, F.col("kid"))
 
@@ -161,7 +158,7 @@ def owner_interactions_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_lines_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    pk = broadcast_if_small(_part_to_k(spark, sf_dir).select("p_partkey", "kid"))
+    pk = _part_to_k(spark, sf_dir).select("p_partkey", "kid")
     j = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
     return j.join(pk, j.l_partkey == pk.p_partkey, "inner")
 
@@ -193,8 +190,8 @@ def customers_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer").select("c_custkey")
     ids = category_ids(spark, sf_dir)
     n = ids.agg(F.count("*")).scalar()
-    ids = F.broadcast(ids)
-    return cust.join(ids, F.pmod(cust.c_custkey, n) + 1 == ids.category_id, "inner").select(
+    cust = cust.withColumn("position", F.pmod(F.col("c_custkey"), n) + 1)
+    return cust.join(ids, F.col("position") == F.col("category_id"), "inner").select(
         F.col("c_custkey").alias("customer_id"), F.col("p_type").alias("preferred_category"))
 
 
@@ -242,7 +239,7 @@ def dedupe_first(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
 
 
 def rated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read_table(spark, sf_dir, "part").where(F.col("p_partkey") < EVENT_ITEM_LIMIT)
+    part = read_table(spark, sf_dir, "part")
     return part.select(
         F.col("p_partkey").alias("movie_id"),
         F.col("p_name").alias("title"),
