@@ -13,7 +13,8 @@
    reporting, is a quotation; near a word of address it is aimed at somebody. Each kind scales a match.
 4. Weights: how often training documents that hold a term, exactly or misspelled, are toxic
    (with a prior of the base rate); a misspelling that clean documents share so gets no weight.
-Score: 1 - product over matches of (1 - weight x context); texts without match score 0.
+Score: 1 - product over matches of (1 - weight x context); texts without match score 0. Terms of less
+than half trust together add at most ``WEAK``: they rank texts, but reject none.
 
 Rows: null and empty texts score 0; a repeated row is scored on its own; a document with several label
 rows is toxic if one says so; rows without label, or with a null one, teach nothing; without any
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import textkit as X
-from tidewater.llm.common import bounded_batches, checkpointed
+from tidewater.llm.common import bounded_batches, checkpointed, pick_ids
 
 TERMS = 400  # most terms of the lexicon; bounds the automaton
 STEMS = tuple(range(4, 11))  # characters of stems
@@ -41,6 +42,7 @@ CHANCE = 20.0
 EDIT_FROM = 5  # characters from which a term may be misspelled by one edit
 WINDOW = 6
 THRESHOLD = 0.3
+WEAK = 0.2
 STRENGTH = 0.9  # greatest weight of one match
 #: Factors of a match in a quotation, aimed at somebody, or neither.
 CONTEXT = {"quoted": 0.2, "aimed": 1.0, "plain": 0.7}
@@ -62,7 +64,7 @@ def training(docs: DataFrame, labels: DataFrame, fold: Column | None) -> DataFra
     """text, toxic (boolean) of labelled rows; ``fold``: the condition on ``labels`` of rows to learn from."""
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     marks = marks if fold is None else marks.filter(fold)
-    marks = marks.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    marks = pick_ids(checkpointed(marks.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))))
     return docs.select("doc_id", "text").filter("text IS NOT NULL").join(marks, "doc_id").select("text", "toxic")
 
 
@@ -76,7 +78,7 @@ def lexicon(train: DataFrame, terms: int = TERMS) -> dict[str, float]:
     base = train.agg(F.avg(F.col("toxic").cast("double"))).collect()[0][0]
     if not base or base == 1.0:
         return {}
-    alike = n.groupBy("all").agg(F.count(F.lit(1)).alias("alike"))
+    alike = pick_ids(checkpointed(n.groupBy("all").agg(F.count(F.lit(1)).alias("alike"))))
     good = F.col("all") - F.col("bad")
     # log of C(all, bad) by Stirling's series, which is within 1 % from 1 on
     fact = lambda x: F.when(x > 0, x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x)).otherwise(F.lit(0.0))
@@ -271,13 +273,20 @@ def scored(docs: DataFrame, labels: DataFrame, fold: Column | None, keep: list[s
     w = weights(train, automaton, terms) if terms else {}
     factor = (CONTEXT["plain"], CONTEXT["aimed"], CONTEXT["quoted"])
     value = spark.sparkContext.broadcast({(t, e, c): 1 - v * factor[c] for (t, e), v in w.items() for c in range(3)})
+    firm = [trust >= 0.5 for trust in terms.values()]
     hits = matches(docs, automaton, keep)
     schema = hits.drop("hits").schema.add("score", "double")
 
+    def of(row: list[dict]) -> float:
+        rest = [1.0, 1.0]  # of weak and of firm terms
+        for h in row:
+            rest[firm[h["term"]]] *= value.value[h["term"], h["edits"], h["context"]] ** h["n"]
+        return 1 - rest[1] * max(rest[0], 1 - WEAK)
+
     def run(batches):
         for batch in batches:
             rows = batch.column(len(keep)).to_pylist()
-            out = [1 - float(np.prod([value.value[h["term"], h["edits"], h["context"]] ** h["n"] for h in row])) if row else 0.0 for row in rows]
+            out = [of(row) for row in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], names=schema.names)
 
     return hits.mapInArrow(run, schema)
