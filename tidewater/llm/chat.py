@@ -46,12 +46,16 @@ def unescaped(text: str) -> str:
     return MARKED.sub(lambda m: "{}{}{}".format(*(g for g in m.groups() if g is not None)), text)
 
 
+#: Characters that a role may not show, as the turn's first line must stay one line without control strings.
+ROLE_MARKS = {"\\": "\\\\", "\n": "\\n", "<": "\\l", "[": "\\b"}
+
+
 def escaped_role(role: str) -> str:
-    return re.sub(r"[\\<\[\n]", lambda m: "\\n" if m.group() == "\n" else "\\" + m.group(), role)
+    return re.sub(r"[\\\n<\[]", lambda m: ROLE_MARKS[m.group()], role)
 
 
 def unescaped_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m.group(1) == "n" else m.group(1), role)
+    return re.sub(r"\\([\\nlb])", lambda m: next(k for k, v in ROLE_MARKS.items() if v == m.group()), role)
 
 
 def chained(rows: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def archives(records, archive_bytes: int = ARCHIVE_BYTES):
         if compress is None:
             waiting.append(r)
             held += len(r)
-            if held >= TRAIN_BYTES:
+            if held >= min(TRAIN_BYTES, archive_bytes):
                 yield from flush()
                 waiting, held = [], 0
         else:
