@@ -8,10 +8,10 @@ driver. Predictions for every (owner, item) pair are one grouped pass.
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.session import cut_lineage
 from tidewater.functions import (
     CYCLE_MAX, CYCLE_MIN, CYCLE_SINGLE, DEFAULT_MEAN_QTY, FORECAST_FEATURES, RIDGE_ALPHA,
     days_between, scalar_max, week_start,
@@ -181,8 +181,8 @@ def sparse_training_moments(events: DataFrame) -> DataFrame:
     """
     n_part = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one hash partitioning on (user, item) serves every aggregate and join below
-    wk = weekly_demand(events).select("user_id", "item_id", "week", F.col("quantity").cast("double").alias("q")).repartition(
-        n_part, "user_id", "item_id").persist(StorageLevel.MEMORY_AND_DISK)
+    wk = cut_lineage(weekly_demand(events).select("user_id", "item_id", "week", F.col("quantity").cast("double").alias("q")).repartition(
+        n_part, "user_id", "item_id"))
     span = wk.groupBy("user_id", "item_id").agg(F.min("week").alias("w0"), F.max("week").alias("w1"))
     # an active week feeds rows t = week + 0..3 weeks as quantity, lag_1, lag_2, lag_3
     names = ("quantity", "lag_1", "lag_2", "lag_3")

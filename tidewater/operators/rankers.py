@@ -375,6 +375,12 @@ def owner_history_summary(purchases: DataFrame) -> DataFrame:
         F.min_by("material_id", order).alias("first_material_id"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
+def owner_history(purchases: DataFrame) -> DataFrame:
+    """Every purchase with its place in the owner's history (date, then order line)."""
+    w = Window.partitionBy("owner_id").orderBy("date", "l_orderkey", "l_linenumber", "l_partkey", "quantity")
+    return purchases.select("owner_id", F.row_number().over(w).cast("long").alias("nth"), "material_id", "quantity", "date")
+
+
 def recommend_materials_copurchase(purchases: DataFrame, materials: DataFrame, owners: DataFrame, rules: DataFrame,
                                    co_sim: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
     """Sum over every purchase row of co-purchase similarity to non-purchased materials,

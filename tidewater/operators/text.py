@@ -32,19 +32,35 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "doc_id", "term", "tf", "idf", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
-def bigram_vocabulary(docs: DataFrame, id_col: str, text_col: str, max_features: int) -> DataFrame:
-    """Top ``max_features`` unigrams+bigrams (after stop-word removal) by corpus frequency.
-
-    Ties on frequency are broken by term (alphabetical), as a vectorizer's
-    vocabulary is alphabetical. Returns (term, corpus_tf, df).
-    """
+def _grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, term) rows of unigrams and bigrams after stop-word removal."""
     toks = docs.select(F.col(id_col).alias("doc_id"),
                        F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_PATTERN), 0).alias("t"))
     toks = toks.select("doc_id", F.filter("t", lambda x: ~x.isin(STOP_WORDS)).alias("t"))
-    grams = toks.select("doc_id", F.explode(F.concat(
+    return toks.select("doc_id", F.explode(F.concat(
         F.col("t"),
         F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))),
                     lambda i: F.when(F.size("t") > 1, F.concat_ws(" ", F.element_at("t", i), F.element_at("t", i + 1)))),
     )).alias("term")).where(F.col("term").isNotNull())
+
+
+def bigram_vocabulary(docs: DataFrame, id_col: str, text_col: str, max_features: int) -> DataFrame:
+    """Top ``max_features`` unigrams+bigrams (after stop-word removal) by corpus frequency.
+
+    Ties on frequency are broken by term (alphabetical), as a vectorizer's
+    vocabulary is alphabetical. Returns (term, corpus_tf, df).
+    """
+    grams = _grams(docs, id_col, text_col)
     freq = grams.groupBy("term").agg(F.count("*").alias("corpus_tf"), F.countDistinct("doc_id").alias("df"))
     return freq.orderBy(F.col("corpus_tf").desc(), F.col("term").asc()).limit(max_features)
+
+
+def bigram_tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int) -> DataFrame:
+    """M4: (doc_id, term, weight) of the capped vocabulary: smooth idf, raw tf, unit rows."""
+    vocabulary = bigram_vocabulary(docs, id_col, text_col, max_features)
+    n = docs.agg(F.count("*")).scalar()
+    idf = vocabulary.select("term", (F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
+    tf = _grams(docs, id_col, text_col).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    w = tf.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return w.join(norm, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tidewater.functions import HYBRID_ALPHA, POPULAR_MATERIALS_N, TRAIN_FRACTION, r6
@@ -13,9 +12,12 @@ from tidewater.operators import rankers as rk
 from tidewater.plans import customer as pc
 from tidewater.plans import owner as po
 from tidewater.plans import rankers as pr
+from tidewater.functions import POPULAR_MATERIALS_N
+from tidewater.plans.forecast import CYC_SQL
 from tidewater.plans.registry import query
 from tidewater.plans.sqlblocks import hybrid_sql, topk_backfill_sql
 from tidewater.plans.sqlviews import VIEW_SQL, with_views
+from tidewater.session import cut_lineage
 from tidewater.sources import views as V
 
 C_ORDER = ["interaction_timestamp", "interaction_id"]
@@ -63,7 +65,7 @@ REL AS (SELECT DISTINCT user_id, item_id FROM C_TEST WHERE interaction_type IN (
 def _customer_split(spark, sf):
     c = V.customer_interactions(spark, sf)
     train, test = ev.temporal_split(c, C_ORDER, TRAIN_FRACTION)
-    feats = fe.customer_features(train, V.products(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = cut_lineage(fe.customer_features(train, V.products(spark, sf)))
     rel = ev.relevance(test, ("purchase", "click")).join(feats.select("user_id").distinct(), "user_id", "left_semi")
     return feats, rel
 
@@ -106,19 +108,28 @@ MK AS (SELECT ks.k, rn.user_id, rn.n_rel,
 """ + "\nUNION ALL\n".join(rows)
 
 
-@query("eval_products", CUST_TRAIN_SQL + ", " + REL_C_SQL + """, R0 AS (SELECT user_id, item_id, weighted_score AS score FROM CF),
-""" + hybrid_sql("R0", "C_products", HYBRID_ALPHA) + ", " + pr.POPF_SQL + ", "
-       + topk_backfill_sql("(SELECT DISTINCT user_id FROM REL)", "POPF", 10) + _metrics_sql((5, 10), "", True))
-def eval_products(spark, sf):
-    """V1-V3 on the 85/15 temporal split: P/R/NDCG at 5 and 10 of the feature-path hybrid ranker."""
+def eval_products_sql(alpha: float) -> str:
+    return (CUST_TRAIN_SQL + ", " + REL_C_SQL + """, R0 AS (SELECT user_id, item_id, weighted_score AS score FROM CF),
+""" + hybrid_sql("R0", "C_products", alpha) + ", " + pr.POPF_SQL + ", "
+            + topk_backfill_sql("(SELECT DISTINCT user_id FROM REL)", "POPF", 10) + _metrics_sql((5, 10), "", True))
+
+
+def product_metrics(spark, sf, alpha: float):
+    """V1-V3 of the feature-path hybrid ranker with this blend on the temporal split."""
     feats, rel = _customer_split(spark, sf)
     scores = feats.select("user_id", "item_id", F.col("weighted_score").alias("score"))
     users = rel.select("user_id").distinct()
-    recs = rk.recommend_products(scores, V.products(spark, sf), rk.popular_from_features(feats), users, 10)
+    recs = rk.recommend_products(scores, V.products(spark, sf), rk.popular_from_features(feats), users, 10, alpha)
     m = ev.ranking_metrics(recs.select("user_id", "rank", F.col("product_id").alias("item_id")), rel, (5, 10))
     return m.select("metric", r6(F.col("value")).alias("value"))
 
 
+@query("eval_products", eval_products_sql(HYBRID_ALPHA))
+def eval_products(spark, sf):
+    """V1-V3 on the 85/15 temporal split: P/R/NDCG at 5 and 10 of the feature-path hybrid ranker."""
+    return product_metrics(spark, sf, HYBRID_ALPHA)
+
+
 OWN_TRAIN_SQL = _retarget(pr.R5_SQL, "O", O_ORDER)
 
 
@@ -138,6 +149,9 @@ def eval_materials(spark, sf):
     return m.where(~F.col("metric").startswith("owner_ndcg")).select("metric", r6(F.col("value")).alias("value"))
 
 
+OWNER_INFO_SQL = with_views("OK") + ", " + CYC_SQL
+
+
 @query("eval_forecast")
 def eval_forecast(spark, sf):
     """V4: RMSE / MAE of next-week forecasts on all test weeks of pairs seen in training."""
@@ -163,3 +177,16 @@ def model_info(spark, sf):
     pop = rk.popular_from_features(f)
     return f.agg(F.countDistinct("user_id").alias("n_users"), F.count("*").alias("n_pairs")).select(
         "n_users", p.agg(F.count("*")).scalar().alias("n_items"), pop.agg(F.count("*")).scalar().alias("n_popular"), "n_pairs")
+
+
+@query("model_info_owner", OWNER_INFO_SQL + """
+SELECT (SELECT count(DISTINCT item_id) FROM OK) AS trained_materials, (SELECT count(*) FROM CYC) AS reorder_cycles_tracked,
+       (SELECT least(count(DISTINCT item_id), 20) FROM OK) AS popular_materials, count(DISTINCT user_id) AS n_owners FROM OK""")
+def model_info_owner(spark, sf):
+    """V8: counts of materials, tracked reorder cycles, popular materials and owners of the material model."""
+    o = V.owner_interactions_k(spark, sf)
+    cycles = fc.reorder_cycles(o).agg(F.count("*")).scalar()
+    popular = o.groupBy("item_id").agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "item_id").limit(POPULAR_MATERIALS_N)
+    return o.agg(F.countDistinct("item_id").alias("trained_materials"), F.countDistinct("user_id").alias("n_owners")).select(
+        "trained_materials", cycles.alias("reorder_cycles_tracked"),
+        popular.agg(F.count("*")).scalar().alias("popular_materials"), "n_owners")

@@ -43,7 +43,7 @@ def scan_with_fallback(spark, sf):
                                lambda: V.products(spark, sf))
 
 
-@query("refresh_snapshot")
+@query("refresh_snapshot", with_views("C", "C_products") + "SELECT *, 2 AS snapshot_version FROM C")
 def refresh_snapshot(spark, sf):
     """Snapshot v1 from the interactions; an empty refresh keeps v1; a non-empty one writes v2."""
     base = files.shared_scratch(spark, "snapshot")
@@ -96,6 +96,31 @@ def export_table_sample(spark, sf):
     return sinks.export_sample(V.customer_interactions(spark, sf), ["interaction_id"], 100, "interactions")
 
 
+@query("export_sample_json", with_views("C", "C_products") + """
+SELECT 'interactions' AS source, CAST(100 AS BIGINT) AS rows_requested, (SELECT least(count(*), 100) FROM C) AS rows_exported,
+       interaction_id, user_id, item_id, interaction_type, price, strftime(interaction_timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS interaction_timestamp
+FROM (SELECT * FROM C ORDER BY interaction_id LIMIT 100)""")
+def export_sample_json(spark, sf):
+    """The export envelope as one JSON document with ISO timestamps (S3: its array of records read back)."""
+    path = files.shared_scratch(spark, "export")
+    sinks.write_json_export(V.customer_interactions(spark, sf), ["interaction_id"], path, 100, "interactions")
+    rows = "rows array<struct<interaction_id: long, user_id: long, item_id: long, interaction_type: string, price: double, interaction_timestamp: string>>"
+    doc = files.read_json_records(spark, path, f"source string, rows_requested long, rows_exported long, {rows}")
+    return doc.select("source", "rows_requested", "rows_exported", F.inline("rows"))
+
+
+@query("report_json", with_views("C", "C_products") + """
+SELECT interaction_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM C GROUP BY 1""")
+def report_json(spark, sf):
+    """Signal counts as a JSON report, read back."""
+    path = files.shared_scratch(spark, "report")
+    c = V.customer_interactions(spark, sf)
+    total = c.agg(F.count("*")).scalar()
+    g = c.groupBy("interaction_type").agg(F.count("*").alias("n"))
+    g.select("interaction_type", "n", r6(100.0 * F.col("n") / total).alias("pct")).write.json(path)
+    return files.read_json_records(spark, path, "interaction_type string, n long, pct double", multiline=False)
+
+
 def _decimals_as_double(df):
     """Query output carries money as double (2 places); the layout itself is decimal(18,2)."""
     return df.select(*[F.col(f.name).cast("double").alias(f.name) if f.dataType.typeName() == "decimal" else F.col(f.name)
@@ -139,17 +164,24 @@ SELECT count(*) AS row_count,
   + count(*) FILTER (WHERE CategoryId IS NULL) AS null_required,
   count(*) FILTER (WHERE NOT CategoryId BETWEEN 1 AND (SELECT count(*) FROM CATIDS)) AS bad_category, 0 AS type_mismatches FROM L""")
 def validate_layout(spark, sf):
-    """violation counts of the converted product layout."""
+    """violation counts of the converted product layout; raises if there are any."""
     ids = V.category_ids(spark, sf)
     as_of = V.customer_interactions(spark, sf).agg(F.max("interaction_timestamp")).scalar()
     layout = sinks.products_layout(V.products(spark, sf), ids, as_of)
-    n = ids.count()
-    return sinks.validate_layout(layout, n).select(
-        F.col("row_count"), F.col("null_required").cast("long").alias("null_required"),
-        F.col("bad_category"), F.col("type_mismatches"))
+    return sinks.assert_layout(sinks.validate_layout(layout, sinks.PRODUCT_REQUIRED, sinks.PRODUCT_TYPES, ids.count()))
+
+
+@query("validate_materials_layout", with_views("O_materials") + """
+SELECT count(*) AS row_count, count(*) FILTER (WHERE material_id IS NULL) + count(*) FILTER (WHERE material_name IS NULL)
+  + count(*) FILTER (WHERE price IS NULL) + count(*) FILTER (WHERE category IS NULL) AS null_required, 0 AS bad_category, 0 AS type_mismatches FROM O_materials""")
+def validate_materials_layout(spark, sf):
+    """the same for the raw-material layout, which has no category range."""
+    as_of = V.owner_interactions(spark, sf).agg(F.max("interaction_timestamp")).scalar()
+    layout = sinks.materials_layout(V.materials(spark, sf), as_of)
+    return sinks.assert_layout(sinks.validate_layout(layout, sinks.MATERIAL_REQUIRED, sinks.MATERIAL_TYPES))
 
 
-@query("bulk_load_interactions")
+@query("bulk_load_interactions", with_views("C", "C_products") + "SELECT * FROM C")
 def bulk_load_interactions(spark, sf):
     """Interactions appended to a Parquet folder, read back."""
     path = files.shared_scratch(spark, "bulk")
@@ -171,21 +203,40 @@ def run_log_append(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("promote_if_better")
+CANDIDATE_ALPHAS = (0.4, 0.8)
+
+
+def _gate_sql() -> str:
+    """Precision of each candidate, then the gate: at least the precision promoted before."""
+    from tidewater.plans.evaluation import eval_products_sql
+    runs = " UNION ALL ".join(f"SELECT {i} AS nth, {a} AS alpha, (SELECT value FROM ({eval_products_sql(a)}) WHERE metric = 'precision_at_5') AS p5"
+                              for i, a in enumerate(CANDIDATE_ALPHAS, 1))
+    return f"""WITH RUNS AS ({runs}),
+G AS (SELECT *, COALESCE(max(p5) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS baseline FROM RUNS)
+SELECT 'candidate-' || nth AS run_id, CAST(alpha AS DOUBLE) AS alpha, p5 AS precision_at_5, CAST(baseline AS DOUBLE) AS baseline, p5 >= baseline AS promoted,
+       (SELECT max(nth) FROM G WHERE p5 >= baseline) = nth AS current FROM G"""
+
+
+@query("promote_if_better", _gate_sql())
 def promote_if_better(spark, sf):
-    """Gate a candidate (precision@5 on the temporal split) against the promoted run; move the pointer if it passes."""
-    from tidewater.plans.evaluation import eval_products
-    path = files.shared_scratch(spark, "promotion")
-    m = eval_products(spark, sf)
-    p5 = m.where(F.col("metric") == "precision_at_5").first()["value"]
-    decisions = []
-    active = False
-    for run in ("candidate-1", "candidate-2"):
-        ok = ev.should_promote(p5, active)
-        decisions.append((run, float(p5), 0.01 if active else 0.0, ok))
-        active = active or ok
-    spark.createDataFrame(decisions, "run_id string, precision_at_5 double, baseline double, promoted boolean").write.parquet(path)
-    return spark.read.parquet(path)
+    """Two candidates (blends), each with its model table as a version; the pointer moves to a
+    candidate whose precision@5 on the temporal split is at least that of the promoted one."""
+    from tidewater.plans.evaluation import product_metrics
+    store = FeatureStore(spark, files.shared_scratch(spark, "promotion"))
+    decisions, baseline = [], 0.0
+    for i, alpha in enumerate(CANDIDATE_ALPHAS, 1):
+        metrics = product_metrics(spark, sf, alpha).withColumn("alpha", F.lit(alpha))
+        version = store.save(metrics, "customer_model")
+        p5 = store.load("customer_model", version).where(F.col("metric") == "precision_at_5").first()["value"]
+        ok = ev.should_promote(p5, baseline)
+        if ok:
+            store.save(spark.createDataFrame([(version, float(p5))], "version int, precision_at_5 double"), "customer_pointer")
+        decisions.append((version, f"candidate-{i}", alpha, float(p5), float(baseline), ok))
+        baseline = p5 if ok else baseline
+    pointer = store.load("customer_pointer").select(F.col("version").alias("at"))
+    rows = spark.createDataFrame(decisions, "version int, run_id string, alpha double, precision_at_5 double, baseline double, promoted boolean")
+    current = rows.join(pointer, rows.version == pointer["at"], "left")
+    return current.select("run_id", "alpha", "precision_at_5", "baseline", "promoted", F.col("at").isNotNull().alias("current"))
 
 
 @query("entity_list_customers", """SELECT c.c_custkey AS customer_id, c.c_name AS name, n.n_name AS nation

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tidewater.functions import HYBRID_ALPHA, POPULAR_PRODUCTS_N, r6
@@ -12,6 +11,7 @@ from tidewater.plans.customer import CUSTOMER_FEATURES_SQL
 from tidewater.plans.registry import query
 from tidewater.plans.sqlblocks import hybrid_sql, topk_backfill_sql
 from tidewater.plans.sqlviews import raw_weight_sql, with_views
+from tidewater.session import cut_lineage
 from tidewater.sources import views as V
 from tidewater.sources.tables import read_table
 
@@ -21,7 +21,7 @@ K = 5
 def _features(spark, sf, keep: bool = False):
     f = fe.customer_features(V.customer_interactions(spark, sf), V.products(spark, sf))
     # the ranker reads the frame three times (scores, popular list, users); keep one copy
-    return f.persist(StorageLevel.MEMORY_AND_DISK) if keep else f
+    return cut_lineage(f) if keep else f
 
 
 def _feature_scores(spark, sf):
@@ -135,7 +135,7 @@ from tidewater.plans.sqlblocks import tfidf_sql  # noqa: E402
 
 def _owner_features(spark, sf, keep: bool = False):
     f = fe.owner_features(V.owner_interactions(spark, sf), V.materials(spark, sf))
-    return f.persist(StorageLevel.MEMORY_AND_DISK) if keep else f
+    return cut_lineage(f) if keep else f
 
 
 MAT_COLS = """SELECT r.user_id, CAST(r.rank AS BIGINT) AS rank, r.item_id AS material_id, m.material_name, m.category, m.price,
@@ -201,7 +201,7 @@ def recommend_materials_cold_start(spark, sf):
 def recommend_materials_raw(spark, sf):
     """R6 (raw path) on view OK: reorder urgency + ridge forecast + similarity, every catalog key."""
     # the view feeds the ridge fit and ~10 scoring branches: materialise it once (lineage-backed)
-    ev = V.owner_interactions_k(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    ev = cut_lineage(V.owner_interactions_k(spark, sf))
     model = fc.fit_demand(ev)
     return rk.recommend_materials_raw(ev, V.materials_k(spark, sf), ev.select("user_id"), model, K)
 
@@ -281,6 +281,14 @@ def owner_history(spark, sf):
     return rk.owner_history_summary(V.owner_purchases(spark, sf))
 
 
+@query("owner_history_list", MV + """
+SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY date, l_orderkey, l_linenumber, l_partkey, quantity) AS nth,
+       material_id, quantity, date FROM M""")
+def owner_history_list(spark, sf):
+    """The history list itself, in long form."""
+    return rk.owner_history(V.owner_purchases(spark, sf))
+
+
 @query("popular_purchases", MV + f"""
 SELECT material_id, count(*) AS n, 1.0 AS score, 'Popular material' AS reason FROM M GROUP BY 1 ORDER BY n DESC, material_id LIMIT {K}""")
 def popular_purchases(spark, sf):

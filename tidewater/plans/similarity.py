@@ -69,13 +69,17 @@ def knn_neighbors(spark, sf):
                     r6(F.col("sim")).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("tfidf_bigrams_top100", TQ + f""",
+BIGRAM_SQL = TQ + f""",
 D AS (SELECT product_id AS doc_id, name || ' ' || category || ' ' || subcategory AS txt FROM T_products),
 TK AS (SELECT doc_id, list_filter(regexp_extract_all(lower(txt), '\\b\\w\\w+\\b'), lambda x: x NOT IN ({STOP_SQL})) AS t FROM D),
 G AS (SELECT doc_id, unnest(t) AS term FROM TK
       UNION ALL
       SELECT doc_id, t[i] || ' ' || t[i + 1] AS term FROM TK, range(1, len(t)) r(i)),
 FQ AS (SELECT term, count(*) AS corpus_tf, count(DISTINCT doc_id) AS df FROM G GROUP BY term)
+"""
+
+
+@query("tfidf_bigrams_top100", BIGRAM_SQL + """
 SELECT term, corpus_tf, df FROM FQ ORDER BY corpus_tf DESC, term LIMIT 100""")
 def tfidf_bigrams_top100(spark, sf):
     """M4: unigram+bigram vocabulary capped at 100 features by corpus frequency (older catalog text)."""
@@ -84,6 +88,17 @@ def tfidf_bigrams_top100(spark, sf):
     return text.bigram_vocabulary(docs, "product_id", "txt", 100)
 
 
+@query("tfidf_bigram_weights", BIGRAM_SQL + """, VO AS (SELECT term, df FROM FQ ORDER BY corpus_tf DESC, term LIMIT 100),
+RW AS (SELECT doc_id, term, count(*) * (ln((1.0 + (SELECT count(*) FROM D)) / (1 + max(df))) + 1) AS raw FROM G JOIN VO USING (term) GROUP BY 1, 2)
+SELECT doc_id AS item_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM RW""")
+def tfidf_bigram_weights(spark, sf):
+    """M4: TF-IDF weights over the capped unigram + bigram vocabulary."""
+    p = V.products_k(spark, sf)
+    docs = p.select("product_id", F.concat_ws(" ", "name", "category", "subcategory").alias("txt"))
+    w = text.bigram_tfidf(docs, "product_id", "txt", 100)
+    return w.select(F.col("doc_id").alias("item_id"), "term", r6(F.col("weight")).alias("weight"))
+
+
 MQ = with_views("M", "OK_materials")
 
 

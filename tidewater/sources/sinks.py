@@ -16,6 +16,15 @@ def export_sample(df: DataFrame, order_cols: list[str], n: int = 100, source: st
                     exported.alias("rows_exported"), *df.columns)
 
 
+def write_json_export(df: DataFrame, order_cols: list[str], path: str, n: int = 100, source: str = "") -> None:
+    """One JSON document with the envelope and the first ``n`` rows, timestamps in ISO form."""
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    cols = [F.date_format(f.name, iso).alias(f.name) if f.dataType.typeName().startswith("timestamp") else F.col(f.name) for f in df.schema.fields]
+    s = df.orderBy(*order_cols).limit(n).select(F.struct(*cols).alias("row"))
+    doc = s.agg(F.lit(source).alias("source"), F.lit(n).alias("rows_requested"), F.count("*").alias("rows_exported"), F.collect_list("row").alias("rows"))
+    doc.write.json(path)
+
+
 def _require_category(cid: F.Column, name: F.Column, key: F.Column) -> F.Column:
     return F.when(cid.isNull(), F.raise_error(F.concat(F.lit("Unknown product category: '"), name, F.lit("' for product ID "),
                                                        key.cast("string")))).otherwise(cid)
@@ -52,21 +61,45 @@ def materials_layout(materials: DataFrame, as_of: F.Column) -> DataFrame:
         F.lit(0).alias("OrderFrequency"), F.lit("").alias("PriceTrend"))
 
 
-PRODUCT_REQUIRED = ("Id", "Name", "Price", "CreatedAt", "CategoryId", "Status", "StockQuantity")
-
-
-def validate_layout(layout: DataFrame, n_categories: int, required=PRODUCT_REQUIRED) -> DataFrame:
-    """one row of violation counts (nulls in required columns, CategoryId range, type mismatches)."""
-    expected = {"Id": "bigint", "Name": "string", "Price": "decimal(18,2)", "CategoryId": "int", "IsDeleted": "boolean"}
-    types = {f.name: f.dataType.simpleString() for f in layout.schema.fields}
-    bad_types = sum(1 for c, t in expected.items() if types.get(c) != t)
+# --- fixed values: columns that the operational tables declare non-nullable, and checked types
+PRODUCT_REQUIRED = (
+    "Id", "Name", "Description", "Price", "CreatedAt", "IsDeleted", "BusinessOwnerProfileId", "CategoryId", "Status",
+    "StockQuantity", "CartAddCount", "LowStockFlag", "PurchaseCount", "RevenueTotal", "ViewCount", "IsVisible", "FeaturedOrder", "IsFeatured",
+)
+MATERIAL_REQUIRED = (
+    "Id", "Name", "Description", "Price", "Unit", "MinimumOrderQuantity", "StockQuantity", "IsAvailable", "Category",
+    "SupplierId", "CreatedAt", "IsDeleted", "OrderFrequency", "PriceTrend",
+)
+PRODUCT_TYPES = {"Id": ("bigint", "int"), "Price": ("decimal", "double", "bigint", "int"), "IsDeleted": ("boolean",)}
+MATERIAL_TYPES = {"Id": ("bigint", "int"), "Price": ("decimal", "double", "bigint", "int"), "IsAvailable": ("boolean",)}
+
+
+def validate_layout(layout: DataFrame, required, types: dict[str, tuple[str, ...]], n_categories: int | None = None) -> DataFrame:
+    """one row of violation counts (nulls in required columns, CategoryId range, type mismatches).
+
+    A missing required column raises ``ValueError``.
+    """
+    missing = [c for c in required if c not in layout.columns]
+    if missing:
+        raise ValueError(f"missing required columns: {', '.join(missing)}")
+    have = {f.name: f.dataType.simpleString() for f in layout.schema.fields}
+    bad_types = sum(1 for c, ok in types.items() if not have[c].startswith(ok))
+    bad = F.lit(0).cast("long") if n_categories is None else F.count_if(~F.col("CategoryId").between(1, n_categories))
     return layout.agg(
         F.count("*").alias("row_count"),
-        sum((F.count_if(F.col(c).isNull()) for c in required), F.lit(0)).alias("null_required"),
-        F.count_if(~F.col("CategoryId").between(1, n_categories)).alias("bad_category"),
+        sum((F.count_if(F.col(c).isNull()) for c in required), F.lit(0).cast("long")).alias("null_required"),
+        bad.alias("bad_category"),
     ).withColumn("type_mismatches", F.lit(bad_types))
 
 
+def assert_layout(counts: DataFrame) -> DataFrame:
+    """``counts`` if they are all zero, else ``ValueError`` with the counts."""
+    row = counts.first()
+    if row.null_required or row.bad_category or row.type_mismatches:
+        raise ValueError(f"layout violations: {row.asDict()}")
+    return counts
+
+
 def bulk_load(df: DataFrame, path: str) -> None:
     """Append to a Parquet folder; files follow the partitions."""
     df.write.mode("append").parquet(path)
