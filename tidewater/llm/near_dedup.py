@@ -12,11 +12,12 @@ coordinates are expected to be hit, so the work is linear in the text, not text
 empty coordinate searches twice as far.
 
 Search: coordinates form ``BANDS`` bands of ``ROWS``; texts that agree on a band share a bucket.
-1. Every member of a bucket is compared with the bucket's first text: one row a member, no pairs.
-2. Links found give components. Only buckets that still hold several components go on; their members
-   are laid out in blocks, each pair of blocks is one group, which compares members of different
-   components and returns only the links that join two of them. A pair that shares several buckets is
-   compared in the first one.
+1. Every member of a bucket is compared with one of its texts, the head: one row a member, no pairs.
+   The first head is the text that shares most buckets with others; links found give components.
+2. In buckets that still hold several components, the members outside the largest one, in blocks, meet
+   all members, in blocks. Pairs of different components whose signatures allow the threshold are
+   compared; a pair that shares several buckets is compared in the first one. Pairs of blocks are
+   packed into shards of bounded bytes, and a shard returns only links that join components.
 No bucket is capped; every pair that shares a bucket is compared or already in one component. At
 similarity 0.8 a pair shares no bucket with probability (1 - 0.8^4)^24 = 3e-6.
 
@@ -47,8 +48,9 @@ K = ROWS * BANDS
 DARTS = int(K * math.log(K) + 2 * K)
 #: Two texts at the threshold agree on fewer coordinates than this with probability below 1e-5.
 MIN_AGREE = int(THRESHOLD * K - 4.5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) * K))
-BLOCK = 128  # texts, and
+BLOCK = 256  # texts, and
 BLOCK_BYTES = 8 << 20  # bytes of text in one block
+SHARD_BYTES = 8 << 20  # bytes of text in the pairs of blocks of one shard, about
 
 #: Rank intervals below 1: [0, 2^-10), then growing fourfold; from 1 on all have length 1.
 CELLS = [(0.0, 2.0**-10), *[(4.0**i, 4.0 ** (i + 1)) for i in range(-5, 0)]]
@@ -212,14 +214,17 @@ def compared(rows: DataFrame) -> DataFrame:
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that join different components inside one pair of blocks of a bucket."""
-    side, comp = pdf["side"].to_numpy(), list(pdf["comp"])
-    sig = np.stack([np.frombuffer(s, dtype=np.uint32) for s in pdf["sig"]])
-    band = np.stack([np.asarray(b, dtype=np.int64) for b in pdf["bands"]])
-    n, key, nth = pdf["n"].to_numpy(), pdf["key"].iloc[0], int(pdf["band"].iloc[0])
-    bag: dict[int, tuple] = {}
-    root = {c: c for c in comp}
+def shard_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that join different components, between the two blocks of each pair of blocks of a shard."""
+    group = pdf[["key", "i", "j"]].to_numpy(dtype=np.int64)
+    order = np.lexsort(group.T)
+    cut = np.flatnonzero(np.any(group[order][1:] != group[order][:-1], axis=1)) + 1
+    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(pdf), K)
+    rest, n, band = pdf["rest"].to_numpy(dtype=bool), pdf["n"].to_numpy(), pdf["band"].to_numpy()
+    text = pdf["fp"].factorize()[0]  # equal numbers for the same text in several buckets
+    names, comp = pdf["comp"].factorize()
+    first = np.unique(text, return_index=True)[1]
+    root = np.arange(len(comp))
 
     def find(c):
         while root[c] != c:
@@ -227,27 +232,31 @@ def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
             c = root[c]
         return c
 
-    def shingles(i):
-        if i not in bag:
-            bag[i] = bags(pa.array([pdf["text"].iloc[i]], pa.large_string()))[0]
-        return bag[i]
-
-    same_block = not side.any()
-    left = np.flatnonzero(side == 0)
-    right = left if same_block else np.flatnonzero(side == 1)
-    links = []
-    for i in left:
-        other = right[right > i] if same_block else right
-        if not len(other):
+    found = []
+    for rows in np.split(order, cut):
+        mine, others = rows[rest[rows]], rows[~rest[rows]]
+        if not len(mine) or not len(others):
             continue
-        ok = (np.minimum(n[other], n[i]) >= THRESHOLD * np.maximum(n[other], n[i])) & ((sig[other] == sig[i]).sum(axis=1) >= MIN_AGREE)
-        if nth:
-            ok &= ~(band[other, :nth] == band[i, :nth]).any(axis=1)  # met in an earlier band
-        for j in other[ok]:
-            a, b = find(comp[i]), find(comp[j])
-            if a != b and weighted_jaccard(shingles(i), shingles(j)) >= THRESHOLD:
-                root[max(a, b)] = min(a, b)
-                links.append((pdf["fp"].iloc[i], pdf["fp"].iloc[j]))
+        ok = (names[mine][:, None] != names[others]) & (np.minimum(n[mine][:, None], n[others]) >= THRESHOLD * np.maximum(n[mine][:, None], n[others]))
+        x, y = np.nonzero(ok)
+        for part in range(0, len(x), 1 << 15):
+            a, b = mine[x[part : part + (1 << 15)]], others[y[part : part + (1 << 15)]]
+            agree = sig[a] == sig[b]
+            total = agree.sum(axis=1)
+            ok = total >= MIN_AGREE
+            if nth := int(band[rows[0]]):  # without pairs that met in an earlier band
+                ok &= ~agree.reshape(len(a), BANDS, ROWS).all(axis=2)[:, :nth].any(axis=1)
+            found.append(np.stack([total[ok], a[ok], b[ok]], axis=1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+    pairs = pairs[np.argsort(-pairs[:, 0], kind="stable")]  # likeliest first: a link spares the rest of its component
+    used = np.unique(text[pairs[:, 1:]])
+    bag = dict(zip(used.tolist(), bags(pa.array(pdf["text"].to_numpy()[first[used]], pa.large_string())) if len(used) else []))
+    links, fp = [], pdf["fp"].to_numpy()
+    for _, i, j in pairs.tolist():
+        a, b = find(names[i]), find(names[j])
+        if a != b and weighted_jaccard(bag[text[i]], bag[text[j]]) >= THRESHOLD:
+            root[max(a, b)] = min(a, b)
+            links.append((fp[i], fp[j]))
     return pd.DataFrame(links, columns=["a", "b"], dtype=object)
 
 
@@ -280,10 +289,10 @@ def text_classes(docs: DataFrame) -> DataFrame:
     rows = signed_texts(docs)
     texts = rows.groupBy("fp").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_rows"), F.first("size").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     texts = checkpointed(texts)
-    buckets = texts.filter("n > 0").select("fp", "n", F.posexplode("bands").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    # rows of (text, bucket) for buckets of two texts or more; the head stands in its own row
-    members = checkpointed(buckets.join(shared, ["band", "key"]))
+    buckets = texts.filter("n > 0").select("fp", "n", F.posexplode("bands").alias("band", "key"))  # keys differ by band
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # rows of (text, bucket) for buckets of two texts or more
+    members = checkpointed(buckets.join(shared, "key"))
     if members.isEmpty():
         return texts.select("fp", "rep_id", "n_rows", F.col("fp").alias("class"), F.col("rep_id").alias("class_id"))
 
@@ -295,29 +304,42 @@ def text_classes(docs: DataFrame) -> DataFrame:
     source = source.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
     source = checkpointed(source)
 
-    star = members.filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"), F.col("n").alias("n_a")).distinct()
-    heads = texts.select(F.col("fp").alias("b"), F.col("n").alias("n_b"))
-    star = star.join(heads, "b").filter(F.least("n_a", "n_b") >= THRESHOLD * F.greatest("n_a", "n_b"))
-    pairs = star.join(source.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-    pairs = pairs.join(source.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
-    links = checkpointed(compared(pairs))
+    def star_links(rows: DataFrame) -> DataFrame:
+        """Links between members (fp, n) and the heads (head, head_n) of their buckets."""
+        pairs = rows.filter(F.least("n", "head_n") >= THRESHOLD * F.greatest("n", "head_n")).select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
+        pairs = pairs.join(source.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs = pairs.join(source.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b")
+        return checkpointed(compared(pairs))
+
+    # the first heads: texts that share their buckets with most others
+    degree = members.groupBy("fp").agg(F.sum("members").alias("degree"))
+    heads = members.join(degree, "fp").groupBy("key").agg(F.max(F.struct("degree", "fp", "n")).alias("h")).select("key", F.col("h.fp").alias("head"), F.col("h.n").alias("head_n"))
+    links = star_links(members.join(heads, "key").filter("fp <> head"))
     place = components(links)
 
     # buckets that still hold several components
     left = members.select("fp", "band", "key", "n").join(place.withColumnRenamed("node", "fp"), "fp", "left")
     left = checkpointed(left.select("fp", "band", "key", "n", F.coalesce("root", "fp").alias("comp")))
-    size = texts.select("fp", "size", "bands", "sig")
-    open_ = left.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi")
-    rest = left.join(open_.select("band", "key", "members"), ["band", "key"]).join(size, "fp")
-    total = rest.groupBy("band", "key").agg(F.sum("size").alias("bytes"))
-    rest = rest.join(total, ["band", "key"])
-    blocks = F.greatest(F.ceil(F.col("members") / F.lit(BLOCK)), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    # block b meets every block: as the first of (b, c) for c >= b and as the second of (c, b) for c < b
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("block", c).alias("i"), F.greatest("block", c).alias("j"), (F.col("block") > c).cast("int").alias("side")))
-    rest = rest.select("fp", "band", "key", "n", "comp", "bands", "sig", F.explode(meets).alias("m")).select("*", "m.*").drop("m")
-    rest = rest.join(source, "fp")
-    more = rest.groupBy("band", "key", "i", "j").applyInPandas(block_links, "a binary, b binary")
+    several = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    left = checkpointed(left.join(several.select("key"), "key"))
+    left = left.join(texts.select("fp", "size", "sig"), "fp")
+    inside = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    most = inside.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    left = left.join(most, "key").withColumn("rest", F.col("comp") != F.col("main")).drop("main")
+    parts = left.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), F.count_if("rest").alias("rest_rows"), F.sum(F.when(F.col("rest"), F.col("size")).otherwise(0)).alias("rest_bytes"))
+    blocks = lambda rows, size: F.greatest(F.ceil(F.col(rows) / F.lit(BLOCK)), F.ceil(F.col(size) / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    parts = parts.select("key", blocks("rows", "bytes").alias("n_blocks"), blocks("rest_rows", "rest_bytes").alias("n_rest"))
+    left = checkpointed(left.join(parts, "key").select("fp", "band", "key", "n", "size", "comp", "sig", "rest", "n_blocks", "n_rest"))
+    total = left.agg(F.sum((F.col("size") + 1000) * (F.col("n_rest") + F.when(F.col("rest"), F.col("n_blocks")).otherwise(0)))).collect()[0][0]
+    shards = -(-(total or 0) // SHARD_BYTES) or 1
+    # every member goes once to each block of rest members, a rest member also once to each block of members
+    block = lambda count: F.pmod(F.xxhash64("fp"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    common = ["fp", "band", "key", "n", "comp", "sig"]
+    as_member = left.select(*common, F.lit(False).alias("rest"), block("n_blocks").alias("j"), every("n_rest").alias("i"))
+    as_rest = left.filter("rest").select(*common, F.lit(True).alias("rest"), every("n_blocks").alias("j"), block("n_rest").alias("i"))
+    met = as_member.unionByName(as_rest).withColumn("shard", F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards))).join(source, "fp")
+    more = met.groupBy("shard").applyInPandas(shard_links, "a binary, b binary")
     place = components(links.union(checkpointed(more)))
 
     known = texts.select("fp", "rep_id", "n_rows").join(place.withColumnRenamed("node", "fp"), "fp", "left")
