@@ -20,14 +20,15 @@ class FeatureStore:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def list_versions(self, name: str) -> list[int]:
-        """Version numbers sorted numerically; non-integer folder names are ignored."""
+        """Numbers of the committed versions, sorted; other folders and half-written versions are ignored."""
         fs, p = self._fs(f"{self.base}/{name}")
         if not fs.exists(p):
             return []
         out = []
         for st in fs.listStatus(p):
             m = _VERSION.match(st.getPath().getName())
-            if m and st.isDirectory():
+            done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")
+            if m and st.isDirectory() and fs.exists(done):
                 out.append(int(m.group(1)))
         return sorted(out)
 
@@ -35,9 +36,15 @@ class FeatureStore:
         v = self.list_versions(name)
         return v[-1] if v else 0
 
+    def next_version(self, name: str) -> int:
+        """One more than any version folder, committed or not; the write fails if another writer took it."""
+        fs, p = self._fs(f"{self.base}/{name}")
+        names = [st.getPath().getName() for st in fs.listStatus(p)] if fs.exists(p) else []
+        return max([int(m.group(1)) for m in map(_VERSION.match, names) if m], default=0) + 1
+
     def save(self, df: DataFrame, name: str) -> int:
         """Next version = latest + 1; never overwrites an existing version."""
-        v = self.latest_version(name) + 1
+        v = self.next_version(name)
         df.write.mode("errorifexists").parquet(f"{self.base}/{name}/version={v}")
         return v
 
