@@ -181,6 +181,21 @@ def test_svd_projector_matches_numpy_truncated_svd(spark):
     assert all(r[a, b] == 0 for (a, b) in got)  # only unrated items are scored
 
 
+def test_blocked_picks_match_join_formulation(spark, monkeypatch):
+    from tidewater.operators import blocks
+    monkeypatch.setattr(blocks, "USER_ROWS", 7)
+    monkeypatch.setattr(blocks, "ITEM_ROWS", 4)  # several blocks of each
+    rng = np.random.default_rng(11)
+    cat = ["alpha beta", "beta gamma", "gamma delta", "delta alpha", "epsilon"]
+    products = spark.createDataFrame([(i, f"p{i}", "cat", 1.0, cat[i % 5] + f" w{i % 3}") for i in range(15)], rk_products_schema())
+    rows = [(u, i, (None if (u + i) % 11 == 0 else float(rng.integers(1, 6)))) for u in range(25) for i in range(15)
+            if rng.random() < 0.3]
+    scores = spark.createDataFrame(rows, "user_id long, item_id long, score double")
+    a = {(r.user_id, r["rank"]): (r.item_id, r.score) for r in rk.personal_picks(scores, products, 5).collect()}
+    b = {(r.user_id, r["rank"]): (r.item_id, r.score) for r in rk.personal_top_k(rk.hybrid_scores(scores, products), 5).collect()}
+    assert a and a == b
+
+
 def test_free_positions_are_the_first_gaps(spark):
     rng = np.random.default_rng(4)
     n, k = 40, 5

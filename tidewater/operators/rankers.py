@@ -4,8 +4,9 @@ Every ranker scores *all* requested users in one job. Item-item matrices are
 never materialised densely: content scores use the profile identity
 ``sum_j r_uj C_ij = x_i . (sum_j r_uj x_j)`` (user term profile joined to the
 item-term table), collaborative scores join the user rows with the sparse
-similarity table. Top-k uses ``row_number <= k`` (WindowGroupLimit). There is
-one path for every catalog size; joins are left to the planner.
+similarity table. The rankers that score a whole catalog by its text do so in
+blocks (``blocks``). Top-k uses ``row_number <= k`` (WindowGroupLimit). There
+is one path for every catalog size; joins are left to the planner.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from tidewater.functions import (
     COLD_START_SCORE, DEFAULT_TOP_K, HYBRID_ALPHA, POPULAR_PRODUCTS_N, r4,
 )
+from tidewater.operators import blocks
 from tidewater.operators import similarity as sim
 from tidewater.operators import text
+from tidewater.session import cut_lineage
 
 
 def rank_key(score: Column) -> Column:
@@ -50,11 +53,15 @@ def cf_scores(r: DataFrame) -> DataFrame:
     return num.select("user_id", F.col("item_i").alias("item_id"), (F.col("num") / F.col("den")).alias("cf"))
 
 
+def text_profile(r: DataFrame, x: DataFrame) -> DataFrame:
+    """(user_id, term, p) = sum_j r_uj x_j."""
+    xb = x.select("doc_id", "term", "weight")
+    return r.join(xb, r.item_id == xb.doc_id).groupBy("user_id", "term").agg(F.sum(F.col("score") * F.col("weight")).alias("p"))
+
+
 def content_scores(r: DataFrame, x: DataFrame) -> DataFrame:
     """R2: (user_id, item_id, cb) = sum_j r_uj cos(x_i, x_j) via the user term profile."""
-    xb = x.select("doc_id", "term", "weight")
-    prof = r.join(xb, r.item_id == xb.doc_id).groupBy("user_id", "term").agg(
-        F.sum(F.col("score") * F.col("weight")).alias("p"))
+    xb, prof = x.select("doc_id", "term", "weight"), text_profile(r, x)
     cb = prof.join(xb, "term").groupBy("user_id", "doc_id").agg(F.sum(F.col("p") * F.col("weight")).alias("cb"))
     return cb.select("user_id", F.col("doc_id").alias("item_id"), "cb")
 
@@ -95,6 +102,25 @@ def personal_top_k(hybrid: DataFrame, k: int) -> DataFrame:
         "user_id", "item_id", r4(F.col("hybrid")).alias("score"), "rank")
 
 
+def personal_picks(user_scores: DataFrame, products: DataFrame, k: int, alpha: float = HYBRID_ALPHA) -> DataFrame:
+    """``personal_top_k(hybrid_scores(...))`` without a row a pair: text scores in blocks, twice.
+
+    The first pass gives each user's range over the whole catalog, the second the k best unseen items
+    of every block of items.
+    """
+    r = catalog_scores(user_scores, products).where(F.col("user_id").isNotNull())
+    x, items = product_tfidf(products), products.select(F.col("product_id").alias("item_id"))
+    prof = text_profile(r, x).where(F.col("p").isNotNull())
+    seen = r.select("user_id", "item_id", (F.col("score") > 0).cast("int").alias("seen"))
+    rec = cf_scores(r).join(seen, ["user_id", "item_id"], "full").select("user_id", "item_id", F.coalesce("cf", F.lit(0.0)).alias("cf"), F.coalesce("seen", F.lit(0)).alias("seen"))
+    rec = cut_lineage(rec)
+    users = r.select("user_id").distinct()
+    ends = blocks.text_blocks(prof, x, items, users, rec, blocks.range_kernel(), "user_id long, cmn double, cmx double, bmn double, bmx double")
+    ends = ends.groupBy("user_id").agg(F.min("cmn").alias("cmn"), F.max("cmx").alias("cmx"), F.min("bmn").alias("bmn"), F.max("bmx").alias("bmx"))
+    cand = blocks.text_blocks(prof, x, items, cut_lineage(ends), rec, blocks.hybrid_kernel(k, alpha), "user_id long, item_id long, hybrid double")
+    return personal_top_k(cand.withColumn("seen", F.lit(False)), k)
+
+
 def popular_from_features(features: DataFrame, n: int = POPULAR_PRODUCTS_N,
                           count_col: str = "item_interaction_count") -> DataFrame:
     """A10: items by max(count) desc (ties: id), top n, with 1-based position."""
@@ -146,7 +172,7 @@ def with_backfill(users: DataFrame, personal: DataFrame, popular: DataFrame, k:
 def recommend_products(user_scores: DataFrame, products: DataFrame, popular: DataFrame, users: DataFrame,
                        k: int = DEFAULT_TOP_K, alpha: float = HYBRID_ALPHA) -> DataFrame:
     """Top-k hybrid recommendations for ``users`` with back-fill and catalog attributes (J10 after top-k)."""
-    personal = personal_top_k(hybrid_scores(user_scores, products, alpha), k)
+    personal = personal_picks(user_scores, products, k, alpha)
     recs = with_backfill(users, personal, popular, k)
     cat = products.withColumnRenamed("product_id", "item_id")
     return recs.join(cat, "item_id", "left").select(
@@ -161,17 +187,22 @@ def material_tfidf(materials: DataFrame) -> DataFrame:
     return text.tfidf(docs, "material_id", "txt")
 
 
-def owner_similarity(owner_items: DataFrame, x: DataFrame) -> DataFrame:
-    """Identity C: mean_j cos(x_i, x_j) over the owner's distinct catalog items = x_i . mean_j x_j.
-
-    (user_id, item_id, sim) for every catalog item sharing a term with the owner profile.
-    """
+def owner_profile(owner_items: DataFrame, x: DataFrame) -> DataFrame:
+    """(user_id, term, p) = mean_j x_j over the owner's distinct catalog items."""
     xb = x.select("doc_id", "term", "weight")
     held = owner_items.select("user_id", "item_id").distinct().join(
         xb.select(F.col("doc_id").alias("item_id")).distinct(), "item_id", "left_semi")
     m = held.groupBy("user_id").agg(F.count("*").alias("m"))
     prof = held.join(xb, held.item_id == xb.doc_id).groupBy("user_id", "term").agg(F.sum("weight").alias("p"))
-    prof = prof.join(m, "user_id").select("user_id", "term", (F.col("p") / F.col("m")).alias("p"))
+    return prof.join(m, "user_id").select("user_id", "term", (F.col("p") / F.col("m")).alias("p"))
+
+
+def owner_similarity(owner_items: DataFrame, x: DataFrame) -> DataFrame:
+    """Identity C: mean_j cos(x_i, x_j) over the owner's distinct catalog items = x_i . mean_j x_j.
+
+    (user_id, item_id, sim) for every catalog item sharing a term with the owner profile.
+    """
+    xb, prof = x.select("doc_id", "term", "weight"), owner_profile(owner_items, x)
     s = prof.join(xb, "term").groupBy("user_id", "doc_id").agg(F.sum(F.col("p") * F.col("weight")).alias("sim"))
     return s.select("user_id", F.col("doc_id").alias("item_id"), "sim")
 
@@ -234,27 +265,28 @@ def rank_materials(cand: DataFrame, defaults: DataFrame, owners: DataFrame, k: i
 
 def recommend_materials(features: DataFrame, materials: DataFrame, owners: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
     """R5 feature path: 0.3 volume + 0.3 urgency + 0.2 forecast + 0.2 similarity for every catalog item."""
-    from tidewater.functions import FEATURE_PATH_ELAPSED, URGENCY_HORIZON, VOLUME_SCALE
+    from tidewater.functions import (FEATURE_PATH_ELAPSED, URGENCY_HORIZON, VOLUME_SCALE, W_FORECAST, W_SIMILARITY,
+                                     W_URGENCY, W_VOLUME)
+    features = cut_lineage(features)  # read for the profiles, the records and the output
     x = material_tfidf(materials)
-    s = owner_similarity(features, x)
     cyc = F.col("avg_procurement_interval_days")
+    fq = F.coalesce(F.col("avg_procurement_quantity"), F.lit(0.0))
     rec = features.select(
         "user_id", "item_id",
-        F.least(F.lit(1.0), F.col("procurement_count") / VOLUME_SCALE).alias("vol"),
+        F.coalesce(F.least(F.lit(1.0), F.col("procurement_count") / VOLUME_SCALE), F.lit(0.0)).alias("vol"),
         F.when(cyc > 0, F.least(F.lit(1.0), F.lit(URGENCY_HORIZON) / cyc)).otherwise(F.lit(0.5)).alias("urg"),
-        F.col("avg_procurement_quantity").alias("fq"),
-        cyc.cast("int").alias("cycle"))
-    j = s.join(rec, ["user_id", "item_id"], "full")
-    has = F.col("fq").isNotNull()
-    cand = j.select(
-        "user_id", "item_id",
-        _material_score(F.coalesce("vol", F.lit(0.0)), F.coalesce("urg", F.lit(0.0)),
-                        forecast_score(F.coalesce("fq", F.lit(0.0))), F.coalesce("sim", F.lit(0.0))).alias("score"),
-        F.round(F.coalesce("fq", F.lit(0.0)), 1).alias("demand"),
-        F.when(has, F.lit(FEATURE_PATH_ELAPSED)).otherwise(F.lit(0)).alias("elapsed"),
-        F.when(has, F.col("cycle")).otherwise(F.lit(0)).alias("cycle"))
-    defaults = materials.select(F.col("material_id").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0.0).alias("demand"))
-    return _material_output(rank_materials(cand, defaults, owners, k), materials)
+        forecast_score(fq).alias("fs"))
+    items = materials.select(F.col("material_id").alias("item_id"))
+    users = owners.select("user_id").where(F.col("user_id").isNotNull()).distinct()
+    kernel = blocks.material_kernel(k, (W_VOLUME, W_URGENCY, W_FORECAST, W_SIMILARITY))
+    best = blocks.text_blocks(owner_profile(features, x), x, items, users, rec, kernel, "user_id long, item_id long, score double")
+    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
+    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    own = features.select("user_id", "item_id", F.round(fq, 1).alias("demand"), F.lit(FEATURE_PATH_ELAPSED).alias("elapsed"), cyc.cast("int").alias("cycle"))
+    ranked = best.join(own, ["user_id", "item_id"], "left").select(
+        "user_id", "item_id", "rank", "score", F.coalesce("demand", F.lit(0.0)).alias("demand"),
+        F.coalesce("elapsed", F.lit(0)).alias("elapsed"), F.coalesce("cycle", F.lit(0)).alias("cycle"))
+    return _material_output(ranked, materials)
 
 
 def _material_output(ranked: DataFrame, materials: DataFrame) -> DataFrame:
