@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from tidewater.session import cut_lineage
 from pyspark.sql import types as T
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -109,9 +111,10 @@ def null_counts(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, col: str) -> DataFrame:
     """count/mean/std/min/quartiles/max (linear-interpolated quartiles, as pandas describe)."""
     x = F.col(col)
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                  F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.75).alias("p75"),
-                  F.max(x).alias("max"))
+    a = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+               F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(x).alias("max"))
+    return a.select("count", "mean", "std", "min", F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("p50"),
+                    F.get("q", F.lit(2)).alias("p75"), "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
@@ -127,14 +130,12 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 def boxplot_stats(df: DataFrame, col: str) -> DataFrame:
     """Quartiles, 1.5 IQR whisker bounds (clipped to data) and outlier count.
 
-    Quartiles enter as scalar subqueries, so the outlier pass is a plain aggregate.
+    One scan: everything follows from the counts of the distinct values.
     """
-    x = F.col(col).cast("double")
-    q1 = df.agg(F.percentile(x, 0.25)).scalar()
-    q3 = df.agg(F.percentile(x, 0.75)).scalar()
-    med = df.agg(F.percentile(x, 0.5)).scalar()
-    lo_b, hi_b = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    inside = (x >= lo_b) & (x <= hi_b)
-    return df.agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
-                  F.count_if(~inside).alias("outliers")).select(
+    v = cut_lineage(df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    q = v.where(F.col("v").isNotNull()).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q")).scalar()
+    q1, med, q3 = (F.get(q, F.lit(i)) for i in range(3))
+    inside = (F.col("v") >= q1 - 1.5 * (q3 - q1)) & (F.col("v") <= q3 + 1.5 * (q3 - q1))
+    return v.agg(F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
+                 F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).cast("long").alias("outliers")).select(
         q1.alias("q1"), med.alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"), "whisker_low", "whisker_high", "outliers")
