@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,20 +79,18 @@ def paths(messages: DataFrame) -> DataFrame:
     replied = up.select("conv_id", F.col("at").alias("node"))
     at = F.col("n.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("n.node") == F.col("r.node"))
     found = nodes.alias("n").join(replied.alias("r"), at, "left_anti")
-    found = found.select("conv_id", F.col("node").alias("leaf"), F.col("node").alias("at"), F.lit(0).cast("long").alias("back"))
-    found, step, rows = checkpointed(found), 1, 0
+    # grouped, so that the optimizer does not take leaf and at for two names of one column
+    found = found.groupBy("conv_id", F.col("node").alias("leaf")).agg(F.first("node").alias("at"))
+    parts, step = [checkpointed(found.withColumn("back", F.lit(0).cast("long")))], 1
     while not up.isEmpty():
-        more = F.struct(F.col("u.at").alias("at"), (F.col("f.back") + step).alias("back"))
-        old = F.struct(F.col("f.at").alias("at"), F.col("f.back").alias("back"))
-        both = F.when(F.col("u.at").isNull(), F.array(old)).otherwise(F.array(old, more))
-        found = found.alias("f").join(up.alias("u"), here("f", "u"), "left").select("f.conv_id", "f.leaf", F.explode(both).alias("x"))
-        found = checkpointed(found.select("conv_id", "leaf", "x.at", "x.back"))
-        rows, before = found.count(), rows
-        if rows == before:  # what is left of ``up`` lies on cycles
+        more = [p.alias("f").join(up.alias("u"), here("f", "u")).select("f.conv_id", "f.leaf", F.col("u.at").alias("at"), (F.col("f.back") + step).alias("back")) for p in parts]
+        more = checkpointed(reduce(DataFrame.unionByName, more))
+        if more.isEmpty():  # what is left of ``up`` lies on cycles
             break
+        parts.append(more)
         up = checkpointed(up.alias("u").join(up.alias("v"), here("u", "v")).select("u.conv_id", "u.node", F.col("v.at").alias("at")))
         step *= 2
-    return found.select("conv_id", "leaf", F.col("at").alias("node"), "back")
+    return reduce(DataFrame.unionByName, parts).select("conv_id", "leaf", F.col("at").alias("node"), "back")
 
 
 def ranked(messages: DataFrame, found: DataFrame, branches: int) -> DataFrame:
