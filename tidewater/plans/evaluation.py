@@ -13,7 +13,7 @@ from tidewater.plans import customer as pc
 from tidewater.plans import owner as po
 from tidewater.plans import rankers as pr
 from tidewater.functions import POPULAR_MATERIALS_N
-from tidewater.plans.forecast import CYC_SQL
+from tidewater.plans.forecast import CYC_SQL, NEXT_SQL, RIDGE_SQL
 from tidewater.plans.registry import query
 from tidewater.plans.sqlblocks import hybrid_sql, topk_backfill_sql
 from tidewater.plans.sqlviews import VIEW_SQL, with_views
@@ -152,7 +152,15 @@ def eval_materials(spark, sf):
 OWNER_INFO_SQL = with_views("OK") + ", " + CYC_SQL
 
 
-@query("eval_forecast")
+FORECAST_TEST_SQL = _retarget(with_views("D"), "D", D_ORDER) + ", " + RIDGE_SQL + ", " + NEXT_SQL + """,
+TW AS (SELECT user_id, item_id, CAST(date_trunc('week', interaction_timestamp) AS DATE) AS week, sum(quantity) AS quantity
+       FROM D_TEST WHERE interaction_type IN ('purchase', 'reorder') GROUP BY 1, 2, 3),
+ERR AS (SELECT CAST(t.quantity AS DOUBLE) - n.forecast_qty AS e FROM TW t JOIN NW n USING (user_id, item_id))
+SELECT 'demand_forecast_rmse' AS metric, round(sqrt(avg(e * e)), 6) AS value FROM ERR
+UNION ALL SELECT 'demand_forecast_mae', round(avg(abs(e)), 6) FROM ERR"""
+
+
+@query("eval_forecast", FORECAST_TEST_SQL)
 def eval_forecast(spark, sf):
     """V4: RMSE / MAE of next-week forecasts on all test weeks of pairs seen in training."""
     d = V.demand_interactions(spark, sf)

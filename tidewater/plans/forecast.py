@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.functions import FORECAST_FEATURES, r6
+from tidewater.functions import FORECAST_FEATURES, RIDGE_ALPHA, r4, r6
 from tidewater.operators import forecasting as fc
 from tidewater.plans.registry import query
 from tidewater.plans.sqlviews import days_sql, with_views
@@ -85,12 +85,49 @@ def forecast_ridge_moments(spark, sf):
     return m.select(*[F.col(c) if c == "n" else F.round(F.col(c), 0).alias(c) for c in m.columns])
 
 
-@query("forecast_ridge_fit")
+def ridge_ctes(samples: str = "TS") -> str:
+    """RIDGE(b0, c_0 ... c_5): centred ridge by Gauss-Jordan elimination, one one-row step a feature."""
+    f, p = FORECAST_FEATURES, len(FORECAST_FEATURES)
+    cols = ["avg(quantity) AS my", *[f"avg({a}) AS m_{i}" for i, a in enumerate(f)]]
+    for i, a in enumerate(f):
+        cols += [f"sum({a} * {b}) - count(*) * avg({a}) * avg({b}) + {RIDGE_ALPHA if i == j else 0.0} AS a_{i}_{j}" for j, b in enumerate(f)]
+        cols.append(f"sum({a} * quantity) - count(*) * avg({a}) * avg(quantity) AS b_{i}")
+    steps = [f"E0 AS (SELECT {', '.join(cols)} FROM {samples})"]
+    keep = ["my", *[f"m_{i}" for i in range(p)]]
+    for k in range(p):
+        cols = list(keep)
+        for i in range(p):
+            for j, (name, pivot) in enumerate([*[(f"a_{i}_{j}", f"a_{k}_{j}") for j in range(p)], (f"b_{i}", f"b_{k}")]):
+                cols.append(f"{pivot} / a_{k}_{k} AS {name}" if i == k else f"{name} - a_{i}_{k} * {pivot} / a_{k}_{k} AS {name}")
+        steps.append(f"E{k + 1} AS (SELECT {', '.join(cols)} FROM E{k})")
+    mean = " - ".join(["my", *[f"m_{i} * b_{i}" for i in range(p)]])
+    steps.append(f"RIDGE AS (SELECT {mean} AS b0, {', '.join(f'b_{i} AS c_{i}' for i in range(p))} FROM E{p})")
+    return ",\n".join(steps)
+
+
+RIDGE_SQL = TRAIN_SQL + ", " + ridge_ctes()
+NEXT_SQL = """
+LW AS (SELECT user_id, item_id, max(week) AS last_week FROM WK GROUP BY 1, 2),
+LG AS (SELECT w.user_id, w.item_id,
+              CAST(COALESCE(sum(CASE WHEN date_diff('day', w.week, l.last_week) = 0 THEN w.quantity END), 0) AS DOUBLE) AS lag_1,
+              CAST(COALESCE(sum(CASE WHEN date_diff('day', w.week, l.last_week) = 7 THEN w.quantity END), 0) AS DOUBLE) AS lag_2,
+              CAST(COALESCE(sum(CASE WHEN date_diff('day', w.week, l.last_week) = 14 THEN w.quantity END), 0) AS DOUBLE) AS lag_3
+       FROM WK w JOIN LW l USING (user_id, item_id) GROUP BY 1, 2),
+NW AS (SELECT pm.user_id, pm.item_id,
+              CASE WHEN g.lag_1 IS NULL THEN pm.owner_mean_qty
+                   ELSE greatest(0.0, b0 + c_0 * g.lag_1 + c_1 * g.lag_2 + c_2 * g.lag_3 + c_3 * (g.lag_1 + g.lag_2 + g.lag_3) / 3.0
+                                      + c_4 * pm.owner_mean_qty + c_5 * im.material_mean_qty) END AS forecast_qty
+       FROM PM pm JOIN IM im USING (item_id) LEFT JOIN LG g USING (user_id, item_id) CROSS JOIN RIDGE)
+"""
+
+
+@query("forecast_ridge_fit", DV + ", " + RIDGE_SQL + " SELECT 'intercept' AS term, round(b0, 4) AS coefficient FROM RIDGE" + "".join(
+    f" UNION ALL SELECT '{a}', round(c_{i}, 4) FROM RIDGE" for i, a in enumerate(FORECAST_FEATURES)))
 def forecast_ridge_fit(spark, sf):
     """Intercept + 6 coefficients from the centred normal equations (driver-side 6x6 solve)."""
     b0, coef = fc.fit_demand(V.demand_interactions(spark, sf))
     rows = [("intercept", b0)] + list(zip(FORECAST_FEATURES, coef))
-    return spark.createDataFrame(rows, "term string, coefficient double")
+    return spark.createDataFrame(rows, "term string, coefficient double").withColumn("coefficient", r4(F.col("coefficient")))
 
 
 @query("forecast_features", DV + ", " + WK_SQL + ", " + BASE_SQL + """,
@@ -109,13 +146,13 @@ def forecast_features(spark, sf):
                       for c in f.columns])
 
 
-@query("forecast_next_week")
+@query("forecast_next_week", DV + ", " + RIDGE_SQL + ", " + NEXT_SQL + "SELECT user_id, item_id, round(forecast_qty, 4) AS forecast_qty FROM NW")
 def forecast_next_week(spark, sf):
     """D3 for every observed (supplier, category) pair, model fitted on the same series."""
     d = V.demand_interactions(spark, sf)
     model = fc.fit_demand(d)
     return fc.forecast_next_week(d, d.select("user_id", "item_id"), model).withColumn(
-        "forecast_qty", r6(F.col("forecast_qty")))
+        "forecast_qty", r4(F.col("forecast_qty")))
 
 
 OKV = with_views("OK")
