@@ -189,7 +189,11 @@ def bulk_load_interactions(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("run_log_append")
+@query("run_log_append", CUSTOMER_FEATURES_SQL + """,
+ENTRIES AS (SELECT 'alpha' AS name, '0.4' AS value, 'param' AS type UNION ALL SELECT 'train_fraction', '0.85', 'param'
+  UNION ALL SELECT 'n_users', CAST(CAST(count(DISTINCT user_id) AS DOUBLE) AS VARCHAR), 'metric' FROM CF
+  UNION ALL SELECT 'n_pairs', CAST(CAST(count(*) AS DOUBLE) AS VARCHAR), 'metric' FROM CF)
+SELECT r.run_id, 'customer' AS kind, e.name, e.value, e.type FROM ENTRIES e CROSS JOIN (SELECT unnest(['run-1', 'run-2']) AS run_id) r""")
 def run_log_append(spark, sf):
     """Two runs appended to the run log (params + metrics), read back."""
     path = files.shared_scratch(spark, "runs")
