@@ -243,6 +243,22 @@ def test_older_rankers_serve_users_without_history(spark):
     assert [(r.material_id, r.score, r.reason) for r in rows if r.user_id == 2] == [(1, 1.0, "Popular material"), (0, 1.0, "Popular material")]
 
 
+def test_layout_violations_raise(spark):
+    from tidewater.sources import sinks
+    good = spark.createDataFrame([(1, "a", "d", 2.0, "A")], "material_id long, material_name string, description string, price double, category string")
+    layout = sinks.materials_layout(good, F.current_timestamp())
+    check = lambda df: sinks.assert_layout(sinks.validate_layout(df, sinks.MATERIAL_REQUIRED, sinks.MATERIAL_TYPES))
+    assert check(layout).first().row_count == 1
+    for bad in (layout.withColumn("Name", F.lit(None).cast("string")), layout.withColumn("IsAvailable", F.lit(1)), layout.drop("Unit")):
+        with pytest.raises(ValueError):
+            check(bad)
+
+
+def test_gate_promotes_only_what_is_at_least_as_good():
+    assert ev.should_promote(0.1) and ev.should_promote(0.1, 0.1)
+    assert not ev.should_promote(0.1, 0.2) and not ev.should_promote(float("nan"))
+
+
 def test_sparse_moments_equal_dense_grid(spark):
     rows = []
     i = 0

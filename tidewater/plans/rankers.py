@@ -129,6 +129,7 @@ def recommend_cold_start(spark, sf):
 # ---------------------------------------------------------------- materials
 from tidewater.functions import POPULAR_MATERIALS_N  # noqa: E402
 from tidewater.operators import forecasting as fc  # noqa: E402
+from tidewater.plans.forecast import NEXT_SQL, RIDGE_SQL, URG_SQL  # noqa: E402
 from tidewater.plans.owner import OWNER_FEATURES_SQL  # noqa: E402
 from tidewater.plans.sqlblocks import tfidf_sql  # noqa: E402
 
@@ -197,7 +198,24 @@ def recommend_materials_cold_start(spark, sf):
                                              V.materials(spark, sf), K)
 
 
-@query("recommend_materials_raw")
+R6_SQL = with_views("OK", "OK_materials") + ", D AS (SELECT * FROM OK), " + RIDGE_SQL + ", " + NEXT_SQL + ", " + URG_SQL + ", " + tfidf_sql(
+    "SELECT material_id AS doc_id, category || ' ' || description AS txt FROM OK_materials", "MX") + f""",
+HELD AS (SELECT DISTINCT user_id, item_id FROM OK WHERE item_id IN (SELECT doc_id FROM MX)),
+MM AS (SELECT user_id, count(*) AS m FROM HELD GROUP BY 1),
+PRO AS (SELECT h.user_id, x.term, sum(x.weight) / max(mm.m) AS p FROM HELD h JOIN MX x ON h.item_id = x.doc_id JOIN MM mm USING (user_id) GROUP BY 1, 2),
+SIMS AS (SELECT p.user_id, x.doc_id AS item_id, sum(p.p * x.weight) AS sim FROM PRO p JOIN MX x USING (term) GROUP BY 1, 2),
+RGRID AS (SELECT o.user_id, m.material_id AS item_id FROM (SELECT DISTINCT user_id FROM OK) o CROSS JOIN OK_materials m),
+RQ AS (SELECT g.user_id, g.item_id, COALESCE(n.forecast_qty, im.material_mean_qty, 10.0) AS q, u.n_purchases, u.days_elapsed, u.cycle_days, s.sim
+       FROM RGRID g LEFT JOIN NW n USING (user_id, item_id) LEFT JOIN IM im USING (item_id) LEFT JOIN URG u USING (user_id, item_id) LEFT JOIN SIMS s USING (user_id, item_id)),
+RSC AS (SELECT user_id, item_id,
+          round(0.3 * COALESCE(least(1.0, n_purchases / 15.0), 0.0) + 0.3 * COALESCE(least(1.0, greatest(0.0, days_elapsed / cycle_days)), 0.0)
+              + 0.2 * (CASE WHEN q > 0 THEN least(1.0, q / 200.0) ELSE 0.0 END) + 0.2 * COALESCE(sim, 0.0), 4) AS score,
+          round(q, 1) AS demand, COALESCE(days_elapsed, 0) AS elapsed, COALESCE(CAST(trunc(cycle_days) AS BIGINT), 0) AS cycle FROM RQ),
+RKM AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM RSC QUALIFY rank <= {K})
+"""
+
+
+@query("recommend_materials_raw", R6_SQL + MAT_COLS.replace("O_materials", "OK_materials"))
 def recommend_materials_raw(spark, sf):
     """R6 (raw path) on view OK: reorder urgency + ridge forecast + similarity, every catalog key."""
     # the view feeds the ridge fit and ~10 scoring branches: materialise it once (lineage-backed)
