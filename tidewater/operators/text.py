@@ -19,7 +19,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, term, tf, idf, weight) with idf = ln((1+n)/(1+df)) + 1 and unit-length rows.
 
     n counts every document, including ones without tokens. The document
-    frequency table is vocabulary-sized and joins back broadcast (size-checked).
+    frequency table has one row a term.
     """
     tf = tokens(docs, id_col, text_col).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*")).scalar()

@@ -10,7 +10,6 @@ from tidewater.operators import features as fe
 from tidewater.operators import forecasting as fc
 from tidewater.operators import rankers as rk
 from tidewater.plans import customer as pc
-from tidewater.plans import owner as po
 from tidewater.plans import rankers as pr
 from tidewater.functions import POPULAR_MATERIALS_N
 from tidewater.plans.forecast import CYC_SQL, NEXT_SQL, RIDGE_SQL
