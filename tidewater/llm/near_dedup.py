@@ -35,7 +35,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewater.llm import textkit as X
 from tidewater.llm.common import bounded_batches, checkpointed, pick_ids, text_key
@@ -364,10 +363,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "fp")).alias("x")
     kept = checkpointed(found.groupBy("class").agg(first).select(F.col("x.fp").alias("__fp"), F.col("x.rep_id").alias("__id")))
     out = docs.withColumn("__key", text_key("text"))
-    out = out.join(kept, (F.col("__key") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    several = found.filter("n_rows > 1").select(F.col("fp").alias("__fp")).distinct()
-    again = out.join(several, F.col("__key") == F.col("__fp"), "left_semi").dropDuplicates(["__key", "doc_id"])
-    return out.join(several, F.col("__key") == F.col("__fp"), "left_anti").unionByName(again).select(*docs.columns)
+    out = out.join(pick_ids(kept), (F.col("__key") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # only rows that share doc_id and text are left to be told apart; their texts alone are shuffled
+    same = docs.select(F.col("doc_id").alias("__rid"), text_key("text").alias("__rfp")).groupBy("__rid", "__rfp").agg(F.count(F.lit(1)).alias("__n"))
+    same = checkpointed(same.filter("__n > 1").select("__rid", "__rfp"))
+    if same.isEmpty():
+        return out.select(*docs.columns)
+    same, at = pick_ids(same), (F.col("__key") == F.col("__rfp")) & F.col("doc_id").eqNullSafe(F.col("__rid"))
+    again = out.join(same, at, "left_semi").dropDuplicates(["__key", "doc_id"])
+    return out.join(same, at, "left_anti").unionByName(again).select(*docs.columns)
 
 
 #: DuckDB: exact weighted Jaccard of all pairs of distinct texts that share a shingle, then components.
