@@ -20,12 +20,12 @@ ARROW_ROWS = 500
 BROADCAST_IDS = 500_000
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small; an even smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

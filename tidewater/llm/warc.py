@@ -124,7 +124,7 @@ def archives(records, archive_bytes: int = ARCHIVE_BYTES):
 
 def write(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the archives of ``pages`` (page_id, url, html) below ``path``, one folder an archive."""
-    bounded_batches(pages.sparkSession, 200)
+    bounded_batches(pages.sparkSession)
 
     def run(batches):
         def records():
@@ -243,9 +243,10 @@ def page_row(h: dict[str, str], block: bytes):
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url (strings), payload_bytes, payload_digest, record_type, refers_to, payload of all page records.
 
-    One archive is one row of Spark's binary reader, so archives must stay below 2 GB.
+    One archive is one row of Spark's binary reader, so archives must stay below 2 GB; an Arrow batch
+    holds at most the archives of one input partition (``spark.sql.files.maxPartitionBytes``).
     """
-    bounded_batches(spark, 2)
+    bounded_batches(spark)
 
     def run(batches):
         for batch in batches:
