@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewater.llm.common import bounded_batches, checkpointed
+from tidewater.llm.common import bounded_batches, written
 
 # The template and the control strings that are escaped.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -71,24 +71,24 @@ def chained(rows: DataFrame) -> DataFrame:
 
 def paths(messages: DataFrame) -> DataFrame:
     """conv_id, leaf, node, back (steps from the leaf) of every message on a path from a leaf to its root."""
-    m = checkpointed(messages.select("conv_id", "node", "parent"))
+    m = written(messages.select("conv_id", "node", "parent"))
     here = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) & (F.col(f"{a}.at") == F.col(f"{b}.node"))
     nodes = m.select("conv_id", "node")
     up = m.filter("parent IS NOT NULL").select("conv_id", "node", F.col("parent").alias("at"))
-    up = checkpointed(up.alias("u").join(nodes.alias("n"), here("u", "n"), "left_semi"))
+    up = written(up.alias("u").join(nodes.alias("n"), here("u", "n"), "left_semi"))
     replied = up.select("conv_id", F.col("at").alias("node"))
     at = F.col("n.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("n.node") == F.col("r.node"))
     found = nodes.alias("n").join(replied.alias("r"), at, "left_anti")
     # grouped, so that the optimizer does not take leaf and at for two names of one column
     found = found.groupBy("conv_id", F.col("node").alias("leaf")).agg(F.first("node").alias("at"))
-    parts, step = [checkpointed(found.withColumn("back", F.lit(0).cast("long")))], 1
+    parts, step = [written(found.withColumn("back", F.lit(0).cast("long")))], 1
     while not up.isEmpty():
         more = [p.alias("f").join(up.alias("u"), here("f", "u")).select("f.conv_id", "f.leaf", F.col("u.at").alias("at"), (F.col("f.back") + step).alias("back")) for p in parts]
-        more = checkpointed(reduce(DataFrame.unionByName, more))
+        more = written(reduce(DataFrame.unionByName, more))
         if more.isEmpty():  # what is left of ``up`` lies on cycles
             break
         parts.append(more)
-        up = checkpointed(up.alias("u").join(up.alias("v"), here("u", "v")).select("u.conv_id", "u.node", F.col("v.at").alias("at")))
+        up = written(up.alias("u").join(up.alias("v"), here("u", "v")).select("u.conv_id", "u.node", F.col("v.at").alias("at")))
         step *= 2
     return reduce(DataFrame.unionByName, parts).select("conv_id", "leaf", F.col("at").alias("node"), "back")
 

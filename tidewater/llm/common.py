@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.session import cut_lineage, ensure_checkpoint_dir
 from tidewater.sources.tables import read_table
 
-__all__ = ["read_table", "checkpointed", "text_key", "bounded_batches", "pick_ids", "scratch_path", "words_count"]
+__all__ = ["read_table", "checkpointed", "written", "text_key", "bounded_batches", "pick_ids", "scratch_path", "words_count"]
 
 #: Rows in one Arrow batch sent to a Python worker. Texts average some kB, so a batch stays in the
 #: low MB; a batch of very long texts is cut further inside the task (textkit.chunks).
@@ -33,6 +33,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for frames that a loop joins again and again.
+
+    A checkpoint keeps the planner's size estimate, which joins multiply; after some rounds the number
+    alone would take the driver minutes. A table has the size of its files.
+    """
+    path = scratch_path(df.sparkSession, "loop")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

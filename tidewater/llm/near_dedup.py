@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import textkit as X
-from tidewater.llm.common import bounded_batches, checkpointed, pick_ids, text_key
+from tidewater.llm.common import bounded_batches, checkpointed, pick_ids, text_key, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -263,23 +263,23 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of the connected components of links (a, b); one root a component.
 
     Every node moves to its least neighbour if that is less, twice over; links are redrawn between the
-    new places and distinct ones kept, until none is left. Each round is checkpointed.
+    new places and distinct ones kept, until none is left. Each round is written.
     """
     edge = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
-    edge, place = checkpointed(edge), None
+    edge, place = written(edge), None
     while not edge.isEmpty():
         step = edge.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        step = checkpointed(step)
+        step = written(step)
         again = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        step = checkpointed(step.join(again, "to").select("node", F.col("next").alias("to")))
+        step = written(step.join(again, "to").select("node", F.col("next").alias("to")))
         move = step.select(F.col("node").alias("root"), "to")
         if place is None:
             place = step.select("node", F.col("to").alias("root"))
         else:
             place = place.join(move, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        place = checkpointed(place)
+        place = written(place)
         a, b = step.select(F.col("node").alias("a"), F.col("to").alias("a2")), step.select(F.col("node").alias("b"), F.col("to").alias("b2"))
-        edge = checkpointed(edge.join(a, "a").join(b, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).filter("a <> b").distinct())
+        edge = written(edge.join(a, "a").join(b, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).filter("a <> b").distinct())
     return place if place is not None else edge.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
