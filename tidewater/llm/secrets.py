@@ -2,7 +2,9 @@
 
 Natural words, also rare ones, reach two to five characters a token under a byte-pair vocabulary;
 random keys stay near one and a half. A run of key characters counts as random when its ratio is
-below ``MAX_CHARS_PER_TOKEN`` and it is neither a digest of a usual length nor a known identifier.
+below ``MAX_CHARS_PER_TOKEN`` and it is no digest of a usual length, UUID, number or piece of the alphabet.
+Names (letters of one or of title case, with marks between) count by their best of three ratios: as
+they stand, in lower case, and their words alone; so headings and paths of short words are no keys.
 
 Rows: null and empty texts have no span; a repeated row is scanned on its own; an empty table gives
 an empty result; other columns are ignored (``scan``) or kept as they are (``redact``).
@@ -13,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import string
 
 import pyarrow as pa
 import tiktoken
@@ -70,12 +73,21 @@ class Scanner:
         self.number = re.compile(r"[0-9_/+=-]+")
 
     def known(self, run: str) -> bool:
-        """Digests of usual lengths, UUIDs, numbers and names made of whole lower- or title-case words."""
+        """Digests of usual lengths, UUIDs, numbers and letters in the order of the alphabet."""
         if self.uuid.fullmatch(run) or self.number.fullmatch(run):
             return True
         if len(run) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
             return True
-        return bool(self.name.fullmatch(run)) and all(w.islower() or w.istitle() or w.isupper() for w in re.findall("[A-Za-z]+", run))
+        return run.lower() in string.ascii_lowercase
+
+    def ratio(self, run: str) -> float:
+        """Characters a token; of a name the best of the run, its lower case and its words alone."""
+        own = len(run) / len(self.encode(run))
+        words = re.findall("[A-Za-z]+", run)
+        if own >= MAX_CHARS_PER_TOKEN or not self.name.fullmatch(run) or not all(w.islower() or w.istitle() or w.isupper() for w in words):
+            return own
+        low = [w.lower() for w in words]
+        return max(own, len(run) / len(self.encode(run.lower())), sum(map(len, low)) / sum(len(self.encode(w)) for w in low))
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found = []
@@ -87,7 +99,7 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         for m in self.run.finditer(text):
             run = m.group()
-            if not self.known(run) and len(run) < MAX_CHARS_PER_TOKEN * len(self.encode(run)):
+            if not self.known(run) and self.ratio(run) < MAX_CHARS_PER_TOKEN:
                 found.append((m.start(), 3, m.end()))
         return sorted(found)
 
