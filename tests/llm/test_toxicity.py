@@ -34,6 +34,33 @@ def test_automaton_accepts_what_brute_force_accepts():
             assert i not in got
 
 
+def test_several_automata_accept_what_one_accepts():
+    random.seed(4)
+    word = lambda least, most: "".join(random.choice("abcé") for _ in range(random.randint(least, most)))
+    terms = sorted({word(3, 7) for _ in range(60)} | {word(4, 6) + "*" for _ in range(12)})
+    texts = pa.array([" ".join(word(1, 9) for _ in range(20)) for _ in range(300)])
+    one = T.Matcher(T.automaton_of(terms)).run(texts)
+    for size in (1, 7, 30, 400):
+        assert all((a == b).all() for a, b in zip(one, T.Matcher(*T.automata_of(terms, size)).run(texts)))
+
+
+def test_every_term_that_passes_is_learned_and_scores(spark):
+    random.seed(6)
+    bad = sorted({"".join(random.choice("bdfgklmnprstvz") + random.choice("aeiou") for _ in range(5)) for _ in range(700)})
+    rows, marks = [], []
+    for i in range(400):
+        toxic = i < 100
+        text = edge.words(30_000 + i, 20) + " " + " ".join(bad[(i * len(bad) // 100 + j * 11) % len(bad)] if toxic else "" for j in range(100))
+        rows.append((1000 + i, text, "en", "a", 0))
+        marks.append((1000 + i, 1, int(toxic)))
+    rows += [(5000 + i, edge.words(90_000 + i, 20) + f" you {w} " + edge.words(95_000 + i, 20), "en", "a", 0) for i, w in enumerate(bad)]
+    docs, labels = edge.docs(spark, rows), edge.labels(spark, marks)
+    found = T.lexicon(T.training(docs, labels, None))
+    assert len(found) > T.TERMS and set(bad) <= set(found)
+    got = {r["doc_id"]: r["score"] for r in T.score(docs, labels).collect()}
+    assert all(got[5000 + i] >= T.THRESHOLD for i in range(len(bad)))
+
+
 def test_context_tells_quotation_from_abuse():
     m = T.Matcher(T.automaton_of(["zgrobl"]))
     for text, kind in (('he said "zgrobl" once', 2), ("«zgrobl» is a word", 2), ("you zgrobl", 1), ("a zgrobl here", 0), ('ends" then zgrobl', 0), ('“x”\nzgrobl said', 0)):

@@ -3,12 +3,14 @@
 1. Lexicon: words and stems (first letters of words, written "stem*") that labelled toxic documents hold
    more often than chance explains. The binomial odds of a term's counts, times the number of terms
    held by as many documents, tell how many such terms chance alone would bring forth; a term's trust
-   is 1 / (1 + that number). Document counts by term cover all labelled training rows; of terms below
-   ``CHANCE`` the ``TERMS`` least likely by chance are kept (model size).
+   is 1 / (1 + that number). Document counts by term cover all labelled training rows; every term
+   below ``CHANCE`` is kept.
 2. Automaton: the Levenshtein automata of all words (one edit; none for words under ``EDIT_FROM``
    characters) are run along the lexicon's trie and determinised into one table, state x character
-   class -> state; a stem is matched exactly and accepts any ending. Tasks step all words of a block through the table at once; most words leave it
-   after a few characters.
+   class -> state; a stem is matched exactly and accepts any ending. The lexicon in order of its letters
+   is split into as many tables as it takes, of ``TERMS`` terms each. Tasks step all words of a block
+   through a table at once; most words leave it after a few characters. With more than one table, each
+   distinct word of a block is stepped once; the best acceptance of all tables counts.
 3. Context: a window of ``WINDOW`` words to each side. A match inside quotation marks, or near a word of
    reporting, is a quotation; near a word of address it is aimed at somebody. Each kind scales a match.
 4. Weights: how often training documents that hold a term, exactly or misspelled, are toxic
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from tidewater.llm import textkit as X
 from tidewater.llm.common import bounded_batches, checkpointed, pick_ids
 
-TERMS = 400  # most terms of the lexicon; bounds the automaton
+TERMS = 400  # most terms of one automaton; a larger lexicon has several
 STEMS = tuple(range(4, 11))  # characters of stems
 MIN_SHARE = 0.6  # share of toxic ones among training documents that hold a term
 CHANCE = 20.0
@@ -53,6 +55,7 @@ ADDRESS = "you your you're u ur tu te toi vous du dich dir sie usted eres".split
 QUOTES = "\"“”„«»‟‹›"
 
 OTHER = 0  # class of characters that no term has
+LAST, NONE = 1000, 1001  # orders of a misspelled word and of no acceptance; a stem's is LAST less its length
 
 
 def label_fold(n: int, doc_id: str = "doc_id") -> Column:
@@ -68,8 +71,8 @@ def training(docs: DataFrame, labels: DataFrame, fold: Column | None) -> DataFra
     return docs.select("doc_id", "text").filter("text IS NOT NULL").join(marks, "doc_id").select("text", "toxic")
 
 
-def lexicon(train: DataFrame, terms: int = TERMS) -> dict[str, float]:
-    """The strongest terms and their trust, from document counts by term over all of ``train``."""
+def lexicon(train: DataFrame) -> dict[str, float]:
+    """Every term below ``CHANCE`` and its trust, from document counts by term over all of ``train``."""
     words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 3)
     stems = [F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
     rows = train.select("toxic", F.array_distinct(words).alias("words"))
@@ -85,14 +88,18 @@ def lexicon(train: DataFrame, terms: int = TERMS) -> dict[str, float]:
     odds = fact(F.col("all")) - fact(F.col("bad")) - fact(good) + F.col("bad") * math.log(base) + good * math.log1p(-base)
     strong = n.filter((F.col("bad") >= MIN_SHARE * F.col("all")) & (F.length("word") <= 40)).join(alike, "all")
     strong = strong.select("word", (odds + F.log("alike")).alias("chance")).filter(F.col("chance") < math.log(CHANCE))
-    found = strong.orderBy("chance", "word").limit(terms).collect()
-    return {r["word"]: 1 / (1 + math.exp(r["chance"])) for r in sorted(found)}
+    return {r["word"]: 1 / (1 + math.exp(r["chance"])) for r in sorted(strong.collect())}
+
+
+def automata_of(terms: list[str], size: int = TERMS) -> list[dict]:
+    """The automata of sorted ``terms``, ``size`` terms each."""
+    return [automaton_of(terms[at : at + size]) | {"base": at} for at in range(0, len(terms), size)]
 
 
 def automaton_of(terms: list[str], edit_from: int = EDIT_FROM) -> dict:
     """Determinised Levenshtein automata along the trie of ``terms``, as plain arrays to broadcast:
     class_of (character -> class), table (state x class -> state; 0 is dead, 1 the start), and per state
-    the accepted term (or -1) with its edits.
+    the accepted term (or -1) with its edits and its order among acceptances (least first).
     """
     letters = sorted({c for t in terms for c in t.rstrip("*")})
     class_of = {c: i + 1 for i, c in enumerate(letters)}
@@ -140,13 +147,13 @@ def automaton_of(terms: list[str], edit_from: int = EDIT_FROM) -> dict:
         return closed(out)
 
     def accepted(states):
-        """Term and edits: an exact word first, then the longest stem, then a misspelled word."""
-        found = [(0 if e == 0 else 2, 0, words[node], e) for node, e in states if node >= 0 and words[node] >= 0 and (e == 0 or len(terms[words[node]]) >= edit_from)]
-        found += [(1, -len(terms[-1 - node]), -1 - node, 0) for node, _ in states if node < 0]
-        return min(found)[2:] if found else (-1, 0)
+        """Term, edits and order: an exact word first, then the longest stem, then a misspelled word."""
+        found = [(0 if e == 0 else LAST, words[node], e) for node, e in states if node >= 0 and words[node] >= 0 and (e == 0 or len(terms[words[node]]) >= edit_from)]
+        found += [(LAST - len(terms[-1 - node]), -1 - node, 0) for node, _ in states if node < 0]
+        return (*min(found)[1:], min(found)[0]) if found else (-1, 0, NONE)
 
     start = closed({(0, 0)})
-    number, queue, table, accept = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)], [(-1, 0)]
+    number, queue, table, accept = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)], [(-1, 0, NONE)]
     for states in queue:
         row = []
         for k in range(len(letters) + 1):
@@ -157,21 +164,26 @@ def automaton_of(terms: list[str], edit_from: int = EDIT_FROM) -> dict:
             row.append(number[new])
         table.append(row)
         accept.append(accepted(states))
-    return {"longest": max((len(t) for t in terms), default=0) + 2, "class_of": class_of, "table": np.array(table, dtype=np.int32), "term": np.array([a[0] for a in accept], dtype=np.int32), "edits": np.array([a[1] for a in accept], dtype=np.int8)}
+    return {"longest": max((len(t) for t in terms), default=0) + 2, "class_of": class_of, "table": np.array(table, dtype=np.int32), "term": np.array([a[0] for a in accept], dtype=np.int32), "edits": np.array([a[1] for a in accept], dtype=np.int8), "order": np.array([a[2] for a in accept], dtype=np.int32)}
 
 
 class Matcher:
-    """Matches of an automaton in blocks of texts: text, term, edits and context of each."""
+    """Matches of automata in blocks of texts: text, term, edits and context of each."""
 
-    def __init__(self, automaton: dict):
-        self.longest, self.table, self.term, self.edits = (automaton[k] for k in ("longest", "table", "term", "edits"))
-        self.classes = np.zeros(0x110000, dtype=np.uint16)
-        for c, k in automaton["class_of"].items():
-            self.classes[ord(c)] = k
+    def __init__(self, *automata: dict):
+        self.automata = [(a, self.classes(a["class_of"])) for a in automata]
         cue = lambda words: np.array(sorted(self.hashes(words)), dtype=X.U)
         self.reporting, self.address = cue(REPORTING), cue(ADDRESS)
         self.quote_bytes = [q.encode() for q in QUOTES]
 
+    @staticmethod
+    def classes(class_of: dict[str, int]) -> np.ndarray:
+        """Class by code point, up to the last letter; the entry after it is the class of all others."""
+        out = np.zeros(max(map(ord, class_of), default=0) + 2, dtype=np.uint16)
+        for c, k in class_of.items():
+            out[ord(c)] = k
+        return out
+
     @staticmethod
     def hashes(words: list[str]) -> set[int]:
         return {int(h) for h in X.Words(pa.array(words, pa.string())).hash}
@@ -185,21 +197,39 @@ class Matcher:
         lead = np.cumsum((raw & 0xC0) != 0x80)  # number of code points up to and with each byte
         first = lead[w.starts] - 1 if len(w.starts) else w.starts
         size = lead[w.ends - 1] - first if len(w.starts) else w.starts
-        kinds = self.classes[points]
+        same = None
+        if len(self.automata) > 1:  # step each distinct word once
+            _, one, same = np.unique(w.hash, return_index=True, return_inverse=True)
+            first, size = first[one], size[one]
+        term, edits = np.full(len(first), -1, dtype=np.int32), np.zeros(len(first), dtype=np.int8)
+        order = np.full(len(first), NONE, dtype=np.int32)
+        for a, classes in self.automata:
+            final = self.final(a, classes, points, first, size)
+            better = np.flatnonzero(a["order"][final] < order)
+            to = final[better]
+            term[better], edits[better], order[better] = a["term"][to] + a.get("base", 0), a["edits"][to], a["order"][to]
+        if same is not None:
+            term, edits = term[same], edits[same]
+        hit = np.flatnonzero(term >= 0)
+        return w.owner[hit], term[hit], edits[hit], self.context(w, hit)
+
+    @staticmethod
+    def final(automaton: dict, classes: np.ndarray, points: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """State of ``automaton`` after each word; 0 for words that left it."""
+        table, beyond = automaton["table"], len(classes) - 1
         state = np.ones(len(first), dtype=np.int32)
         live = np.arange(len(first))
         final = np.zeros(len(first), dtype=np.int32)
-        last = np.minimum(size, self.longest)  # a longer word can hold no more than a stem, met by then
+        last = np.minimum(size, automaton["longest"])  # a longer word can hold no more than a stem, met by then
         at = 0
         while len(live):
             done = last[live] == at
             final[live[done]] = state[live[done]]
             live = live[~done]
-            state[live] = self.table[state[live], kinds[first[live] + at]]
+            state[live] = table[state[live], classes[np.minimum(points[first[live] + at], beyond)]]
             live = live[state[live] > 0]
             at += 1
-        hit = np.flatnonzero(self.term[final] >= 0)
-        return w.owner[hit], self.term[final[hit]], self.edits[final[hit]], self.context(w, hit)
+        return final
 
     def context(self, w: X.Words, hit: np.ndarray) -> np.ndarray:
         """Inside a pair of quotation marks of its line or near reporting: 2; near an address: 1."""
@@ -228,14 +258,14 @@ def strip_quotes_as_separators(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(texts, f"([{QUOTES[1:]}’‘])", " \\1 ")
 
 
-def matches(rows: DataFrame, automaton, keep: list[str]) -> DataFrame:
+def matches(rows: DataFrame, automata, keep: list[str]) -> DataFrame:
     """``keep`` columns, renamed k0, k1, ..., and hits (array of term, edits, context, n) of every row."""
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     fields = "".join(f"k{i} {rows.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     kind = pa.list_(pa.struct([("term", pa.int32()), ("edits", pa.int32()), ("context", pa.int32()), ("n", pa.int64())]))
 
     def run(batches):
-        matcher = Matcher(automaton.value)
+        matcher = Matcher(*automata.value)
         for batch in batches:
             out: list[list] = [[] for _ in range(batch.num_rows)]
             for base, part in X.chunks(pc.fill_null(batch.column(len(keep)), "")):
@@ -248,9 +278,9 @@ def matches(rows: DataFrame, automaton, keep: list[str]) -> DataFrame:
     return rows.select(*kept, F.col("text").alias("body")).mapInArrow(run, fields + "hits array<struct<term: int, edits: int, context: int, n: long>>")
 
 
-def weights(train: DataFrame, automaton, terms: dict[str, float]) -> dict[tuple[int, int], float]:
-    """(term, edits) -> weight, from all training documents; at most 2 x TERMS values."""
-    m = checkpointed(matches(train, automaton, ["toxic"]).withColumnRenamed("k0", "toxic"))
+def weights(train: DataFrame, automata, terms: dict[str, float]) -> dict[tuple[int, int], float]:
+    """(term, edits) -> weight, from all training documents; two values a term."""
+    m = checkpointed(matches(train, automata, ["toxic"]).withColumnRenamed("k0", "toxic"))
     base = m.agg(F.avg(F.col("toxic").cast("double"))).collect()[0][0] or 0.0
     rows = m.select("toxic", F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["term"].alias("term"), h["edits"].alias("edits"))))).alias("h"))
     n = rows.groupBy("h.term", "h.edits").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count(F.lit(1)).alias("all")).collect()
@@ -269,12 +299,12 @@ def scored(docs: DataFrame, labels: DataFrame, fold: Column | None, keep: list[s
     bounded_batches(spark)
     train = training(docs, labels, fold)
     terms = lexicon(train)
-    automaton = spark.sparkContext.broadcast(automaton_of(list(terms)))
-    w = weights(train, automaton, terms) if terms else {}
+    automata = spark.sparkContext.broadcast(automata_of(list(terms)))
+    w = weights(train, automata, terms) if terms else {}
     factor = (CONTEXT["plain"], CONTEXT["aimed"], CONTEXT["quoted"])
     value = spark.sparkContext.broadcast({(t, e, c): 1 - v * factor[c] for (t, e), v in w.items() for c in range(3)})
     firm = [trust >= 0.5 for trust in terms.values()]
-    hits = matches(docs, automaton, keep)
+    hits = matches(docs, automata, keep)
     schema = hits.drop("hits").schema.add("score", "double")
 
     def of(row: list[dict]) -> float:
