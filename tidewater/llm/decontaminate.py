@@ -6,11 +6,11 @@ So only the small side is sketched: the ``SKETCH`` shingles of an item with the
 MinHash sample of it, and a document that contains a share c of the item contains each of them with
 probability c, whatever the document's size.
 
-Items are partitioned by size (powers of two of their shingle count). Up to ``SKETCH`` shingles the
-sketch is the item; in larger partitions the number of sketch hits that makes a candidate is the
-binomial bound at which an item contained to 80 % is missed with probability below 1e-6. Within a
-partition, a document with fewer than 80 % of the item's shingles is no candidate. Candidates are then
-verified by exact containment over all shingles of item and document.
+Up to ``SKETCH`` shingles the sketch is the item; for all larger items the number of sketch hits that
+makes a candidate is the one binomial bound at which an item contained to 80 % is missed with
+probability below 1e-6. A document with fewer than 80 % of the item's shingles is no candidate.
+Documents are not routed by size. Candidates are then verified by exact containment over all shingles
+of item and document.
 
 DataFrame functions only. Documents are scanned twice and not shuffled: the sketches are broadcast
 while the planner finds them small, and so are verified candidates' ids (checked; else both are
