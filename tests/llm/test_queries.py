@@ -18,6 +18,7 @@ CONTRACT = {
     "op8_": ("doc_id size source_size target taken", "documents"),
     "op9_": ("page_id host path rule verdict", "pages"),
     "op10_": ("doc_id n_assign n_access n_hex base_sha256 spans", "documents"),
+    "op11_": ("vec_id component n deviation whitened explained identity_error", None),
 }
 
 
@@ -32,4 +33,4 @@ def test_contract(spark, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 11
