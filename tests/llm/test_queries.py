@@ -19,6 +19,8 @@ CONTRACT = {
     "op9_": ("page_id host path rule verdict", "pages"),
     "op10_": ("doc_id n_assign n_access n_hex base_sha256 spans", "documents"),
     "op11_": ("vec_id component n deviation whitened explained identity_error", None),
+    "op12_": ("doc_id held_out n_tokens n_known train_tokens base_score score", "documents"),
+    "op13_": ("doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "documents"),
 }
 
 
@@ -33,4 +35,4 @@ def test_contract(spark, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
-    assert len(QUERIES) == 11
+    assert len(QUERIES) == 13

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, decontaminate, mixing, near_dedup, quality_knn, quality_rules, secrets, toxicity, url_rules, warc, whitening
+from tidewater.llm import chat, cross_tokens, decontaminate, kneser_ney, mixing, near_dedup, quality_knn, quality_rules, secrets, toxicity, url_rules, warc, whitening
 from tidewater.llm.common import read_table
 
 
@@ -62,6 +62,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_knn, op3_toxicity, op4_chat_format, op5_warc, op6_near_dedup, op7_quality_rules, op8_mixing, op9_url_rules, op10_secrets, op11_whitening)}
+def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.perplexities(read_table(spark, sf_dir, "documents"))
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.alignment(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_knn, op3_toxicity, op4_chat_format, op5_warc, op6_near_dedup, op7_quality_rules, op8_mixing, op9_url_rules, op10_secrets, op11_whitening, op12_kneser_ney, op13_cross_tokens)}
 #: The other queries rest on trained models, seeded draws, mined rules or a token vocabulary.
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op4_chat_format": chat.ORACLE, "op5_warc": warc.ORACLE, "op6_near_dedup": near_dedup.ORACLE}
