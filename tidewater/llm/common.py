@@ -15,17 +15,19 @@ __all__ = ["read_table", "checkpointed", "written", "text_key", "bounded_batches
 #: Rows in one Arrow batch sent to a Python worker. Texts average some kB, so a batch stays in the
 #: low MB; a batch of very long texts is cut further inside the task (textkit.chunks).
 ARROW_ROWS = 500
+#: Bytes after which a batch is sent whatever its rows; one longer row is a batch of its own.
+ARROW_BYTES = 4 << 20
 
 #: At most this many ids (8 to 24 bytes each) are broadcast; more go through a shuffle join.
 BROADCAST_IDS = 500_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; an even smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Keep Arrow batches of whole texts small, by rows and by bytes; smaller settings of the session stay."""
+    jconf = spark._jsparkSession.sessionState().conf()
+    for name, now, most in (("maxRecordsPerBatch", jconf.arrowMaxRecordsPerBatch(), ARROW_ROWS), ("maxBytesPerBatch", jconf.arrowMaxBytesPerBatch(), ARROW_BYTES)):
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

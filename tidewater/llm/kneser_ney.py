@@ -34,8 +34,7 @@ from pyspark.sql import types as T
 from tidewater.llm import arrays, textkit as X
 from tidewater.llm.common import bounded_batches
 
-#: Length of the n-grams. Level 3 of the test tables alone has more entries than words are read twice
-#: over; see the README for its disk.
+#: Length of the n-grams. Each further level holds up to an entry a word of the corpus, about 10 bytes.
 ORDER = 2
 FLUSH = 1 << 21  # words or n-grams that a task holds before it sends their sums
 

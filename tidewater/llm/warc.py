@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import bounded_batches, checkpointed, pick_ids, scratch_path
 
 LEAST = 1000  # bytes of payload from which equal ones are revisits
-ARCHIVE_BYTES = 16 << 20  # bytes of records after which a task begins a new archive
+ARCHIVE_BYTES = 8 << 20  # bytes of records after which a task begins a new archive
 DICTIONARY_BYTES = 32 << 10
 TRAIN_BYTES = 2 << 20  # first bytes of an archive that train its dictionary
 
@@ -150,9 +150,9 @@ def write(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int =
     rows.write.partitionBy("archive").text(path)
 
 
-def frame_end(data: bytes, at: int) -> int:
+def frame_end(data: memoryview, at: int) -> int:
     """End of the Zstandard frame at ``at``, from its block headers."""
-    size = zstandard.frame_header_size(data[at : at + 18])
+    size = zstandard.frame_header_size(bytes(data[at : at + 18]))
     checksum = data[at + 4] >> 2 & 1
     at += size
     while True:
@@ -168,14 +168,17 @@ def frame_end(data: bytes, at: int) -> int:
     return at
 
 
-def frames(data: bytes):
-    """Decoded frames of an archive that leads with a dictionary in a skippable frame (or has none)."""
-    at, dictionary = 0, None
+def frames(data: bytes | memoryview):
+    """Decoded frames of an archive that leads with a dictionary in a skippable frame (or has none).
+
+    One decoder serves all frames and reads them where they lie.
+    """
+    data, at, dictionary = memoryview(data), 0, None
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC:
         at = 8 + struct.unpack_from("<I", data, 4)[0]
         if at > len(data):
             raise ValueError("truncated dictionary")
-        body = data[8:at]
+        body = bytes(data[8:at])
         if body[:4] == struct.pack("<I", FRAME_MAGIC):  # the dictionary may itself be compressed
             body = zstandard.ZstdDecompressor().decompress(body, max_output_size=64 << 20)
         dictionary = zstandard.ZstdCompressionDict(body)
@@ -190,7 +193,11 @@ def frames(data: bytes):
                 raise ValueError("truncated skippable frame")
         elif magic == FRAME_MAGIC:
             end = frame_end(data, at)
-            yield decoder.decompressobj().decompress(data[at:end])
+            frame = data[at:end]
+            if zstandard.frame_content_size(bytes(frame[:18])) >= 0:
+                yield decoder.decompress(frame)
+            else:  # other writers need not state the size
+                yield decoder.decompressobj().decompress(frame)
             at = end
         else:
             raise ValueError(f"no frame at byte {at}")
@@ -240,48 +247,52 @@ def page_row(h: dict[str, str], block: bytes):
     return h.get("page-id"), h.get("warc-target-uri"), n, digest, h["warc-type"], refers, payload if refers is None else None
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url (strings), payload_bytes, payload_digest, record_type, refers_to, payload of all page records.
+COLUMNS = (("page_id", "string"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "string"), ("payload", "binary"))
+ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """page_id, url (strings), payload_bytes, payload_digest, record_type, refers_to and, if asked for,
+    payload of all page records.
 
     One archive is one row of Spark's binary reader, so archives must stay below 2 GB; an Arrow batch
-    holds at most the archives of one input partition (``spark.sql.files.maxPartitionBytes``).
+    holds few of them (``bounded_batches``), and rows leave a task in batches of about 1 MB.
     """
     bounded_batches(spark)
+    columns = COLUMNS if payload else COLUMNS[:-1]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ARROW[t]) for i, (_, t) in enumerate(columns)], names=[c for c, _ in columns])
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows, size = [], 0
                 try:
-                    for body in frames(data.as_buffer().to_pybytes()):
+                    for body in frames(memoryview(data.as_buffer())):
                         h, block = parsed(body)
                         if h["warc-type"] in ("response", "revisit"):
-                            rows.append(page_row(h, block))
-                            size += len(block)
-                        if size >= 4 << 20:
+                            rows.append(page_row(h, block)[: len(columns)])
+                            size += 200 + len(block) * payload
+                        if size >= 1 << 20:
                             yield batch_of(rows)
                             rows, size = [], 0
                 except (ValueError, KeyError, zstandard.ZstdError) as wrong:
                     raise ValueError(f"{name}: {wrong}") from wrong
                 yield batch_of(rows)
 
-    kinds = [("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())]
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], names=[k for k, _ in kinds])
-
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return found.select("path", "content").mapInArrow(run, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary")
+    return found.select("path", "content").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in columns))
 
 
-def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``pages`` to archives and read them back, ids in their own type."""
+def round_trip(pages: DataFrame, path: str | None = None, payload: bool = True) -> DataFrame:
+    """Write ``pages`` to archives and read them back, ids in their own type, with or without payloads."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write(pages, path)
     kind = pages.schema["page_id"].dataType
     ident = lambda c: F.url_decode(c).cast(kind).alias(c)
-    return read(spark, path).withColumns({"page_id": ident("page_id"), "refers_to": ident("refers_to")})
+    return read(spark, path, payload).withColumns({"page_id": ident("page_id"), "refers_to": ident("refers_to")})
 
 
 #: DuckDB: sizes and digests from the table; the response of equal payloads is the largest page_id.
