@@ -100,6 +100,32 @@ def best(score: np.ndarray, k: int, places: int) -> tuple[np.ndarray, np.ndarray
     return r, c, key[r, c] / 10**places
 
 
+def unseen_kernel():
+    """The score of every pair without a record."""
+
+    def run(users, ids, sim, rec):
+        open_ = np.ones(sim.shape, dtype=bool)
+        open_[rec["u"], rec["i"]] = False
+        r, c = np.nonzero(open_)
+        return pd.DataFrame({"user_id": users["user_id"].to_numpy(np.int64)[r], "item_id": ids[c], "score": sim[r, c]})
+
+    return run
+
+
+def best_unseen_kernel(k: int, positive: bool = False, places: int = 9):
+    """k best items a user without a record, only those above 0 if ``positive``."""
+    low = -1e4  # scores of pairs with a record; real ones are far above
+
+    def run(users, ids, sim, rec):
+        score = sim.copy()
+        score[rec["u"], rec["i"]] = low
+        r, c, _ = best(score, k, places)
+        keep = score[r, c] > (0 if positive else low / 2)
+        return pd.DataFrame({"user_id": users["user_id"].to_numpy(np.int64)[r[keep]], "item_id": ids[c[keep]], "score": score[r[keep], c[keep]]})
+
+    return run
+
+
 def material_kernel(k: int, weights: tuple[float, ...]):
     """k best items a user by weights of volume, urgency, forecast and text similarity."""
     wv, wu, wf, ws = weights
