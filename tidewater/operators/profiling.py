@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,48 +14,67 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 DATETIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
+SAMPLES = 10
+
+
 def _kind(f: T.StructField) -> str:
     if isinstance(f.dataType, NUMERIC):
         return "numeric"
-    if isinstance(f.dataType, DATETIME):
+    if isinstance(f.dataType, DATETIME) or "timestamp" in f.name.lower() or "date" in f.name.lower():
         return "datetime"
     return "text_or_other"
 
 
 def profile_table(df: DataFrame) -> DataFrame:
-    """One row per column: nulls, %, exact distinct count, numeric or datetime stats.
+    """One row per column: nulls, %, exact distinct count, numeric or datetime stats, samples.
 
-    All statistics come from a single aggregate pass; the per-column rows are
-    produced by unpivoting that one-row result.
+    One plain aggregate gives all but the distinct counts. Distinct values are
+    taken column by column, each from a scan of its own column alone, so no
+    row is multiplied by the number of columns; of them the count and, for
+    text, the ``SAMPLES`` least go on. Text columns named after a timestamp or
+    date get the range of the values that are one ("datetime_invalid": none).
     """
     aggs = [F.count("*").alias("__n")]
-    for f in df.schema.fields:
-        c, k = f.name, _kind(f)
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.countDistinct(c).alias(f"{c}__distinct")]
+    kinds = {f.name: _kind(f) for f in df.schema.fields}
+    when = lambda c: F.col(c).try_cast("timestamp_ntz")
+    for c, k in kinds.items():
+        aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"))
         if k == "numeric":
             x = F.col(c).cast("double")
             aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.avg(x).alias(f"{c}__mean"),
                      F.stddev_samp(x).alias(f"{c}__std")]
         if k == "datetime":
-            aggs += [F.min(c).cast("timestamp_ntz").alias(f"{c}__tmin"), F.max(c).cast("timestamp_ntz").alias(f"{c}__tmax")]
+            aggs += [F.min(when(c)).alias(f"{c}__tmin"), F.max(when(c)).alias(f"{c}__tmax")]
     a = df.agg(*aggs)
-    rows = []
-    for f in df.schema.fields:
-        c, k = f.name, _kind(f)
-        num = k == "numeric"
-        dt = k == "datetime"
+    rows, found = [], None
+    for c, k in kinds.items():
+        num, dt = k == "numeric", k == "datetime"
         tmin = F.col(f"{c}__tmin") if dt else F.lit(None).cast("timestamp_ntz")
         tmax = F.col(f"{c}__tmax") if dt else F.lit(None).cast("timestamp_ntz")
+        name = F.when(tmin.isNull() & (F.col("__n") > 0), F.lit("datetime_invalid")).otherwise(F.lit(k)) if dt else F.lit(k)
         rows.append(F.struct(
-            F.lit(c).alias("column_name"), F.lit(k).alias("data_type"),
+            F.lit(c).alias("column_name"), name.alias("data_type"),
             F.col(f"{c}__nulls").alias("null_count"),
             F.when(F.col("__n") > 0, F.col(f"{c}__nulls") * 100.0 / F.col("__n")).alias("null_percentage"),
-            F.col(f"{c}__distinct").alias("unique_values_count"),
             *[(F.col(f"{c}__{s}") if num else F.lit(None).cast("double")).alias(s) for s in ("min", "max", "mean", "std")],
             tmin.alias("min_timestamp"), tmax.alias("max_timestamp"),
             (F.floor((tmax - tmin).cast("interval second").cast("decimal(24,6)") / 86400).cast("double") if dt
              else F.lit(None).cast("double")).alias("range_days")))
-    return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        one = distinct_values(df, c, k == "text_or_other")
+        found = one if found is None else found.unionByName(one)
+    out = a.select(F.explode(F.array(*rows)).alias("r")).select("r.*").join(found, "column_name")
+    return out.select("column_name", "data_type", "null_count", "null_percentage", "unique_values_count", "min", "max", "mean", "std",
+                      "min_timestamp", "max_timestamp", "range_days", "unique_samples")
+
+
+def distinct_values(df: DataFrame, c: str, samples: bool) -> DataFrame:
+    """(column_name, unique_values_count, unique_samples): exact, the least values joined by ``|``."""
+    values = df.select(F.col(c).alias("v")).where(F.col("v").isNotNull()).distinct()
+    out = values.agg(F.lit(c).alias("column_name"), F.count("*").alias("unique_values_count"))
+    if not samples:
+        return out.withColumn("unique_samples", F.lit(None).cast("string"))
+    least = values.select(F.col("v").cast("string").alias("v")).orderBy("v").limit(SAMPLES).agg(F.array_sort(F.collect_list("v")).alias("s"))
+    return out.withColumn("unique_samples", least.select(F.when(F.size("s") > 0, F.array_join("s", "|"))).scalar())
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -66,9 +87,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def signal_counts(events: DataFrame) -> DataFrame:
-    """Totals, exact distinct users/items/categories, sparsity = 1 - n/(users*items)."""
-    a = events.agg(F.count("*").alias("total_interactions"), F.countDistinct("user_id").alias("unique_users"),
-                   F.countDistinct("item_id").alias("unique_items"), F.countDistinct("category").alias("unique_categories"))
+    """Totals, exact distinct users/items/categories, sparsity = 1 - n/(users*items).
+
+    Each distinct count reads its own column; rows are not multiplied."""
+    held = lambda c: events.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count("*")).scalar()
+    a = events.agg(F.count("*").alias("total_interactions"))
+    for c, name in (("user_id", "unique_users"), ("item_id", "unique_items"), ("category", "unique_categories")):
+        a = a.withColumn(name, held(c))
     cells = F.col("unique_users") * F.col("unique_items")
     return a.withColumn("sparsity_ratio", F.when(cells > 0, 1 - F.col("total_interactions") / cells).otherwise(F.lit(1.0)))
 
@@ -108,13 +133,53 @@ def null_counts(df: DataFrame) -> DataFrame:
                                         for c in df.columns])).alias("r")).select("r.*")
 
 
+#: Bins of one pass of ``order_statistics``.
+BINS = 1024
+
+
+def order_statistics(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """The values at these places (from 0) of the sorted non-null ``col``, exact.
+
+    Each place keeps a bracket of values. A pass counts the rows of all brackets in ``BINS`` equal bins
+    each, with the least and greatest value of a bin, and the bin of the place becomes its bracket; a
+    bracket of one value is the answer. Passes grow with the digits of the values, not with the rows, and
+    a task holds at most ``BINS`` counts a place.
+    """
+    x = F.col(col).cast("double")
+    ends = df.where(x.isNotNull()).agg(F.min(x), F.max(x)).first()
+    todo = {r: (ends[0], ends[1], 0) for r in set(ranks)}  # bracket, and rows below it
+    out = {}
+    while todo:
+        for r in [r for r, (lo, hi, _) in todo.items() if lo == hi]:
+            out[r] = todo.pop(r)[0]
+        if not todo:
+            break
+        brackets = {(lo, hi) for lo, hi, _ in todo.values()}
+        # halves keep the width finite for any two finite ends
+        slots = [F.when(x.between(lo, hi), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.least(F.lit(BINS - 1), F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * BINS)).alias("bin"), x.alias("x"))) for lo, hi in sorted(brackets)]
+        rows = df.where(x.isNotNull()).select(F.explode(F.array_compact(F.array(*slots))).alias("s")).select("s.*")
+        bins = rows.groupBy("lo", "hi", "bin").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()  # at most BINS rows a bracket
+        for r, (lo, hi, below) in list(todo.items()):
+            for b in sorted((b for b in bins if (b["lo"], b["hi"]) == (lo, hi)), key=lambda b: b["bin"]):
+                if r < below + b["n"]:
+                    todo[r] = (b["a"], b["b"], below)
+                    break
+                below += b["n"]
+    return out
+
+
 def describe(df: DataFrame, col: str) -> DataFrame:
     """count/mean/std/min/quartiles/max (linear-interpolated quartiles, as pandas describe)."""
+    df = cut_lineage(df.select(col))
     x = F.col(col)
-    a = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-               F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(x).alias("max"))
-    return a.select("count", "mean", "std", "min", F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("p50"),
-                    F.get("q", F.lit(2)).alias("p75"), "max")
+    a = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    last = a.first()["count"] - 1
+    places = [q * last for q in (0.25, 0.5, 0.75)]
+    at = order_statistics(df, col, [r for p in places for r in (math.floor(p), math.ceil(p))]) if last >= 0 else {}
+    for name, p in zip(("p25", "p50", "p75"), places):
+        low, high = at.get(math.floor(p)), at.get(math.ceil(p))
+        a = a.withColumn(name, F.lit(None if low is None else low + (high - low) * (p - math.floor(p))).cast("double"))
+    return a.select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:

@@ -231,6 +231,23 @@ def free_positions(taken: DataFrame, owners: DataFrame, n: Column, k: int) -> Da
     return g.where(F.col("a") <= F.col("b")).select("user_id", F.explode(F.sequence("a", "b")).alias("pos"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its rows numbered from 1 in ``order``: sorted by ranges, each range numbered on from the ones before.
+
+    Only one count a partition reaches the driver.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("part_", F.spark_partition_id())
+    counts = {r["part_"]: r["count"] for r in ranged.groupBy("part_").count().collect()}
+    parts = max(counts, default=0) + 1
+    before, offsets = 0, []
+    for p in range(parts):
+        offsets.append(before)
+        before += counts.get(p, 0)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    at = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("part_") + 1)
+    return ranged.withColumn(name, (place + at + 1).cast("int")).drop("part_")
+
+
 def rank_materials(cand: DataFrame, defaults: DataFrame, owners: DataFrame, k: int,
                    blocked: DataFrame | None = None, score_round: int = 4) -> DataFrame:
     """Top-k per owner over *all* catalog items, exactly.
@@ -242,8 +259,7 @@ def rank_materials(cand: DataFrame, defaults: DataFrame, owners: DataFrame, k: i
     that are not among the owner's candidates. Ties: rounded score, then id.
     """
     order = [F.col("score").desc(), F.col("item_id").asc()]
-    d = defaults.withColumn("score", F.round(F.col("score"), score_round)).withColumn(
-        "pos", F.row_number().over(Window.orderBy(*order)))  # one row per catalog item
+    d = numbered(defaults.withColumn("score", F.round(F.col("score"), score_round)), order, "pos")  # one row per catalog item
     n = defaults.agg(F.count("*")).scalar().cast("int")
     c = cand.withColumn("score", F.round(F.col("score"), score_round))
     cw = Window.partitionBy("user_id").orderBy(*order)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions import r6
+from tidewater.operators import discovery
 from tidewater.operators import profiling as pf
 from tidewater.plans.registry import query
 from tidewater.plans.sqlviews import with_views
 from tidewater.sources import views as V
-from tidewater.sources.tables import read_table
+from tidewater.sources.tables import TABLES, read_table
 
 CV = with_views("C", "C_products")
 OV = with_views("O")
@@ -24,20 +25,22 @@ def _o(spark, sf):
     return V.owner_interactions(spark, sf)
 
 
-def _prof_sql(cols):
+def _prof_sql(cols, head=CV, view="C"):
     parts = []
     for c, k in cols:
         num = k == "numeric"
         dt = k == "datetime"
+        least = f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {view} WHERE {c} IS NOT NULL ORDER BY v LIMIT 10))"
         parts.append(f"""SELECT '{c}' AS column_name, '{k}' AS data_type, count(*) FILTER (WHERE {c} IS NULL) AS null_count,
   CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) END AS null_percentage,
   count(DISTINCT {c}) AS unique_values_count,
   {f'min(CAST({c} AS DOUBLE))' if num else 'CAST(NULL AS DOUBLE)'} AS min, {f'max(CAST({c} AS DOUBLE))' if num else 'CAST(NULL AS DOUBLE)'} AS max,
   {f'round(avg(CAST({c} AS DOUBLE)), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS mean, {f'round(stddev_samp(CAST({c} AS DOUBLE)), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS std,
   {f'min({c})' if dt else 'CAST(NULL AS TIMESTAMP)'} AS min_timestamp, {f'max({c})' if dt else 'CAST(NULL AS TIMESTAMP)'} AS max_timestamp,
-  {f"CAST(floor((epoch_us(max({c})) - epoch_us(min({c}))) / 86400000000.0) AS DOUBLE)" if dt else 'CAST(NULL AS DOUBLE)'} AS range_days
-FROM C""")
-    return CV + "\n" + "\nUNION ALL\n".join(parts)
+  {f"CAST(floor((epoch_us(max({c})) - epoch_us(min({c}))) / 86400000000.0) AS DOUBLE)" if dt else 'CAST(NULL AS DOUBLE)'} AS range_days,
+  {least if k == 'text_or_other' else 'CAST(NULL AS VARCHAR)'} AS unique_samples
+FROM {view}""")
+    return head + "\n" + "\nUNION ALL\n".join(parts)
 
 
 C_KINDS = [("interaction_id", "numeric"), ("user_type", "text_or_other"), ("user_id", "numeric"), ("item_id", "numeric"),
@@ -51,6 +54,17 @@ def profile_table(spark, sf):
     return p.withColumn("mean", r6(F.col("mean"))).withColumn("std", r6(F.col("std")))
 
 
+ORDER_KINDS = [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "text_or_other"), ("o_totalprice", "numeric"),
+               ("o_orderdate", "datetime"), ("o_orderpriority", "text_or_other")]
+
+
+@query("profile_orders", _prof_sql(ORDER_KINDS, "", "orders"))
+def profile_orders(spark, sf):
+    """E1 over orders whose dates are text: a column named date gets the range of its values."""
+    p = pf.profile_table(read_table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string")))
+    return p.withColumn("mean", r6(F.col("mean"))).withColumn("std", r6(F.col("std")))
+
+
 @query("profile_duplicates", OV + """
 SELECT count(*) AS total_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM O)) AS duplicate_rows,
        round(CASE WHEN count(*) > 0 THEN (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM O))) * 100.0 / count(*) ELSE 0 END, 6) AS duplicate_percentage
@@ -257,12 +271,58 @@ def join_path_integrity(spark, sf):
     return out.unionByName(r)
 
 
-@query("catalog_columns")
+#: The relational tables whose keys and join paths are looked for.
+SEARCHED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+_SPARK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz", "FLOAT[]": "array<float>"}
+_TYPE_SQL = "CASE column_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _SPARK_TYPES.items()) + " ELSE lower(column_type) END"
+
+
+@query("catalog_columns", "\nUNION ALL\n".join(
+    f"""SELECT '{t}' AS table_name, d.column_name, {_TYPE_SQL} AS data_type, true AS nullable, (SELECT count(*) FROM {t}) AS row_count, u.n AS non_null
+FROM (SELECT column_name, column_type FROM (DESCRIBE {t})) d
+JOIN (SELECT name, n FROM (SELECT count(COLUMNS(*)) FROM {t}) UNPIVOT (n FOR name IN (COLUMNS(*)))) u ON u.name = d.column_name""" for t in TABLES))
 def catalog_columns(spark, sf):
-    """(table, column, type, nullable) for every driver table, from the parquet schemas."""
-    from tidewater.sources.tables import TABLES
-    rows = []
+    """(table, column, type, nullable, rows, non-null values) for every driver table, counted over its rows."""
+    out = None
     for t in TABLES:
-        for f in read_table(spark, sf, t).schema.fields:
-            rows.append((t, f.name, f.dataType.simpleString(), f.nullable))
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean")
+        c = discovery.column_counts(read_table(spark, sf, t), t)
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+_INTEGERS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"],
+    "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+}
+
+
+def _keys_sql():
+    single = [f"""SELECT '{t}' AS table_name, '{c}' AS key_columns, count(*) AS row_count FROM {t}
+HAVING count(*) > 0 AND count({c}) = count(*) AND count(DISTINCT {c}) = count(*)""" for t, cs in _INTEGERS.items() for c in cs]
+    double = [f"""SELECT '{t}' AS table_name, '{a}, {b}' AS key_columns, count(*) AS row_count FROM {t}
+HAVING count(*) > 0 AND count({a}) = count(*) AND count({b}) = count(*) AND (SELECT count(*) FROM (SELECT DISTINCT {a}, {b} FROM {t})) = count(*)
+  AND count(DISTINCT {a}) < count(*) AND count(DISTINCT {b}) < count(*)""" for t, cs in _INTEGERS.items() for i, a in enumerate(cs) for b in cs[i + 1:]]
+    return "\nUNION ALL\n".join(single + double)
+
+
+@query("discovered_keys", _keys_sql())
+def discovered_keys(spark, sf):
+    """The least sets of one or two whole-number columns that no two rows of a table share."""
+    out = None
+    for t in SEARCHED:
+        k = discovery.unique_columns(read_table(spark, sf, t), t)
+        out = k if out is None else out.unionByName(k)
+    return out
+
+
+_VALUES = "\nUNION ALL\n".join(f"SELECT '{t}.{c}' AS c, CAST({c} AS BIGINT) AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for t, cs in _INTEGERS.items() for c in cs)
+
+
+@query("discovered_join_paths", f"""WITH VALS AS ({_VALUES}),
+ND AS (SELECT c, count(*) AS d, max(n) AS most FROM VALS GROUP BY c),
+SHARED AS (SELECT a.c AS child, b.c AS parent, count(*) AS both FROM VALS a JOIN VALS b USING (v) WHERE a.c <> b.c GROUP BY 1, 2)
+SELECT s.child, s.parent, k.d AS child_values, p.d AS parent_values FROM SHARED s JOIN ND k ON k.c = s.child JOIN ND p ON p.c = s.parent
+WHERE s.both = k.d AND p.most = 1""")
+def discovered_join_paths(spark, sf):
+    """Every whole-number column whose values all lie in a column without repeats (implicit foreign keys)."""
+    return discovery.inclusions({t: read_table(spark, sf, t) for t in SEARCHED})

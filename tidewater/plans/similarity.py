@@ -34,8 +34,7 @@ SELECT item_i AS item_id, item_j AS similar_item_id, round(sim, 6) AS similarity
 WHERE rank <= {TOP_SIMILAR}""")
 def content_similar_items(spark, sf):
     p = V.products(spark, sf)
-    s = sim.tfidf_cosine(rk.product_tfidf(p))
-    t = sim.top_neighbors(s, TOP_SIMILAR, include_self=False)
+    t = sim.content_neighbors(rk.product_tfidf(p), TOP_SIMILAR)
     return t.select(F.col("item_i").alias("item_id"), F.col("item_j").alias("similar_item_id"),
                     r6(F.col("sim")).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
