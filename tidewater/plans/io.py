@@ -10,7 +10,7 @@ from tidewater.operators import features as fe
 from tidewater.plans.customer import CUSTOMER_FEATURES_SQL, _round_features
 from tidewater.plans.registry import query
 from tidewater.plans.sqlviews import with_views
-from tidewater.sources import files, sinks
+from tidewater.sources import files, loads, sinks
 from tidewater.sources import views as V
 from tidewater.sources.store import FeatureStore
 from tidewater.sources.tables import read_table
@@ -183,10 +183,26 @@ def validate_materials_layout(spark, sf):
 
 @query("bulk_load_interactions", with_views("C", "C_products") + "SELECT * FROM C")
 def bulk_load_interactions(spark, sf):
-    """Interactions appended to a Parquet folder, read back."""
+    """Interactions appended by a committed load, which is then repeated; read back."""
     path = files.shared_scratch(spark, "bulk")
-    sinks.bulk_load(V.customer_interactions(spark, sf), path)
-    return spark.read.parquet(path)
+    c = V.customer_interactions(spark, sf)
+    for _ in range(2):
+        loads.load(spark, path, {"interactions": c}, "seed")
+    return loads.loaded(spark, path, "interactions", c.schema)
+
+
+@query("bulk_load_history", with_views("C", "C_products", "O") + """SELECT 'customers' AS load_id, 'interactions' AS table_name, count(*) AS row_count FROM C
+UNION ALL SELECT 'customers', 'products', count(*) FROM C_products UNION ALL SELECT 'owners', 'interactions', count(*) FROM O""")
+def bulk_load_history(spark, sf):
+    """Two loads of one or two tables each, a third one taken back; rows by load as the manifests have them."""
+    path = files.shared_scratch(spark, "bulk")
+    c, o = V.customer_interactions(spark, sf), V.owner_interactions(spark, sf)
+    loads.load(spark, path, {"interactions": c, "products": V.products(spark, sf)}, "customers")
+    loads.load(spark, path, {"interactions": o}, "owners")
+    loads.load(spark, path, {"interactions": o}, "mistake")
+    loads.rollback(spark, path, "mistake")
+    rows = [(i, t, v["rows"]) for i, m in loads.manifests(spark, path).items() for t, v in m["tables"].items()]
+    return spark.createDataFrame(rows, "load_id string, table_name string, row_count long")
 
 
 @query("run_log_append", CUSTOMER_FEATURES_SQL + """,
