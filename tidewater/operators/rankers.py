@@ -332,29 +332,42 @@ def recommend_materials_raw(events: DataFrame, materials: DataFrame, owners: Dat
     """R6 raw path: counts, reorder urgency, next-week forecast and similarity for every catalog item."""
     from tidewater.functions import DEFAULT_MEAN_QTY, VOLUME_SCALE
     from tidewater.operators import forecasting as fc
-    x = material_tfidf(materials)
-    s = owner_similarity(events, x)
+    from tidewater.functions import W_FORECAST, W_SIMILARITY, W_URGENCY, W_VOLUME
+    events = cut_lineage(events)
+    x = material_tfidf(materials).select("doc_id", "term", "weight")
     urg = fc.reorder_urgency(events).select(
         "user_id", "item_id", F.col("n_purchases").alias("cnt"), "urgency", "days_elapsed", "cycle_days")
     pairs = events.select("user_id", "item_id").distinct()
     fq = fc.forecast_next_week(events, pairs, model)
-    rec = pairs.join(fq, ["user_id", "item_id"], "left").join(urg, ["user_id", "item_id"], "left")
+    items = materials.select(F.col("material_id").alias("item_id"))
     item_mean = events.groupBy("item_id").agg(F.avg("quantity").alias("im"))
-    defaults = materials.select(F.col("material_id").alias("item_id")).join(item_mean, "item_id", "left").select(
-        "item_id", F.coalesce("im", F.lit(DEFAULT_MEAN_QTY)).alias("fq"))
-    j = s.join(rec, ["user_id", "item_id"], "full").join(defaults.withColumnRenamed("fq", "dfq"), "item_id", "left")
+    defaults = cut_lineage(items.join(item_mean, "item_id", "left").select(
+        "item_id", F.coalesce("im", F.lit(DEFAULT_MEAN_QTY)).alias("dfq")))
+    j = pairs.join(fq, ["user_id", "item_id"], "left").join(urg, ["user_id", "item_id"], "left").join(defaults, "item_id", "left")
     q = F.coalesce(F.col("forecast_qty"), F.col("dfq"), F.lit(DEFAULT_MEAN_QTY))
     has_p = F.col("cnt").isNotNull()
-    cand = j.select(
+    # every item carries its default forecast score as one more term that every owner has; a pair with
+    # events brings the difference to its own, so no pair without events is ever a row
+    own = cut_lineage(j.where(F.col("user_id").isNotNull()).select(
         "user_id", "item_id",
-        _material_score(F.when(has_p, F.least(F.lit(1.0), F.col("cnt") / VOLUME_SCALE)).otherwise(F.lit(0.0)),
-                        F.coalesce("urgency", F.lit(0.0)), forecast_score(q), F.coalesce("sim", F.lit(0.0))).alias("score"),
+        F.when(has_p, F.least(F.lit(1.0), F.col("cnt") / VOLUME_SCALE)).otherwise(F.lit(0.0)).alias("vol"),
+        F.coalesce("urgency", F.lit(0.0)).alias("urg"),
+        (forecast_score(q) - forecast_score(F.coalesce("dfq", F.lit(DEFAULT_MEAN_QTY)))).alias("fs"),
         F.round(q, 1).alias("demand"),
         F.when(has_p, F.col("days_elapsed")).otherwise(F.lit(0)).alias("elapsed"),
-        F.when(has_p, F.col("cycle_days").cast("int")).otherwise(F.lit(0)).alias("cycle"))
-    dflt = defaults.select("item_id", (F.lit(0.2) * forecast_score(F.col("fq"))).alias("score"),
-                           F.round("fq", 1).alias("demand"))
-    return _material_output(rank_materials(cand, dflt, owners, k), materials)
+        F.when(has_p, F.col("cycle_days").cast("int")).otherwise(F.lit(0)).alias("cycle")))
+    users = owners.select("user_id").where(F.col("user_id").isNotNull()).distinct()
+    mark = F.lit("\x00forecast").alias("term")
+    x = x.unionByName(defaults.select(F.col("item_id").alias("doc_id"), mark, (F.lit(W_FORECAST / W_SIMILARITY) * forecast_score(F.col("dfq"))).alias("weight")))
+    profile = owner_profile(events, material_tfidf(materials)).unionByName(users.select("user_id", mark, F.lit(1.0).alias("p")))
+    kernel = blocks.material_kernel(k, (W_VOLUME, W_URGENCY, W_FORECAST, W_SIMILARITY))
+    best = blocks.text_blocks(profile, x, items, users, own.select("user_id", "item_id", "vol", "urg", "fs"), kernel, "user_id long, item_id long, score double")
+    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), F.col("item_id").asc())
+    best = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = best.join(own.drop("vol", "urg", "fs"), ["user_id", "item_id"], "left").join(defaults, "item_id", "left").select(
+        "user_id", "item_id", "rank", "score", F.coalesce("demand", F.round("dfq", 1)).alias("demand"),
+        F.coalesce("elapsed", F.lit(0)).alias("elapsed"), F.coalesce("cycle", F.lit(0)).alias("cycle"))
+    return _material_output(ranked, materials)
 
 
 # ---------------------------------------------------------------- older tree
@@ -382,19 +395,33 @@ def recommend_products_knn(user_item: DataFrame, neighbors: DataFrame, customers
                            users: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
     """0.7 * knn_cf + 0.3 * content (1.0 preferred category, else 0.3); bought items stay eligible.
 
-    Candidates are the CF keys and the preferred-category products; every
-    other product scores 0.3 * 0.3 and enters through the exact fill. All
+    Candidates are the CF keys and, of the preferred category's other products,
+    which all score alike, the first k by id; every other product scores
+    0.3 * 0.3 or stands behind k better ones, and enters through the exact fill. All
     customers are served, with or without transactions; ``users`` without a
     customer row get their collaborative picks alone.
     """
     from tidewater.functions import KNN_W_CB, KNN_W_CF, OTHER_CATEGORY_SCORE
-    cf = knn_cf_scores(user_item, neighbors)
-    pref = preferred_category_scores(customers, products)
+    from tidewater.functions import PREFERRED_SCORE
+    cf = cut_lineage(knn_cf_scores(user_item, neighbors))
     known = customers.select(F.col("customer_id").alias("user_id"))
-    j = cf.join(pref, ["user_id", "item_id"], "full").join(known.withColumn("known", F.lit(True)), "user_id", "left")
+    wants = customers.select(F.col("customer_id").alias("user_id"), "preferred_category").dropDuplicates(["user_id"])
+    # products by place within their category; all that a customer has no neighbour score for tie there
+    shelf = numbered(products.select(F.col("product_id").alias("item_id"), "category").where(F.col("category").isNotNull()), [F.col("category"), F.col("item_id")], "at")
+    first = shelf.groupBy("category").agg(F.min("at").alias("start"))
+    shelf = shelf.join(first, "category").select("item_id", "category", (F.col("at") - F.col("start") + 1).alias("place"))
+    kept = cf.join(shelf.select("item_id", "category"), "item_id", "left").join(wants, "user_id", "left")
+    liked = F.col("category") == F.col("preferred_category")
+    kept = kept.select("user_id", "item_id", "cf", F.when(liked, F.lit(PREFERRED_SCORE)).alias("content"))
+    taken = kept.where(F.col("content").isNotNull()).groupBy("user_id").agg(F.count("*").cast("int").alias("taken"))
+    more = wants.where(F.col("preferred_category").isNotNull()).join(taken, "user_id", "left")
+    more = more.select("user_id", F.col("preferred_category").alias("category"), F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce("taken", F.lit(0)))).alias("place"))
+    more = more.join(shelf, ["category", "place"]).select("user_id", "item_id").join(kept.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    more = more.select("user_id", "item_id", F.lit(0.0).alias("cf"), F.lit(PREFERRED_SCORE).alias("content"))
+    j = kept.unionByName(more).join(known.distinct().withColumn("known", F.lit(True)), "user_id", "left")
     content = F.coalesce(F.col("content"), F.when(F.col("known"), F.lit(OTHER_CATEGORY_SCORE)).otherwise(F.lit(0.0)))
     cand = j.select("user_id", "item_id", (F.lit(KNN_W_CF) * F.coalesce("cf", F.lit(0.0)) + F.lit(KNN_W_CB) * content).alias("score"))
-    cand = cand.withColumn("score", F.round("score", 9))
+    cand = cut_lineage(cand.withColumn("score", F.round("score", 9)))
     defaults = products.select(F.col("product_id").alias("item_id"), F.lit(KNN_W_CB * OTHER_CATEGORY_SCORE).alias("score"))
     ranked = rank_materials(cand.join(known, "user_id", "left_semi"), defaults, known, k, score_round=9)
     # users without a profile have no content score: only what the collaborative part reaches
