@@ -3,6 +3,8 @@ import hashlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import pytest
+
 from tests.llm import edge
 from tidewater.llm import chat as C
 
@@ -57,3 +59,10 @@ def test_tree_paths_and_ranking(spark):
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.read_back(C.formatted(C.chained(rows))).count() == 0
+
+
+@pytest.mark.parametrize("node", [2, None])
+def test_repeated_or_missing_node_ids_are_refused(spark, node):
+    rows = [(1, 1, None, "user", "a", 0.0), (1, 2, 1, "assistant", "b", 0.0), (1, node, 1, "assistant", "b2", 0.0)]
+    with pytest.raises(ValueError, match="node id"):
+        C.formatted(spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double"))

@@ -108,3 +108,16 @@ def test_without_labels_or_rows(spark):
     docs, labels = corpus(spark)
     assert {r["score"] for r in T.score(docs, labels.limit(0)).collect()} == {0.0}
     assert T.score(docs.limit(0), labels).count() == 0 and T.clean(docs.limit(0), labels).count() == 0
+
+
+def test_long_terms_are_kept_and_match_as_they_stand(spark):
+    long = "zz" + "qxv" * 30
+    bad = [(i, f"{edge.words(i, 20)} {long} {edge.words(900 + i, 20)}", "en", "a", 0) for i in range(40)]
+    good = [(100 + i, edge.words(2000 + i, 40), "en", "a", 0) for i in range(120)]
+    docs = spark.createDataFrame(bad + good, edge.DOCS)
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] < 100)) for r in bad + good], edge.LABELS)
+    terms = T.lexicon(T.training(docs, labels, None))
+    assert long in terms
+    m = T.Matcher(T.automaton_of([long]))
+    own, _, edits, _ = m.run(pa.array([f"a {long} b", f"a {long[:-1]} b", f"a {long}x b"]))
+    assert own.tolist() == [0] and edits.tolist() == [0]

@@ -11,8 +11,8 @@ their first character (one more where there are some already), which ``unescaped
 The loss mask is a list of code point ranges of the formatted string: the assistants' texts.
 
 Rows: null texts are empty, null roles are the empty role; a message whose parent is missing is a root;
-messages that repeat a node id of their conversation are refused by a join key, so give each row its
-own (``chained`` does); null conversation ids form one conversation; an empty table gives an empty
+messages that repeat a node id of their conversation, or have a null one, are refused with a ValueError,
+as their place in the tree is not known (``chained`` gives each row its own); null conversation ids form one conversation; an empty table gives an empty
 result; other columns are ignored. Messages on a cycle have no leaf and are not listed.
 """
 
@@ -107,6 +107,9 @@ def formatted(messages: DataFrame, branches: int = 1) -> DataFrame:
     ``messages``: conv_id, node, parent, role, text, score.
     """
     bounded_batches(messages.sparkSession)
+    twice = messages.groupBy("conv_id", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR node IS NULL").select("conv_id", "node").head(3)
+    if twice:
+        raise ValueError(f"messages that repeat a node id, or have none: {[tuple(r) for r in twice]}")
     found = paths(messages)
     best = ranked(messages, found, branches)
     on = F.col("p.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("p.leaf") == F.col("b.leaf"))

@@ -6,7 +6,7 @@
    is 1 / (1 + that number). Document counts by term cover all labelled training rows; every term
    below ``CHANCE`` is kept.
 2. Automaton: the Levenshtein automata of all words (one edit; none for words under ``EDIT_FROM``
-   characters) are run along the lexicon's trie and determinised into one table, state x character
+   or over ``EDIT_TO`` characters) are run along the lexicon's trie and determinised into one table, state x character
    class -> state; a stem is matched exactly and accepts any ending. The lexicon in order of its letters
    is split into as many tables as it takes, of ``TERMS`` terms each. Tasks step all words of a block
    through a table at once; most words leave it after a few characters. With more than one table, each
@@ -41,7 +41,8 @@ TERMS = 400  # most terms of one automaton; a larger lexicon has several
 STEMS = tuple(range(4, 11))  # characters of stems
 MIN_SHARE = 0.6  # share of toxic ones among training documents that hold a term
 CHANCE = 20.0
-EDIT_FROM = 5  # characters from which a term may be misspelled by one edit
+EDIT_FROM = 5  # characters from which a term may be misspelled by one edit, and
+EDIT_TO = 40  # up to which; longer words are matched as they stand, so that a table grows with the lexicon's letters alone
 WINDOW = 6
 THRESHOLD = 0.3
 WEAK = 0.2
@@ -86,7 +87,7 @@ def lexicon(train: DataFrame) -> dict[str, float]:
     # log of C(all, bad) by Stirling's series, which is within 1 % from 1 on
     fact = lambda x: F.when(x > 0, x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x)).otherwise(F.lit(0.0))
     odds = fact(F.col("all")) - fact(F.col("bad")) - fact(good) + F.col("bad") * math.log(base) + good * math.log1p(-base)
-    strong = n.filter((F.col("bad") >= MIN_SHARE * F.col("all")) & (F.length("word") <= 40)).join(alike, "all")
+    strong = n.filter(F.col("bad") >= MIN_SHARE * F.col("all")).join(alike, "all")
     strong = strong.select("word", (odds + F.log("alike")).alias("chance")).filter(F.col("chance") < math.log(CHANCE))
     return {r["word"]: 1 / (1 + math.exp(r["chance"])) for r in sorted(strong.collect())}
 
@@ -106,7 +107,7 @@ def automaton_of(terms: list[str], edit_from: int = EDIT_FROM) -> dict:
     children: list[dict[int, int]] = [{}]
     words, stems, deep = [-1], [-1], [False]  # term that ends at a node; some word below may be misspelled
     for i, t in enumerate(terms):
-        word, node, edit = t.rstrip("*"), 0, len(t) >= edit_from and not t.endswith("*")
+        word, node, edit = t.rstrip("*"), 0, edit_from <= len(t) <= EDIT_TO and not t.endswith("*")
         deep[0] |= edit
         for k in (class_of[c] for c in word):
             if k not in children[node]:
@@ -148,7 +149,7 @@ def automaton_of(terms: list[str], edit_from: int = EDIT_FROM) -> dict:
 
     def accepted(states):
         """Term, edits and order: an exact word first, then the longest stem, then a misspelled word."""
-        found = [(0 if e == 0 else LAST, words[node], e) for node, e in states if node >= 0 and words[node] >= 0 and (e == 0 or len(terms[words[node]]) >= edit_from)]
+        found = [(0 if e == 0 else LAST, words[node], e) for node, e in states if node >= 0 and words[node] >= 0 and (e == 0 or edit_from <= len(terms[words[node]]) <= EDIT_TO)]
         found += [(LAST - len(terms[-1 - node]), -1 - node, 0) for node, _ in states if node < 0]
         return (*min(found)[1:], min(found)[0]) if found else (-1, 0, NONE)
 

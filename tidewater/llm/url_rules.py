@@ -2,7 +2,9 @@
 
 Spark's FP-growth mines combinations of URL tokens (scheme, host suffixes and labels, path segments,
 query keys) together with the class of labelled pages. Rules "tokens -> block" are pruned by support,
-confidence and lift, and by shorter rules that are as confident. Matching goes through an inverted
+confidence and lift, and by shorter rules that are as confident; rules have at most ``MAX_TOKENS`` tokens,
+a parameter of the rule language (a longer rule is matched by its parts of that length, where these
+are confident enough). Matching goes through an inverted
 index: each rule is filed under its rarest token, a page looks up its tokens and checks the remaining
 tokens of the rules found. Explicit rules, (host, path) pairs, come first: the longest that fits wins.
 

@@ -36,6 +36,7 @@ from tidewater.llm.common import bounded_batches, checkpointed, pick_ids, scratc
 
 LEAST = 1000  # bytes of payload from which equal ones are revisits
 ARCHIVE_BYTES = 8 << 20  # bytes of records after which a task begins a new archive
+ARROW_BYTES = 4 << 20
 DICTIONARY_BYTES = 32 << 10
 TRAIN_BYTES = 2 << 20  # first bytes of an archive that train its dictionary
 
@@ -48,6 +49,15 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """``bounded_batches``, and a batch is sent after ``ARROW_BYTES`` whatever its rows; one longer row is
+    a batch of its own. A smaller setting of the session stays."""
+    bounded_batches(spark)
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, html, digest, holder: the page that a revisit refers to, else null."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
@@ -124,7 +134,7 @@ def archives(records, archive_bytes: int = ARCHIVE_BYTES):
 
 def write(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the archives of ``pages`` (page_id, url, html) below ``path``, one folder an archive."""
-    bounded_batches(pages.sparkSession)
+    small_batches(pages.sparkSession)
 
     def run(batches):
         def records():
@@ -256,9 +266,9 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     payload of all page records.
 
     One archive is one row of Spark's binary reader, so archives must stay below 2 GB; an Arrow batch
-    holds few of them (``bounded_batches``), and rows leave a task in batches of about 1 MB.
+    holds few of them (``small_batches``), and rows leave a task in batches of about 1 MB.
     """
-    bounded_batches(spark)
+    small_batches(spark)
     columns = COLUMNS if payload else COLUMNS[:-1]
 
     def batch_of(rows):
