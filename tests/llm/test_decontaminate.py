@@ -70,10 +70,39 @@ def test_empty_tables(spark):
     assert D.clean(docs, items.limit(0)).count() == docs.count()
 
 
-def test_least_hits_is_the_binomial_bound():
-    m = D.least_hits()
-    below = lambda n: sum(comb(32, j) * 0.8**j * 0.2 ** (32 - j) for j in range(n))
-    assert below(m) < 1e-6 <= below(m + 1)
+def miss(n, m, k=D.SKETCH, c=D.THRESHOLD):
+    """Chance that fewer than m of k shingles drawn from n are among the share c found."""
+    here = -(-n * 4 // 5)
+    return sum(comb(here, x) * comb(n - here, k - x) for x in range(m) if k - x <= n - here) / comb(n, k)
+
+
+def test_bound_of_a_partition_holds_for_all_its_sizes():
+    for part in range(5, 10):
+        m = D.partition_bound(part)
+        sizes = range(max(2**part, D.SKETCH + 1), 2 ** (part + 1))
+        assert all(miss(n, m) < D.MISS for n in sizes) and any(miss(n, m + 1) >= D.MISS for n in sizes)
+    last = D.partition_bound(D.EVEN)
+    assert D.partition_bound(40) == last and all(miss(n, last) < D.MISS for n in (5000, 10**5, 10**6))
+    binomial = sum(comb(D.SKETCH, x) * 0.8**x * 0.2 ** (D.SKETCH - x) for x in range(last))
+    assert binomial < D.MISS  # the limit of ever larger items
+    assert D.partition_bound(5) > D.partition_bound(6) > last
+    assert D.least_hits(10) == 8  # the sketch is the item
+
+
+def test_documents_reach_only_partitions_they_can_contain(spark):
+    docs, items = tables(spark)
+    sketch = D.sketches(items)
+    parts = {(r["n"], r["part"], r["need"]) for r in sketch.select("n", "part", "need").collect()}
+    assert all(2**p <= n < 2 ** (p + 1) for n, p, _ in parts) and len({p for _, p, _ in parts}) >= 3
+    assert all(need == (-(-n * 4 // 5) if n <= D.SKETCH else D.partition_bound(p)) for n, p, need in parts)
+    found = D.candidates(docs, sketch)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "part" in plan and "reach" in plan and "Python" not in plan and "Arrow" not in plan
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert {(d, i) for d, i, *_ in brute(docs.collect(), items.collect())} <= got
+    long_item = spark.createDataFrame([(9, edge.words(50, 400))], "item_id long, text string")
+    short = edge.docs(spark, [(1, " ".join(edge.words(50, 400).split()[:200]), "en", "a", 0)])
+    assert D.candidates(short, D.sketches(long_item)).isEmpty()  # half of it is there, but it is too short
 
 
 def test_plan_stays_in_the_jvm(spark):

@@ -6,11 +6,12 @@ So only the small side is sketched: the ``SKETCH`` shingles of an item with the
 MinHash sample of it, and a document that contains a share c of the item contains each of them with
 probability c, whatever the document's size.
 
-Up to ``SKETCH`` shingles the sketch is the item; for all larger items the number of sketch hits that
-makes a candidate is the one binomial bound at which an item contained to 80 % is missed with
-probability below 1e-6. A document with fewer than 80 % of the item's shingles is no candidate.
-Documents are not routed by size. Candidates are then verified by exact containment over all shingles
-of item and document.
+Items are partitioned by size, partition p holding those of 2^p to 2^(p+1) - 1 shingles, and each
+partition has its own bound on sketch hits (``least_hits``): up to ``SKETCH`` shingles the sketch is the
+item and the bound exact; above, the sketch is a draw without replacement, and the bound is the largest
+at which no size of the partition lets an item contained to 80 % be missed with probability above 1e-6.
+A document is looked up only in the partitions whose items it is long enough to contain to 80 %.
+Candidates are then verified by exact containment over all shingles of item and document.
 
 DataFrame functions only. Documents are scanned twice and not shuffled: the sketches are broadcast
 while the planner finds them small, and so are verified candidates' ids (checked; else both are
@@ -37,17 +38,33 @@ SKETCH = 32
 MISS = 1e-6
 
 
-def least_hits(k: int = SKETCH, c: float = THRESHOLD, miss: float = MISS) -> int:
-    """Most hits m such that Bin(k, c) < m has probability below ``miss``."""
-    total, m = 0.0, 0
+def least_hits(n: int, k: int = SKETCH, c: float = THRESHOLD, miss: float = MISS) -> int:
+    """Most hits m such that fewer than m of k shingles, drawn from n of which a share c occurs in a
+    document, are hit with probability below ``miss``."""
+    k, here = min(k, n), math.ceil(n * c - 1e-9)
+    total, m = 0.0, max(0, k - (n - here))  # fewer than that cannot be hit
     while m < k:
-        total += math.comb(k, m) * c**m * (1 - c) ** (k - m)
+        total += math.comb(here, m) * math.comb(n - here, k - m) / math.comb(n, k)
         if total >= miss:
             break
         m += 1
     return max(m, 1)
 
 
+EVEN = 12  # partitions from here on share the bound of this one: a draw of 32 from 4096 or more is as good as independent
+
+
+def partition_bound(part: int) -> int:
+    """The bound on hits for all sizes of a partition above the sketch: the least of its sizes' bounds."""
+    part = min(part, EVEN)
+    return min(least_hits(n) for n in range(max(2**part, SKETCH + 1), 2 ** (part + 1)))
+
+
+def size_partition(n: Column) -> Column:
+    """floor(log2(n)) of a positive count, from its binary digits."""
+    return F.length(F.bin(n)) - 1
+
+
 def shingles(text: Column) -> Column:
     """Hashes of the five-word windows of a text (array<long>, in order, with repeats; may be empty).
 
@@ -76,16 +93,20 @@ def sketches(items: DataFrame) -> DataFrame:
     item = W.partitionBy("item_id", "fp")
     rows = rows.withColumn("at", F.row_number().over(item.orderBy(F.xxhash64(F.lit(7), "shingle"), "shingle"))).withColumn("n", F.count(F.lit(1)).over(item))
     rows = rows.filter(F.col("at") <= SKETCH)
-    part = F.floor(F.log2("n"))
-    need = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * THRESHOLD - 1e-9)).otherwise(F.lit(least_hits()))
-    return rows.select("item_id", "fp", "n", part.alias("part"), need.alias("need"), "shingle")
+    part = size_partition(F.col("n"))
+    first = size_partition(F.lit(SKETCH + 1))
+    bounds = F.array(*[F.lit(partition_bound(p)) for p in range((SKETCH + 1).bit_length() - 1, EVEN + 1)])
+    need = F.when(F.col("n") <= SKETCH, F.ceil(F.col("n") * THRESHOLD - 1e-9)).otherwise(F.get(bounds, F.least(part, F.lit(EVEN)) - first))
+    return rows.select("item_id", "fp", "n", part.alias("part"), need.cast("int").alias("need"), "shingle")
 
 
 def candidates(docs: DataFrame, sketch: DataFrame) -> DataFrame:
     """doc_id, doc_fp, item_id, fp of pairs with enough sketch hits for the item's partition."""
     d = with_shingles(docs.select("doc_id", text_key("text").alias("doc_fp"), "text"))
-    hits = d.select("doc_id", "doc_fp", F.size("shingles").alias("doc_n"), F.explode("shingles").alias("shingle"))
-    hits = hits.join(pick_ids(sketch), "shingle").filter(F.col("doc_n") >= THRESHOLD * F.col("n"))
+    reach = size_partition(F.floor(F.size("shingles") / THRESHOLD + 1e-9))  # of the largest item it can contain
+    hits = d.select("doc_id", "doc_fp", reach.alias("reach"), F.explode("shingles").alias("_shingle"))
+    index = pick_ids(sketch)
+    hits = hits.join(index, (F.col("_shingle") == F.col("shingle")) & (F.col("part") <= F.col("reach")))
     found = hits.groupBy("doc_id", "doc_fp", "item_id", "fp", "need").agg(F.count_distinct("shingle").alias("hits"))
     return found.filter("hits >= need").select("doc_id", "doc_fp", "item_id", "fp")
 
