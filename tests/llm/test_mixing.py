@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from tests.llm import edge
 from tidewater.llm import mixing as M
@@ -59,6 +60,41 @@ def test_mix_reaches_targets_and_reruns_agree(spark):
     assert all(r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in got)
 
 
+def brute_settled(spares, gap, most=3):
+    """Each spare in turn, longest first, one copy more or fewer where the gap gets smaller."""
+    out = []
+    for size, copies in spares:
+        options = [(abs(gap - d * size), abs(d), d) for d in (-1, 0, 1) if 0 <= copies + d <= most]
+        d = min(options)[2]
+        out.append(d)
+        gap -= d * size
+    return out, gap
+
+
+def test_spares_settle_the_gap():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        size = -np.sort(-rng.integers(1, 4000, 40))
+        copies = rng.integers(0, 4, 40)
+        gap = float(rng.normal() * 2000)
+        pdf = pd.DataFrame({"size": size, "copies": copies, "draw": range(40), "key": "", "nth": 1, "gap": gap})
+        out = M.settled(pdf.sample(frac=1, random_state=1), 3.0)
+        expected, rest = brute_settled(list(zip(size, copies)), gap)
+        assert list(out["change"]) == expected and abs(rest) <= abs(gap)
+
+
+def test_long_documents_do_not_leave_a_source_off_target(spark):
+    long = [(i, edge.words(i, 3000), "en", "a", 0) for i in range(5)]
+    short = [(10 + i, edge.words(i, 8 + i % 40), "en", "a", 0) for i in range(200)]
+    other = [(500 + i, edge.words(i, 50), "en", "b", 0) for i in range(60)]
+    df = edge.docs(spark, long + short + other)
+    got = M.mix(df, block=64).collect()
+    for s in ("a", "b"):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= (8 if s == "a" else 25)
+    assert all(0 <= r["copies"] <= 3 for r in got) and len(got) == df.count()
+
+
 def test_mixed_repeats_rows_as_taken(spark):
     df = edge.with_clashes(edge.docs(spark, rows(60)))
     out = M.mixed(df)

@@ -5,7 +5,10 @@ whole part is certain; the fractional parts are rounded by pairing: two document
 words until one of them is a whole number of copies, with odds that keep both expectations. Each
 exchange keeps the source's expected words, so at most one document a block stays fractional; these
 residuals are combined, block by block, in a reduction tree until one a source is left, which a fair
-draw settles. The taken words of a source so differ from its target by less than one document.
+draw settles. What that last draw leaves, less than one document, is settled by shorter ones: of every
+size class (powers of two) of a source the ``SPARE`` first documents by a hash are spares, and one more or
+one fewer copy of some of them, the longest that fit first, brings the source to its target. So the
+difference that stays is of the order of the source's shortest documents, not of its longest.
 
 Blocks hold about ``BLOCK`` documents by a hash of the document, whatever the partitions are, and
 draws come from a generator seeded by (seed, source, level, block): reruns and retried tasks agree.
@@ -22,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidewater.llm.common import checkpointed, words_count
+from tidewater.llm.common import checkpointed, pick_ids, words_count
 
 BLOCK = 4096
 MOST_COPIES = 3.0
 WEIGHTS = (1, 2, 3)
 SEED = 20
+SPARE = 8  # spares of a size class and source that may settle the rest: a design number, not a limit of rows taken
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
@@ -101,6 +105,37 @@ def rounder(level: int, last: bool, seed: int):
     return lambda pdf: rounded_block(pdf, level, last, seed)
 
 
+def settled(pdf: pd.DataFrame, most: float) -> pd.DataFrame:
+    """``change`` (-1, 0 or 1 copies) of the spares of one source, so that ``gap`` (words wanted) shrinks.
+
+    Longest spares first, each once: a copy goes or comes where that brings the gap nearer to 0.
+    """
+    pdf = pdf.sort_values(["size", "draw", "key", "nth"], ascending=[False, True, True, True], kind="stable")
+    gap, change = float(pdf["gap"].iloc[0]), np.zeros(len(pdf), dtype=np.int64)
+    for i, (size, copies) in enumerate(zip(pdf["size"].to_numpy(), pdf["copies"].to_numpy())):
+        step = 1 if gap > 0 else -1
+        if abs(gap - step * size) < abs(gap) and 0 <= copies + step <= most:
+            change[i], gap = step, gap - step * size
+    return pdf.assign(change=change)
+
+
+def settle(done: DataFrame, seed: int, most: float) -> DataFrame:
+    """``copies`` of ``done`` with the spares' changes. A few hundred spares a source at most take part."""
+    one = F.col("size") > 0
+    gaps = done.groupBy(F.col("source").alias("of")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
+    draw = F.xxhash64(F.lit(seed + 1), "key", "size", "nth")
+    kind = W.partitionBy("source", F.length(F.bin("size")), F.col("copies") > 0).orderBy("draw", "key", "size", "nth")
+    spare = done.filter(one).select("source", "key", "doc_id", "size", "nth", "copies", draw.alias("draw"))
+    spare = spare.withColumn("at", F.row_number().over(kind)).filter(F.col("at") <= SPARE)
+    spare = spare.join(gaps, F.col("source").eqNullSafe(F.col("of"))).drop("of", "at")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in spare.schema.fields] + [T.StructField("change", T.LongType())])
+    change = spare.groupBy("source").applyInPandas(lambda pdf: settled(pdf, most), schema).filter("change <> 0")
+    change = checkpointed(change.select(*[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "size", "nth")], "change"))
+    at = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size")) & (F.col("nth") == F.col("_nth"))
+    out = done.join(pick_ids(change), at, "left")
+    return out.withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0).cast("long")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (long) and taken = copies x size of every row.
 
@@ -141,7 +176,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_
     for d in decided[1:]:
         done = done.unionByName(d)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(F.lit(0)).cast("long")
-    return done.select(F.col("doc_id").cast(id_type).alias("doc_id"), "source", "size", "source_size", "target", "nth", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    done = settle(done.withColumn("copies", copies), seed, most)
+    return done.select(F.col("doc_id").cast(id_type).alias("doc_id"), "source", "size", "source_size", "target", "nth", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
