@@ -10,13 +10,15 @@ from tidewater.operators import features as fe
 from tidewater.plans.customer import CUSTOMER_FEATURES_SQL, _round_features
 from tidewater.plans.registry import query
 from tidewater.plans.sqlviews import with_views
-from tidewater.sources import files, loads, sinks
+from tidewater.sources import contract, files, loads, sinks
 from tidewater.sources import views as V
 from tidewater.sources.store import FeatureStore
 from tidewater.sources.tables import read_table
 
 PRODUCT_SCHEMA = "product_id long, product_name string, category string, price double, description string"
 CPV = with_views("C_products")
+CV = with_views("C", "C_products")
+OV = with_views("O")
 
 
 @query("scan_json_roundtrip", CPV + "SELECT * FROM C_products")
@@ -43,6 +45,45 @@ def scan_with_fallback(spark, sf):
                                lambda: V.products(spark, sf))
 
 
+def _store(spark, sf):
+    """Interactions of both sides and both catalogs as one table store."""
+    store = contract.TableStore(spark, files.shared_scratch(spark, "store"))
+    owner = V.owner_interactions(spark, sf).withColumn("interaction_id", F.lit(None).cast("long"))
+    store.save("interactions", V.customer_interactions(spark, sf).unionByName(owner))
+    store.save("products", V.products(spark, sf))
+    store.save("materials", V.materials(spark, sf))
+    return store
+
+
+@query("source_customer_interactions", CV + "SELECT * FROM C")
+def source_customer_interactions(spark, sf):
+    """The customer rows of the store; the type is a partition filter, so owner files are not read."""
+    return _store(spark, sf).interactions("customer")
+
+
+@query("source_owner_demand", OV + """SELECT user_id, item_id, CAST(sum(quantity) AS BIGINT) AS quantity, count(*) AS n FROM O
+WHERE interaction_type = 'purchase' GROUP BY user_id, item_id""")
+def source_owner_demand(spark, sf):
+    """Owner rows of the store with a filter and a choice of columns that reach the Parquet reader."""
+    rows = _store(spark, sf).interactions("owner").where(F.col("interaction_type") == "purchase")
+    return rows.groupBy("user_id", "item_id").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("n"))
+
+
+@query("source_fallback_catalogs", CPV + """, O_materials_ AS (SELECT p_partkey AS id, p_name AS name, p_type AS category FROM part)
+SELECT 'product' AS kind, product_id AS id, product_name AS name, category FROM C_products
+UNION ALL SELECT 'material' AS kind, id, name, category FROM O_materials_""")
+def source_fallback_catalogs(spark, sf):
+    """S5 by table: the export holds products; materials, whose export has no row, come from the store."""
+    store = _store(spark, sf)
+    root = files.shared_scratch(spark, "export")
+    store.products().write.json(f"{root}/products")
+    store.materials().where(F.lit(False)).write.json(f"{root}/materials")
+    both = contract.Fallback(contract.JsonExport(spark, root), store)
+    p = both.products().select(F.lit("product").alias("kind"), F.col("product_id").alias("id"), F.col("product_name").alias("name"), "category")
+    m = both.materials().select(F.lit("material").alias("kind"), F.col("material_id").alias("id"), F.col("material_name").alias("name"), "category")
+    return p.unionByName(m)
+
+
 @query("refresh_snapshot", with_views("C", "C_products") + "SELECT *, 2 AS snapshot_version FROM C")
 def refresh_snapshot(spark, sf):
     """Snapshot v1 from the interactions; an empty refresh keeps v1; a non-empty one writes v2."""
