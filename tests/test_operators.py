@@ -180,8 +180,25 @@ def test_svd_scores_match_numpy_truncated_svd(spark):
     assert set(got) == {(a, b) for a in range(30) for b in range(12) if r[a, b] == 0}  # all unrated items are scored
 
 
-def test_blocked_picks_match_join_formulation(spark, monkeypatch):
+def test_tiles_are_few_and_never_below_a_block():
+    from tidewater.operators import blocks as b
+    assert b.tiles(0, 0, 0, 8) == (1, 1)
+    assert b.tiles(1500, 20_000, 10**5, 8) == (2, 3)  # blocks at most: too few for the cores anyway
+    nu, ni = b.tiles(10**8, 10**6, 10**9, 4000)
+    assert (nu, ni) == (-(-10**8 // b.TILE_USERS), -(-10**6 // b.TILE_ITEMS))  # 16 and 8 times fewer copies than blocks
+    nu, ni = b.tiles(10**6, 10**6, 10**11, 100)
+    assert nu * ni >= 10**11 / b.TILE_RECORDS
+    nu, ni = b.tiles(40_000, 200_000, 10**6, 64)
+    assert nu * ni >= 2 * 64 and nu <= 40 and ni <= 25
+
+
+@pytest.mark.parametrize("tile_users, tile_items, records", [(7, 4, 10**9), (20, 9, 10**9), (10**6, 10**6, 10**9), (10**6, 10**6, 3)])
+def test_blocked_picks_match_join_formulation(spark, monkeypatch, tile_users, tile_items, records):
     from tidewater.operators import blocks
+    monkeypatch.setattr(blocks, "TILE_USERS", tile_users)  # pairs of tiles of one block, of several, one pair in all
+    monkeypatch.setattr(blocks, "TILE_ITEMS", tile_items)
+    monkeypatch.setattr(blocks, "TILE_RECORDS", records)
+    monkeypatch.setattr(blocks, "TASKS_A_CORE", 0)
     monkeypatch.setattr(blocks, "USER_ROWS", 7)
     monkeypatch.setattr(blocks, "ITEM_ROWS", 4)  # several blocks of each
     rng = np.random.default_rng(11)

@@ -1,10 +1,12 @@
 """Text scores of every (user, catalog item) pair, in blocks of users by blocks of items.
 
-Users and items are dealt into blocks by a hash; a user's term profile goes once to each block of
-items, an item's term vector once to each block of users. A task holds one pair of blocks, adds up the
-scores term by term in NumPy and returns a few rows a user (its k best, or its range), so no row a pair
-is ever made, shuffled or kept. One path for every catalog size; nothing passes through the driver but
-the two row counts that set the number of blocks.
+Users and items are dealt into tiles by a hash; a user's term profile goes once to each tile of items,
+an item's term vector once to each tile of users. A task holds one pair of tiles and goes through it in
+blocks of ``USER_ROWS`` by ``ITEM_ROWS``: it adds up a block's scores term by term in NumPy and keeps a
+few rows a user (its k best, or its range), so no row a pair is ever made, shuffled or kept. Tiles are as
+large as they may be (``TILE_USERS`` by ``TILE_ITEMS``; copies shuffled fall with their sides) and smaller
+only where there would be too few for the cores or a pair would hold too many records. One path for every catalog size; nothing passes through
+the driver but the row counts that set the number of tiles.
 """
 
 from __future__ import annotations
@@ -19,20 +21,36 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
-USER_ROWS, ITEM_ROWS = 1024, 8192
+USER_ROWS, ITEM_ROWS = 1024, 8192  # of a block: 64 MB of scores
+TILE_USERS, TILE_ITEMS = 16 * USER_ROWS, 8 * ITEM_ROWS  # of a pair of tiles: tens of MB of terms
+TILE_RECORDS = 4_000_000  # of a pair of tiles on average, some 40 bytes each
+TASKS_A_CORE = 2
+
+
+def tiles(users: int, items: int, records: int, cores: int) -> tuple[int, int]:
+    """(tiles of users, tiles of items): the fewest at which a pair holds ``TILE_RECORDS`` on average and
+    there are about ``TASKS_A_CORE`` pairs a core; no tile is cut below a block."""
+    parts = lambda n, rows: max(1, -(-n // rows))
+    nu, ni = parts(users, TILE_USERS), parts(items, TILE_ITEMS)
+    most_u, most_i = parts(users, USER_ROWS), parts(items, ITEM_ROWS)
+    while nu * ni < max(TASKS_A_CORE * cores, records / TILE_RECORDS) and (nu < most_u or ni < most_i):
+        if ni >= most_i or nu < most_u and most_u / nu >= most_i / ni:  # the side whose tiles are more blocks long
+            nu = min(2 * nu, most_u)
+        else:
+            ni = min(2 * ni, most_i)
+    return nu, ni
 
 
 def text_blocks(profiles: DataFrame, x: DataFrame, items: DataFrame, users: DataFrame, records: DataFrame, kernel, schema: str) -> DataFrame:
-    """Run ``kernel(users, items, scores, records)`` on every pair of blocks.
+    """Run ``kernel(users, items, scores, records)`` on every block of every pair of tiles.
 
     ``profiles`` (user_id, term, p); ``x`` (doc_id, term, weight); ``items`` (item_id); ``users``
     (user_id and columns of its own); ``records`` (user_id, item_id and values of its own, cast to
-    double) of pairs that the kernel treats apart. The kernel gets the users' frame, the sorted item
+    double; counted, so best checkpointed) of pairs that the kernel treats apart. The kernel gets the users' frame, the sorted item
     ids, the matrix of sums over shared terms of p * weight and the records with positions u, i; it
     returns a frame of ``schema``.
     """
-    nu, ni = users.agg(F.count("*")), items.agg(F.count("*"))
-    nu, ni = (max(1, -(-d.first()[0] // rows)) for d, rows in ((nu, USER_ROWS), (ni, ITEM_ROWS)))
+    nu, ni = tiles(users.count(), items.count(), records.count(), users.sparkSession.sparkContext.defaultParallelism)
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     own = [c for c in users.columns if c != "user_id"]
     values = [c for c in records.columns if c not in ("user_id", "item_id")]
@@ -48,9 +66,19 @@ def text_blocks(profiles: DataFrame, x: DataFrame, items: DataFrame, users: Data
     def run(users_pdf: pd.DataFrame, items_pdf: pd.DataFrame) -> pd.DataFrame:
         if not len(users_pdf) or not len(items_pdf):
             return kernel(users_pdf.iloc[:0], np.zeros(0, np.int64), np.zeros((0, 0)), {c: np.zeros(0) for c in ("u", "i", *values)})
-        items_pdf = items_pdf.sort_values("item_id")
+        users_pdf, items_pdf = users_pdf.reset_index(drop=True), items_pdf.sort_values("item_id").reset_index(drop=True)
         ids = items_pdf["item_id"].to_numpy(np.int64)
-        return kernel(users_pdf, ids, scores_of(users_pdf, items_pdf), records_of(users_pdf, ids, values))
+        rec = records_of(users_pdf, ids, values)
+        out = []
+        for u in range(0, len(users_pdf), USER_ROWS):
+            some = users_pdf.iloc[u : u + USER_ROWS]
+            for i in range(0, len(ids), ITEM_ROWS):
+                part = slice(i, i + ITEM_ROWS)
+                here = (rec["u"] >= u) & (rec["u"] < u + USER_ROWS) & (rec["i"] >= i) & (rec["i"] < i + ITEM_ROWS)
+                block = {c: v[here] for c, v in rec.items()}
+                block["u"], block["i"] = block["u"] - u, block["i"] - i
+                out.append(kernel(some, ids[part], scores_of(some, items_pdf.iloc[part]), block))
+        return pd.concat(out, ignore_index=True)
 
     return left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(run, schema)
 
