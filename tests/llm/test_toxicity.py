@@ -1,4 +1,5 @@
 import random
+import re
 
 import pyarrow as pa
 
@@ -34,11 +35,42 @@ def test_automaton_accepts_what_brute_force_accepts():
             assert i not in got
 
 
+def test_words_across_marks_match_brute_force():
+    random.seed(8)
+    terms = sorted({"".join(random.choice("abcé") for _ in range(random.randint(3, 7))) for _ in range(30)})
+    word = lambda: "".join(random.choice("abcé" + T.MARKS * (i > 0)) for i in range(random.randint(1, 9)))
+    words = [word() for _ in range(6000)] + [t[:2] + m + t[3:] for t in terms for m in T.MARKS] + ["", "*", "a*", "**"]
+    own, term, count, _ = T.Matcher(T.automaton_of(terms)).run(pa.array(words))
+    got = {}
+    for o, t, e in zip(own, term, count):
+        got.setdefault(int(o), []).append((terms[int(t)], int(e)))
+    near = lambda w: [t for t in terms if t == w] or [t for t in terms if len(t) >= T.EDIT_FROM and edits(t, w) == 1]
+    crossed = 0
+    for i, w in enumerate(words):
+        for run in re.findall(f"[a-zé]+(?:[{T.MARKS}][a-zé]+)*", w):
+            parts = re.split(f"[{T.MARKS}]", run)
+            alone = [p for p in parts if near(p)]
+            whole = near(run) if len(parts) > 1 and not alone else []
+            for p in alone or [run] * bool(whole):
+                t, e = got[i].pop(0)
+                assert t in near(p) and e == (t != p)
+            crossed += bool(whole)
+        assert not got.get(i)
+    assert crossed > 100
+
+
+def test_a_mark_in_a_word_hides_no_term(spark):
+    docs, labels = corpus(spark)
+    more = [(7000, edge.words(5, 20) + " you zgr*bl " + edge.words(6, 20) + " wuff#pack", "en", "a", 0), (7001, edge.words(7, 20) + " ask zg@hosts or 5*zgr " + edge.words(8, 20), "en", "a", 0)]
+    got = {r["doc_id"]: r["score"] for r in T.score(docs.unionByName(edge.with_clashes(edge.docs(spark, more))), labels).collect()}
+    assert got[7000] >= T.THRESHOLD and got[7001] == 0
+
+
 def test_several_automata_accept_what_one_accepts():
     random.seed(4)
     word = lambda least, most: "".join(random.choice("abcé") for _ in range(random.randint(least, most)))
     terms = sorted({word(3, 7) for _ in range(60)} | {word(4, 6) + "*" for _ in range(12)})
-    texts = pa.array([" ".join(word(1, 9) for _ in range(20)) for _ in range(300)])
+    texts = pa.array([" ".join(word(1, 9) + random.choice(["", "", "*" + word(1, 5)]) for _ in range(20)) for _ in range(300)])
     one = T.Matcher(T.automaton_of(terms)).run(texts)
     for size in (1, 7, 30, 400):
         assert all((a == b).all() for a, b in zip(one, T.Matcher(*T.automata_of(terms, size)).run(texts)))

@@ -10,7 +10,9 @@
    class -> state; a stem is matched exactly and accepts any ending. The lexicon in order of its letters
    is split into as many tables as it takes, of ``TERMS`` terms each. Tasks step all words of a block
    through a table at once; most words leave it after a few characters. With more than one table, each
-   distinct word of a block is stepped once; the best acceptance of all tables counts.
+   distinct word of a block is stepped once; the best acceptance of all tables counts. Words with one
+   of ``MARKS`` between them and nothing else (st*pid) are stepped once more as one word, mark included,
+   where no word of them is a match on its own: the mark takes the place of a letter or is one too many.
 3. Context: a window of ``WINDOW`` words to each side. A match inside quotation marks, or near a word of
    reporting, is a quotation; near a word of address it is aimed at somebody. Each kind scales a match.
 4. Weights: how often training documents that hold a term, exactly or misspelled, are toxic
@@ -54,6 +56,8 @@ CONTEXT = {"quoted": 0.2, "aimed": 1.0, "plain": 0.7}
 REPORTING = "said says wrote quoted called quote word term slur says reported dit disait sagte schrieb dijo escribió palabra mot wort".split()
 ADDRESS = "you your you're u ur tu te toi vous du dich dir sie usted eres".split()
 QUOTES = "\"“”„«»‟‹›"
+#: Characters that stand for letters inside a word.
+MARKS = "@$*!#%_"
 
 OTHER = 0  # class of characters that no term has
 LAST, NONE = 1000, 1001  # orders of a misspelled word and of no acceptance; a stem's is LAST less its length
@@ -190,7 +194,10 @@ class Matcher:
         return {int(h) for h in X.Words(pa.array(words, pa.string())).hash}
 
     def run(self, texts: pa.Array):
-        """(text index, term, edits, context 0 plain / 1 aimed / 2 quoted) arrays for the matches of ``texts``."""
+        """(text index, term, edits, context 0 plain / 1 aimed / 2 quoted) arrays for the matches of ``texts``.
+
+        A match across marks is placed at the first of its words.
+        """
         texts = strip_quotes_as_separators(texts)
         w = X.Words(texts)
         raw = w.raw
@@ -198,10 +205,21 @@ class Matcher:
         lead = np.cumsum((raw & 0xC0) != 0x80)  # number of code points up to and with each byte
         first = lead[w.starts] - 1 if len(w.starts) else w.starts
         size = lead[w.ends - 1] - first if len(w.starts) else w.starts
-        same = None
         if len(self.automata) > 1:  # step each distinct word once
             _, one, same = np.unique(w.hash, return_index=True, return_inverse=True)
-            first, size = first[one], size[one]
+            term, edits = (x[same] for x in self.accepted(points, first[one], size[one]))
+        else:
+            term, edits = self.accepted(points, first, size)
+        a, b = across_marks(w)
+        if len(a):
+            found = np.concatenate([[0], np.cumsum(term >= 0)])
+            a, b = (x[found[b + 1] == found[a]] for x in (a, b))
+            term[a], edits[a] = self.accepted(points, first[a], first[b] + size[b] - first[a])
+        hit = np.flatnonzero(term >= 0)
+        return w.owner[hit], term[hit], edits[hit], self.context(w, hit)
+
+    def accepted(self, points: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(term or -1, edits) of the words that begin at ``first`` in ``points``: the best acceptance of all automata."""
         term, edits = np.full(len(first), -1, dtype=np.int32), np.zeros(len(first), dtype=np.int8)
         order = np.full(len(first), NONE, dtype=np.int32)
         for a, classes in self.automata:
@@ -209,10 +227,7 @@ class Matcher:
             better = np.flatnonzero(a["order"][final] < order)
             to = final[better]
             term[better], edits[better], order[better] = a["term"][to] + a.get("base", 0), a["edits"][to], a["order"][to]
-        if same is not None:
-            term, edits = term[same], edits[same]
-        hit = np.flatnonzero(term >= 0)
-        return w.owner[hit], term[hit], edits[hit], self.context(w, hit)
+        return term, edits
 
     @staticmethod
     def final(automaton: dict, classes: np.ndarray, points: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -254,6 +269,18 @@ class Matcher:
         return kind
 
 
+def across_marks(w: X.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last word) of the longest runs of two or more words of a text with one of ``MARKS`` between each two."""
+    mark = np.zeros(256, dtype=bool)
+    mark[[ord(c) for c in MARKS]] = True
+    close = (w.starts[1:] - w.ends[:-1] == 1) & (w.owner[1:] == w.owner[:-1])
+    close[close] = mark[w.raw[w.ends[:-1][close]]]
+    linked = np.concatenate([[False], close, [False]])  # each word, and the end, with the word before
+    if len(linked) > len(w.starts) + 1:  # no word at all
+        return w.starts, w.starts
+    return np.flatnonzero(~linked[:-1] & linked[1:]), np.flatnonzero(linked[:-1] & ~linked[1:])
+
+
 def strip_quotes_as_separators(texts: pa.Array) -> pa.Array:
     """Typographic quotation marks set off by spaces, so that they are no part of a word."""
     return pc.replace_substring_regex(texts, f"([{QUOTES[1:]}’‘])", " \\1 ")
