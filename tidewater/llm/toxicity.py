@@ -286,31 +286,35 @@ def strip_quotes_as_separators(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(texts, f"([{QUOTES[1:]}’‘])", " \\1 ")
 
 
-def matches(rows: DataFrame, automata, keep: list[str]) -> DataFrame:
-    """``keep`` columns, renamed k0, k1, ..., and hits (array of term, edits, context, n) of every row."""
-    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    fields = "".join(f"k{i} {rows.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
-    kind = pa.list_(pa.struct([("term", pa.int32()), ("edits", pa.int32()), ("context", pa.int32()), ("n", pa.int64())]))
+def counted(matcher: Matcher, texts: pa.Array):
+    """For each part of ``texts``: (text index, term, edits, context) rows without repeats, and how often each is met."""
+    for base, part in X.chunks(pc.fill_null(texts, "")):
+        key, n = np.unique(np.stack(matcher.run(part), axis=1).astype(np.int64), axis=0, return_counts=True)
+        key[:, 0] += base
+        yield key, n
+
+
+def matches(rows: DataFrame, automata) -> DataFrame:
+    """toxic and hits (array of distinct term, edits) of every row of ``rows`` (text, toxic)."""
+    kind = pa.list_(pa.struct([("term", pa.int32()), ("edits", pa.int32())]))
 
     def run(batches):
         matcher = Matcher(*automata.value)
         for batch in batches:
             out: list[list] = [[] for _ in range(batch.num_rows)]
-            for base, part in X.chunks(pc.fill_null(batch.column(len(keep)), "")):
-                own, term, edits, context = matcher.run(part)
-                key = np.stack([own, term, edits, context], axis=1).astype(np.int64)
-                for (o, t, e, c), n in zip(*np.unique(key, axis=0, return_counts=True)):
-                    out[base + int(o)].append({"term": int(t), "edits": int(e), "context": int(c), "n": int(n)})
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, kind)], names=[*[f"k{i}" for i in range(len(keep))], "hits"])
+            for key, _ in counted(matcher, batch.column(1)):
+                for own, term, edits in np.unique(key[:, :3], axis=0).tolist():
+                    out[own].append({"term": term, "edits": edits})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["toxic", "hits"])
 
-    return rows.select(*kept, F.col("text").alias("body")).mapInArrow(run, fields + "hits array<struct<term: int, edits: int, context: int, n: long>>")
+    return rows.select("toxic", "text").mapInArrow(run, "toxic boolean, hits array<struct<term: int, edits: int>>")
 
 
 def weights(train: DataFrame, automata, terms: dict[str, float]) -> dict[tuple[int, int], float]:
     """(term, edits) -> weight, from all training documents; two values a term."""
-    m = checkpointed(matches(train, automata, ["toxic"]).withColumnRenamed("k0", "toxic"))
+    m = checkpointed(matches(train, automata))
     base = m.agg(F.avg(F.col("toxic").cast("double"))).collect()[0][0] or 0.0
-    rows = m.select("toxic", F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["term"].alias("term"), h["edits"].alias("edits"))))).alias("h"))
+    rows = m.select("toxic", F.explode("hits").alias("h"))
     n = rows.groupBy("h.term", "h.edits").agg(F.sum(F.col("toxic").cast("long")).alias("bad"), F.count(F.lit(1)).alias("all")).collect()
     share = {(r["term"], r["edits"]): (r["bad"] + base) / (r["all"] + 1) for r in n}
     # a misspelling that was never seen in training counts half its term; shares at the base rate weigh 0
@@ -321,33 +325,39 @@ def weights(train: DataFrame, automata, terms: dict[str, float]) -> dict[tuple[i
     return {(t, e): STRENGTH * trust[t] * max(0.0, (p - max(base, 0.3)) / (1 - max(base, 0.3))) for (t, e), p in share.items()}
 
 
-def scored(docs: DataFrame, labels: DataFrame, fold: Column | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns, renamed k0, k1, ..., and ``score`` of every row of ``docs``."""
+def scored(docs: DataFrame, labels: DataFrame, fold: Column | None, keep: list[str], below: float | None = None) -> DataFrame:
+    """``keep`` columns, renamed k0, k1, ..., and ``score`` of every row of ``docs``, or of those that score below ``below``.
+
+    Texts pass through one worker a task, once.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     train = training(docs, labels, fold)
     terms = lexicon(train)
     automata = spark.sparkContext.broadcast(automata_of(list(terms)))
     w = weights(train, automata, terms) if terms else {}
-    factor = (CONTEXT["plain"], CONTEXT["aimed"], CONTEXT["quoted"])
-    value = spark.sparkContext.broadcast({(t, e, c): 1 - v * factor[c] for (t, e), v in w.items() for c in range(3)})
-    firm = [trust >= 0.5 for trust in terms.values()]
-    hits = matches(docs, automata, keep)
-    schema = hits.drop("hits").schema.add("score", "double")
-
-    def of(row: list[dict]) -> float:
-        rest = [1.0, 1.0]  # of weak and of firm terms
-        for h in row:
-            rest[firm[h["term"]]] *= value.value[h["term"], h["edits"], h["context"]] ** h["n"]
-        return 1 - rest[1] * max(rest[0], 1 - WEAK)
+    factor = np.array([CONTEXT["plain"], CONTEXT["aimed"], CONTEXT["quoted"]])
+    weight = np.array([w[t, e] for t in range(len(terms)) for e in (0, 1)]).reshape(-1, 2, 1)
+    # what a match leaves of 1, by term, edits and context; which terms are firm
+    value = spark.sparkContext.broadcast((1 - weight * factor, np.array([trust >= 0.5 for trust in terms.values()], dtype=bool)))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *([] if "text" in keep else [F.col("text").alias("body")]))
+    at = keep.index("text") if "text" in keep else len(keep)
+    schema = rows.drop("body").schema.add("score", "double")
 
     def run(batches):
+        matcher, (left, firm) = Matcher(*automata.value), value.value
         for batch in batches:
-            rows = batch.column(len(keep)).to_pylist()
-            out = [of(row) for row in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], names=schema.names)
+            strong, weak = np.ones(batch.num_rows), np.ones(batch.num_rows)
+            for key, n in counted(matcher, batch.column(at)):
+                own, term, edits, context = key.T
+                rest, sure = left[term, edits, context] ** n, firm[term]
+                np.multiply.at(strong, own[sure], rest[sure])
+                np.multiply.at(weak, own[~sure], rest[~sure])
+            score = 1 - strong * np.maximum(weak, 1 - WEAK)
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score, pa.float64())], names=schema.names)
+            yield out if below is None else out.filter(pa.array(score < below))
 
-    return hits.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, fold: Column | None = None) -> DataFrame:
@@ -357,5 +367,5 @@ def score(docs: DataFrame, labels: DataFrame, fold: Column | None = None) -> Dat
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``; learns from all labels."""
-    found = scored(docs, labels, None, docs.columns).filter(F.col("score") < threshold)
+    found = scored(docs, labels, None, docs.columns, below=threshold)
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
