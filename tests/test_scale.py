@@ -116,3 +116,19 @@ def test_best_over_blocks_of_rising_ids_keeps_ties_in_order():
         want = sorted((-v, i) for i, v in enumerate(score[u]))[:k]
         assert all(a[1] == b[1] and math.isclose(a[0], b[0]) for a, b in zip(sorted(got[u])[:k], want))
     assert sum(looked[1:]) < 7 * 6 * k  # later blocks return only what is better than before
+
+
+def test_neighbour_scores_are_summed_where_they_are_made(spark):
+    rows = [(u, i, float(1 + (u + i) % 3)) for u in range(20) for i in range(u % 7)]
+    qty = spark.createDataFrame(rows, "user_id long, item_id long, qty double")
+    sims = [(i, j, 1 / (1 + abs(i - j))) for i in range(7) for j in range(9)]
+    got = rk.knn_cf_scores(qty, spark.createDataFrame(sims, "item_i long, item_j long, sim double"))
+    want = {}
+    for u, i, q in rows:
+        for a, j, s in sims:
+            if a == i != j:
+                want[u, j] = want.get((u, j), 0) + s * q
+    most = {u: max(v for (w, _), v in want.items() if w == u) for u, _ in want}
+    assert {(r.user_id, r.item_id): round(r.cf, 9) for r in got.collect()} == {(u, j): round(v / most[u], 9) for (u, j), v in want.items()}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(user_id" in plan  # none of pairs
