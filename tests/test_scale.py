@@ -99,7 +99,7 @@ def test_scores_by_products_and_one_by_one(monkeypatch):
     part = lambda m: blocks.entries(np.nonzero(m)[1], np.nonzero(m)[0], m[np.nonzero(m)], 0, len(m), len(m))
     for dense in (0.0, 0.2, 2.0):
         monkeypatch.setattr(blocks, "DENSE", dense)
-        assert np.allclose(blocks.scores_of(part(p), part(w), 6), p @ w.T, atol=1e-12)
+        assert np.allclose(blocks.products(part(p), part(w), 6), p @ w.T, atol=1e-12)
         assert (blocks.reached(part(p), part(w), 6)[0] == ((p > 0).astype(int) @ (w > 0).T.astype(int) > 0)).all()
 
 

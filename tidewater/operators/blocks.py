@@ -19,8 +19,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.session import looked_up
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 USER_ROWS, ITEM_ROWS = 1024, 8192  # of a block: 64 MB of scores
@@ -59,6 +57,7 @@ def text_blocks(profiles: DataFrame, x: DataFrame, items: DataFrame, users: Data
     a term (and one whose p is known: a p of NaN adds nothing). With ``every_pair`` a tile is one small block,
     as such a kernel returns up to a row a pair and a task holds the rows of one tile at a time.
     """
+    from tidewater.session import looked_up  # not of the module, which executors get by value
     if every_pair:
         nu, ni = max(1, -(-users.count() // PAIR_USERS)), max(1, -(-items.count() // PAIR_ITEMS))
     else:
@@ -100,7 +99,7 @@ def text_blocks(profiles: DataFrame, x: DataFrame, items: DataFrame, users: Data
                 block["u"], block["i"] = block["u"] - u, block["i"] - i
                 if wants == "reach":
                     kept = {"reach": reached(mine, vectors[n], len(names))}
-                out.append(kernel(some, ids[i : i + ITEM_ROWS], scores_of(mine, vectors[n], len(names)), block, **kept))
+                out.append(kernel(some, ids[i : i + ITEM_ROWS], products(mine, vectors[n], len(names)), block, **kept))
         return pd.concat(out, ignore_index=True)
 
     if every_pair:  # rows of input say nothing of those returned: tiles are dealt by number, not merged by bytes
@@ -131,7 +130,7 @@ def split_terms(uc: np.ndarray, ic: np.ndarray, users: int, items: int, terms: i
     return dense, np.flatnonzero((pairs > 0) & (pairs <= users * items * DENSE)), ucut, icut
 
 
-def scores_of(mine: tuple, vectors: tuple, terms: int) -> np.ndarray:
+def products(mine: tuple, vectors: tuple, terms: int) -> np.ndarray:
     """(users x items) sums over shared terms of p * weight: terms of many pairs by matrix products, others one by one."""
     uc, urow, p, users = mine
     ic, irow, w, items = vectors
@@ -149,6 +148,16 @@ def scores_of(mine: tuple, vectors: tuple, terms: int) -> np.ndarray:
     return out
 
 
+def scores_of(users: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
+    """``products`` of frames with lists of terms and p, and of terms and w."""
+    terms, row = flat(items["terms"], object)
+    code, names = pd.factorize(terms, sort=True)
+    vectors = entries(code, row, flat(items["w"], float)[0], 0, len(items), len(items))
+    terms, row = flat(users["terms"], object)
+    code = pd.Index(names).get_indexer(terms) if len(names) else np.full(len(terms), -1)
+    return products(entries(code, row, flat(users["p"], float)[0], 0, len(users), len(users)), vectors, len(names))
+
+
 def matrix(code: np.ndarray, row: np.ndarray, value: np.ndarray, rows: int, terms: np.ndarray, dtype=float) -> np.ndarray:
     """(rows x terms) of the entries of some terms (ascending)."""
     out = np.zeros((rows, len(terms)), dtype)
