@@ -63,3 +63,14 @@ def test_best_keeps_ties_by_id():
 
 def test_no_items(spark):
     assert sim.content_neighbors(spark.createDataFrame([], SCHEMA), 3).count() == 0
+
+
+def test_items_are_copied_by_the_queries_of_their_group(spark, monkeypatch):
+    for name, value in (("TILE_ITEMS", 1000), ("TILE_QUERIES", 30), ("GROUPS", 64)):
+        monkeypatch.setattr(bounded, name, value)
+    items = bounded.grouped(spark.createDataFrame(catalog(1500, 400, 3, copies=10), SCHEMA)).cache()
+    sizes = {r["home"]: r["count"] for r in items.groupBy("home").count().collect()}
+    queries = items.selectExpr("item_id", "terms", "w", "home AS group", "0L AS floor")
+    left, right = bounded.dealt(queries, items, sizes, sizes)
+    assert left.count() == items.count()
+    assert right.count() == sum(n * -(-n // 30) for n in sizes.values()) < 0.2 * items.count() * -(-items.count() // 30)

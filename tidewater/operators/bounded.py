@@ -5,7 +5,7 @@ group first; the k-th best it finds there is its floor. A group's greatest weigh
 of its items can score, so a query goes on only to groups whose bound reaches its floor, and inside a
 group only through blocks whose own bound reaches the floor so far. Bounds leave out no item that belongs
 to the k best, ties included: the result is that of all pairs. Rows shuffled are a query's groups, not
-items times items; a large group is dealt out in tiles of items by tiles of queries.
+items times items; a large group is dealt out in tiles of its items by tiles of the queries that come to it.
 """
 
 from __future__ import annotations
@@ -122,15 +122,21 @@ def scan(queries: pd.DataFrame, items: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"item_id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "score": np.zeros(0)})
 
 
-def met(queries: DataFrame, items: DataFrame, sizes: dict[int, int], n: int, k: int) -> DataFrame:
-    """``scan`` of ``queries`` (with group) and the ``items`` of their groups, tile by tile."""
-    tiles = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(g, 0) // TILE_ITEMS))) for g in range(GROUPS)]), F.col("group") + 1)
-    queries = queries.withColumn("part", hashed(F.col("item_id"), -(-n // TILE_QUERIES) or 1))
+def dealt(queries: DataFrame, items: DataFrame, sizes: dict[int, int], asked: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """``queries`` (with group) and the ``items`` of their groups by (group, tile, part): tiles of a group's items by parts
+    of the queries that come to it (``asked``), so an item is copied once for so many queries of its own group, not of all."""
+    cut = lambda rows, most: F.element_at(F.array(*[F.lit(-(-rows.get(g, 0) // most)) for g in range(GROUPS)]), F.col("group") + 1)
     fresh = lambda df: df.toDF(*df.columns)  # noqa: E731  items and queries come from one frame
-    wanted = fresh(queries.select("group", "part").distinct())  # items go only where queries are
-    left = queries.withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    right = items.select("item_id", "terms", "w", "lead", F.col("home").alias("group")).withColumn("tile", F.pmod(F.xxhash64("item_id"), tiles).cast("int"))
-    right = fresh(fresh(right).join(wanted, "group"))
+    tiles, parts = F.greatest(cut(sizes, TILE_ITEMS), F.lit(1)), cut(asked, TILE_QUERIES)
+    left = queries.withColumn("part", hashed(F.col("item_id"), parts)).withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    right = items.select("item_id", "terms", "w", "lead", F.col("home").alias("group")).where(parts > 0)  # items go only where queries are
+    right = right.withColumn("tile", hashed(F.col("item_id"), tiles)).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left, fresh(right)
+
+
+def met(queries: DataFrame, items: DataFrame, sizes: dict[int, int], asked: dict[int, int], k: int) -> DataFrame:
+    """``scan`` of ``queries`` (with group, ``asked`` of each) and the ``items`` of their groups, tile by tile."""
+    left, right = dealt(queries, items, sizes, asked)
 
     def run(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         return scan(q, i, k) if len(i) else scan(q.iloc[:0], i, k)
@@ -145,13 +151,13 @@ def nearest(weights: DataFrame, k: int) -> DataFrame:
     Score: the sum over shared terms of both weights, above 0. Ties at ``PLACES`` places: the least id.
     """
     items = cut_lineage(grouped(weights))
-    sizes = {r["home"]: r["count"] for r in items.groupBy("home").count().collect()}  # at most GROUPS rows
-    n = sum(sizes.values())
+    counts = lambda df, c: {r[c]: r["count"] for r in df.groupBy(c).count().collect()}  # noqa: E731  at most GROUPS rows
+    sizes = counts(items, "home")
     queries = items.select("item_id", "terms", "w", "slots", "home")
-    near = cut_lineage(met(queries.select("item_id", "terms", "w", F.col("home").alias("group"), F.lit(-1).cast("long").alias("floor")), items, sizes, n, k))
+    near = cut_lineage(met(queries.select("item_id", "terms", "w", F.col("home").alias("group"), F.lit(-1).cast("long").alias("floor")), items, sizes, sizes, k))
     best = Window.partitionBy("item_id").orderBy(F.col("key").desc())
     key = F.floor(F.col("score") * 10**PLACES + F.lit(0.5 + 1e-7)).cast("long")
     floor = near.select("item_id", key.alias("key")).withColumn("at", F.row_number().over(best)).where(F.col("at") == k).select("item_id", F.col("key").alias("floor"))
     queries = queries.join(floor, "item_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1).cast("long")))
     far = cut_lineage(reach(queries, greatest_weights(items)))
-    return near.unionByName(met(far, items, sizes, n, k))
+    return near.unionByName(met(far, items, sizes, counts(far, "group"), k))
