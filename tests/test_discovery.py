@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater import session
 from tidewater.operators import discovery, rankers
 from tidewater.operators import profiling as pf
 from tidewater.operators import similarity as sim
@@ -120,3 +121,21 @@ def test_numbering_by_ranges(spark):
     out = rankers.numbered(df, [F.col("v").desc()], "pos").collect()
     assert sorted((r["pos"], r["v"]) for r in out) == [(i + 1, 499 - i) for i in range(500)]
     assert rankers.numbered(df.limit(0), [F.col("v")], "pos").count() == 0
+
+
+def test_inclusions_with_a_frequent_value(spark):
+    a = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(300)], "k long, f int")
+    b = spark.createDataFrame([(i,) for i in range(0, 300, 3)] + [(7,), (None,)], "k long")
+    got = {(r["child"], r["parent"], r["child_values"], r["parent_values"]) for r in discovery.inclusions({"a": a, "b": b}).collect()}
+    assert got == {("a.f", "a.k", 101, 300), ("a.f", "b.k", 101, 101), ("b.k", "a.k", 101, 300)}
+
+
+def test_partitions_follow_rows_not_bytes(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 1000)
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("k"), F.lit(1).alias("i"), F.lit(1.0).alias("v"))
+    assert session.dealt(df, ["k"], 20_000).rdd.getNumPartitions() == 20
+    # narrow rows that adaptive execution would merge into one task
+    work = sim.segment_pairs(df.distinct(), "k", "i", "v", counted=True)
+    assert work.select(F.spark_partition_id().alias("p")).distinct().count() == 5
+    with_pairs = discovery.inclusions({"t": df.select("k")})
+    assert with_pairs.count() == 0

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.session import dealt
+
+#: Tasks that count a value which many rows of a column hold.
+SHARES = 16
+
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -55,13 +60,21 @@ def inclusions(tables: dict[str, DataFrame]) -> DataFrame:
     """(child, parent, child_values, parent_values): columns all of whose values a column without repeats holds.
 
     Every value meets the set of columns that hold it, at most one entry a column; a column lies in
-    another if as many of its values meet the other as it has. One shuffle by value for all pairs.
+    another if as many of its values meet the other as it has. One shuffle by value for all pairs, after one that
+    counts a frequent value in ``SHARES`` tasks; columns go by number, and both are dealt by the number of rows.
     """
-    held = None
+    held, rows, names = None, 0, []
     for name, df in tables.items():
-        for c in whole_columns(df):
-            one = df.select(F.lit(f"{name}.{c}").alias("c"), F.col(c).cast("long").alias("v")).where(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count("*").alias("n"))
+        columns = whole_columns(df)
+        rows += df.count() * len(columns)
+        share = F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)).cast("tinyint").alias("share")
+        for c in columns:
+            one = df.select(F.lit(len(names)).alias("c"), F.col(c).cast("long").alias("v"), share).where(F.col("v").isNotNull())
             held = one if held is None else held.unionByName(one)
+            names.append(f"{name}.{c}")
+    name_of = lambda c: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(c) + 1).alias(c)
+    held = dealt(held, ["v", "share"], rows).groupBy("c", "v", "share").agg(F.count("*").alias("n"))
+    held = dealt(held, ["v"], rows).groupBy("c", "v").agg(F.sum("n").alias("n"))
     by_value = held.groupBy("v").agg(F.collect_list(F.struct("c", "n")).alias("in"))
     pairs = by_value.select("in", F.explode("in").alias("a")).select(F.col("a.c").alias("child"), F.explode("in").alias("b"))
     pairs = pairs.groupBy("child", F.col("b.c").alias("parent")).agg(F.count("*").alias("both"), F.max("b.n").alias("most"))
@@ -69,4 +82,4 @@ def inclusions(tables: dict[str, DataFrame]) -> DataFrame:
     child = own.select(F.col("c").alias("child"), F.col("d").alias("child_values"))
     parent = own.where(F.col("repeats") == 1).select(F.col("c").alias("parent"), F.col("d").alias("parent_values"))
     found = pairs.where(F.col("child") != F.col("parent")).join(child, "child").join(parent, "parent").where(F.col("both") == F.col("child_values"))
-    return found.select("child", "parent", "child_values", "parent_values")
+    return found.select(name_of("child"), name_of("parent"), "child_values", "parent_values")
