@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.session import cut_lineage
+from tidewater.session import cut_lineage, dealt
 from tidewater.functions import (
     CYCLE_MAX, CYCLE_MIN, CYCLE_SINGLE, DEFAULT_MEAN_QTY, FORECAST_FEATURES, RIDGE_ALPHA,
     days_between, scalar_max, week_start,
@@ -19,6 +19,8 @@ from tidewater.functions import (
 
 TS = "interaction_timestamp"
 PROCUREMENT = ("purchase", "reorder")
+#: Tasks that a pair's events are counted in.
+SHARES = 16
 
 
 def procurements(events: DataFrame) -> DataFrame:
@@ -31,22 +33,58 @@ def weekly_demand(events: DataFrame) -> DataFrame:
             .groupBy("user_id", "item_id", "week").agg(F.sum("quantity").cast("long").alias("quantity")))
 
 
-def weekly_lags(events: DataFrame) -> DataFrame:
+def pair_weeks(events: DataFrame, rows: int | None = None) -> DataFrame:
+    """(user_id, item_id, week, demand, procured, total, n): sums by pair and week over procurements and over all events.
+
+    ``rows``: about the number of events, where known; tasks are then dealt by it, a frequent pair's events over ``SHARES``.
+    """
+    pair, bought = ["user_id", "item_id"], F.col("interaction_type").isin(*PROCUREMENT)
+    ev = events.select(*pair, week_start(F.col(TS)).alias("week"), "quantity", F.coalesce(bought, F.lit(False)).alias("bought"),
+                       F.pmod(F.xxhash64(TS, "quantity"), F.lit(SHARES)).cast("tinyint").alias("share"))
+    sums = [F.sum(F.when(F.col("bought"), F.col("quantity"))).alias("demand"), F.count_if("bought").alias("procured"), F.sum("quantity").alias("total"), F.count("quantity").alias("n")]
+    if rows is None:
+        return ev.groupBy(*pair, "week").agg(*sums)
+    part = dealt(ev, [*pair, "share"], rows).groupBy(*pair, "week", "share").agg(*sums)
+    return dealt(part, pair, rows).groupBy(*pair, "week").agg(*[F.sum(c).alias(c) for c in ("demand", "procured", "total", "n")])
+
+
+def _grid(weeks: DataFrame) -> DataFrame:
+    """Every week of a pair from its first to its last active one, with lags and the pair's mean (``owner_mean_qty``).
+
+    Only active weeks are sorted. Each spans the idle weeks up to the next one, and no lag of these reaches further back than
+    three active weeks, so a row of the grid comes from one row of the window; grid rows are neither shuffled nor sorted.
+    """
+    known = F.col("user_id").isNotNull() & F.col("item_id").isNotNull()  # rows without a key join no demand and no mean
+    w = Window.partitionBy("user_id", "item_id").orderBy("week")
+    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    a = weeks.withColumn("owner_mean_qty", F.when(known, F.sum("total").over(all_) / F.nullif(F.sum("n").over(all_), F.lit(0))))
+    a = a.where((F.col("procured") > 0) & F.col("week").isNotNull())
+    a = a.select("user_id", "item_id", "owner_mean_qty", F.col("week").alias("w_0"), F.when(known, F.coalesce(F.col("demand").cast("long"), F.lit(0))).otherwise(F.lit(0)).cast("double").alias("q_0"))
+    w = Window.partitionBy("user_id", "item_id").orderBy("w_0")
+    back = [F.lag(c, i).over(w).alias(f"{c[0]}_{i}") for i in (1, 2, 3) for c in ("w_0", "q_0")]
+    a = a.select("*", *back, F.lead("w_0").over(w).alias("next"), F.first("w_0").over(w).alias("first"))
+    g = a.withColumn("week", F.explode(F.sequence("w_0", F.coalesce(F.date_sub("next", 7), F.col("w_0")), F.expr("INTERVAL 7 DAYS"))))
+
+    def at(k: int) -> Column:
+        day, out = F.date_sub("week", 7 * k), F.lit(0.0)
+        for i in reversed(range(k + 1)):
+            out = F.when(F.col(f"w_{i}") == day, F.col(f"q_{i}")).otherwise(out)
+        return F.when(day >= F.col("first"), out)
+
+    lags = [at(k).alias(f"lag_{k}") for k in (1, 2, 3)]
+    g = g.select("user_id", "item_id", "week", at(0).alias("quantity"), *lags, "owner_mean_qty")
+    total = sum((F.coalesce(f"lag_{k}", F.lit(0.0)) for k in (1, 2, 3)), F.lit(0.0))
+    full = sum((F.col(f"lag_{k}").isNotNull().cast("int") for k in (1, 2, 3)), F.lit(0))
+    return g.withColumn("rolling_mean_3", total / F.nullif(full, F.lit(0)))
+
+
+def weekly_lags(events: DataFrame, rows: int | None = None) -> DataFrame:
     """Dense Monday grid per pair (first..last active week), lags 1-3, rolling mean of lag_1.
 
     Weeks per pair are bounded by the date range, so the per-pair window
     sorts a bounded number of rows however hot the pair is.
     """
-    wk = weekly_demand(events)
-    span = wk.groupBy("user_id", "item_id").agg(F.min("week").alias("w0"), F.max("week").alias("w1"))
-    grid = span.select("user_id", "item_id",
-                       F.explode(F.sequence("w0", "w1", F.expr("INTERVAL 7 DAYS"))).alias("week"))
-    g = grid.join(wk, ["user_id", "item_id", "week"], "left").withColumn(
-        "quantity", F.coalesce(F.col("quantity"), F.lit(0)).cast("double"))
-    w = Window.partitionBy("user_id", "item_id").orderBy("week")
-    g = g.select("user_id", "item_id", "week", "quantity",
-                 *[F.lag("quantity", i).over(w).alias(f"lag_{i}") for i in (1, 2, 3)])
-    return g.withColumn("rolling_mean_3", F.avg("lag_1").over(w.rowsBetween(-2, 0)))
+    return _grid(pair_weeks(events, rows)).select("user_id", "item_id", "week", "quantity", "lag_1", "lag_2", "lag_3", "rolling_mean_3")
 
 
 def demand_baselines(events: DataFrame) -> DataFrame:
@@ -56,13 +94,12 @@ def demand_baselines(events: DataFrame) -> DataFrame:
     return pair.join(item, "item_id").select("user_id", "item_id", "owner_mean_qty", "material_mean_qty")
 
 
-def training_set(events: DataFrame) -> DataFrame:
-    """Weekly samples with complete lags plus pair / item baselines (default 10.0)."""
-    lags = weekly_lags(events).na.drop("any", subset=["lag_1", "lag_2", "lag_3", "quantity"])
-    base = demand_baselines(events)
-    item = base.select("item_id", "material_mean_qty").distinct()
-    t = lags.join(base.select("user_id", "item_id", "owner_mean_qty"), ["user_id", "item_id"], "left")
-    t = t.join(item, "item_id", "left")
+def training_set(events: DataFrame, rows: int | None = None) -> DataFrame:
+    """Weekly samples with complete lags plus pair / item baselines (default 10.0). ``rows`` as in ``pair_weeks``."""
+    weeks = cut_lineage(pair_weeks(events, rows))  # read for the grid and for the items' means
+    item = weeks.groupBy("item_id").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("material_mean_qty"))
+    t = _grid(dealt(weeks, ["user_id", "item_id"], None if rows is None else weeks.count()))
+    t = t.where(F.col("lag_3").isNotNull()).join(item, "item_id", "left")
     return t.select("user_id", "item_id", "week", "lag_1", "lag_2", "lag_3", "rolling_mean_3",
                     F.coalesce("owner_mean_qty", F.lit(DEFAULT_MEAN_QTY)).alias("owner_mean_qty"),
                     F.coalesce("material_mean_qty", F.lit(DEFAULT_MEAN_QTY)).alias("material_mean_qty"),

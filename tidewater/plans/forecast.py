@@ -48,7 +48,7 @@ def weekly_demand(spark, sf):
 @query("weekly_lags", DV + ", " + LAG_SQL + """
 SELECT user_id, item_id, CAST(week AS VARCHAR) AS week, quantity, lag_1, lag_2, lag_3, round(rolling_mean_3, 6) AS rolling_mean_3 FROM LAGS""")
 def weekly_lags(spark, sf):
-    return _wk(fc.weekly_lags(V.demand_interactions(spark, sf)).withColumn("rolling_mean_3", r6(F.col("rolling_mean_3"))))
+    return _wk(fc.weekly_lags(V.demand_interactions(spark, sf), V.lines(spark, sf)).withColumn("rolling_mean_3", r6(F.col("rolling_mean_3"))))
 
 
 @query("demand_baselines", DV + ", " + BASE_SQL + """
@@ -64,7 +64,7 @@ def demand_baselines(spark, sf):
 SELECT user_id, item_id, CAST(week AS VARCHAR) AS week, lag_1, lag_2, lag_3, round(rolling_mean_3, 6) AS rolling_mean_3,
        round(owner_mean_qty, 6) AS owner_mean_qty, round(material_mean_qty, 6) AS material_mean_qty, quantity FROM TS""")
 def forecast_training_set(spark, sf):
-    t = _wk(fc.training_set(V.demand_interactions(spark, sf)))
+    t = _wk(fc.training_set(V.demand_interactions(spark, sf), V.lines(spark, sf)))
     return t.select(*[r6(F.col(c)).alias(c) if c in ("rolling_mean_3", "owner_mean_qty", "material_mean_qty") else F.col(c)
                       for c in t.columns])
 
