@@ -132,3 +132,58 @@ def test_neighbour_scores_are_summed_where_they_are_made(spark):
     assert {(r.user_id, r.item_id): round(r.cf, 9) for r in got.collect()} == {(u, j): round(v / most[u], 9) for (u, j), v in want.items()}
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(user_id" in plan  # none of pairs
+
+
+def _weekly_rows():
+    import datetime as dt
+    import random
+
+    rng, start, rows = random.Random(4), dt.datetime(2024, 1, 3), []
+    for u, i in [(1, 1), (1, 2), (2, 1), (None, 1), (3, None)]:
+        rows += [(u, i, rng.choice(["purchase", "reorder", "view", None]), rng.choice([1, 5, 9, None]), start + dt.timedelta(days=rng.choice([0, 3, 8, 15, 60, 90, 97]) + rng.randrange(7))) for _ in range(30)]
+    return [*rows, (1, 1, "purchase", 4, None)]
+
+
+def test_weekly_grid_equals_a_dense_one_and_is_not_shuffled(spark, monkeypatch):
+    import datetime as dt
+
+    from tidewater import session
+    from tidewater.operators import forecasting as fc
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 20)
+    rows = _weekly_rows()
+    df = spark.createDataFrame(rows, "user_id long, item_id long, interaction_type string, quantity int, interaction_timestamp timestamp")
+    want = set()
+    for u, i in {(r[0], r[1]) for r in rows}:
+        known, active = u is not None and i is not None, {}
+        for r in rows:
+            if r[:2] == (u, i) and r[2] in ("purchase", "reorder") and r[4] is not None:
+                week = r[4].date() - dt.timedelta(days=r[4].weekday())
+                active[week] = active.get(week, 0) + ((r[3] or 0) if known else 0)
+        week, seen = min(active), []
+        while week <= max(active):
+            seen.append(float(active.get(week, 0)))
+            lags = [seen[-1 - k] if len(seen) > k else None for k in (1, 2, 3)]
+            some = [x for x in lags if x is not None]
+            want.add((u, i, week, seen[-1], *lags, round(sum(some) / len(some), 9) if some else None))
+            week += dt.timedelta(days=7)
+    for n in (None, len(rows)):
+        got = fc.weekly_lags(df, n)
+        assert {(*r[:7], None if r[7] is None else round(r[7], 9)) for r in got.collect()} == want
+        assert got.count() == len(want)
+    plan = fc.weekly_lags(df, len(rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(sequence") < plan.index("Exchange")  # nothing is shuffled above the grid
+
+
+def test_neighbour_table_of_many_rows_is_sent_in_slices(spark, monkeypatch):
+    from tidewater.operators import rankers as rk
+
+    rows = [(u, (u * 7 + j * j) % 23, 1.0 + j) for u in range(40) for j in range(6)]
+    r = spark.createDataFrame(rows, "user_id long, item_id long, score double").groupBy("user_id", "item_id").sum("score").toDF("user_id", "item_id", "score")
+    values = lambda: {(x["user_id"], x["item_id"]): round(x["cf"], 9) for x in rk.cf_scores(r).collect()}
+    want = values()
+    monkeypatch.setattr(rk, "BROADCAST_ROWS", 60)
+    assert values() == want
+    assert "BroadcastHashJoin" in rk.cf_scores(r)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(rk, "SLICES", 1)
+    assert values() == want
