@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.session import dealt
+
 CUSTOMER_REQUIRED = ("user_id", "item_id", "weighted_score", "recency_days")
 OWNER_REQUIRED = ("user_id", "item_id", "weighted_score", "avg_procurement_interval_days")
 
@@ -13,8 +15,9 @@ class FeatureValidationError(ValueError):
     pass
 
 
-def validation_counts(df: DataFrame, kind: str) -> DataFrame:
-    """One row of violation counts. ``kind`` is ``customer`` or ``owner``.
+def validation_counts(df: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
+    """One row of violation counts. ``kind`` is ``customer`` or ``owner``; ``rows``: about the number of rows, where known,
+    by which tasks are then dealt.
 
     Duplicates are counted as extra copies of a (user_id, item_id) pair via a
     partial aggregate (no single-task gather); every other check is a
@@ -36,8 +39,9 @@ def validation_counts(df: DataFrame, kind: str) -> DataFrame:
         if "avg_procurement_quantity" in df.columns:
             checks["negative_quantity"] = F.col("avg_procurement_quantity") < 0
         checks["negative_interval"] = F.col("avg_procurement_interval_days") < 0
-    per_pair = df.groupBy("user_id", "item_id").agg(
-        F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in checks.items()])
+    flags = df.select("user_id", "item_id", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()])
+    per_pair = dealt(flags, ["user_id", "item_id"], rows).groupBy("user_id", "item_id").agg(
+        F.count("*").alias("n"), *[F.count_if(k).alias(k) for k in checks])
     return per_pair.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("row_count"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_pairs"),

@@ -139,7 +139,7 @@ SELECT user_id, item_id, round(weighted_score, 6) AS weighted_score, round(avg_p
        round(price, 6) AS price, material_interaction_count, round(material_demand_score, 6) AS material_demand_score,
        reorder_count FROM OF""")
 def owner_features(spark, sf):
-    return _round_features(fe.owner_features(V.owner_interactions(spark, sf), V.materials(spark, sf)))
+    return _round_features(fe.owner_features(V.owner_interactions(spark, sf), V.materials(spark, sf), rows=V.lines(spark, sf)))
 
 
 @query("validate_customer_features", CUSTOMER_FEATURES_SQL + """
@@ -161,8 +161,9 @@ SELECT count(*) AS row_count, count(*) - count(DISTINCT (user_id, item_id)) AS d
        count(*) FILTER (WHERE avg_procurement_quantity < 0) AS negative_quantity,
        count(*) FILTER (WHERE avg_procurement_interval_days < 0) AS negative_interval FROM OF""")
 def validate_owner_features(spark, sf):
-    f = fe.owner_features(V.owner_interactions(spark, sf), V.materials(spark, sf))
-    return va.validation_counts(f, "owner")
+    lines = V.lines(spark, sf)
+    f = fe.owner_features(V.owner_interactions(spark, sf), V.materials(spark, sf), rows=lines)
+    return va.validation_counts(f, "owner", lines)
 
 
 @query("drop_incomplete_features", CUSTOMER_FEATURES_SQL + """
