@@ -8,6 +8,7 @@ from tidewater.functions import FORECAST_FEATURES, RIDGE_ALPHA, r4, r6
 from tidewater.operators import forecasting as fc
 from tidewater.plans.registry import query
 from tidewater.plans.sqlviews import days_sql, with_views
+from tidewater.session import cut_lineage
 from tidewater.sources import views as V
 
 DV = with_views("D")
@@ -36,6 +37,11 @@ TS AS (SELECT l.user_id, l.item_id, l.week, l.lag_1, l.lag_2, l.lag_3, l.rolling
 """
 
 
+def _weeks(spark, sf, events):
+    """Sums by pair and week, kept: read for the fit, the pairs and the items' means."""
+    return cut_lineage(fc.pair_weeks(events, V.lines(spark, sf)))
+
+
 def _wk(df):
     return df.withColumn("week", F.col("week").cast("string"))
 
@@ -81,7 +87,8 @@ def _moments_sql() -> str:
 
 @query("forecast_ridge_moments", _moments_sql())
 def forecast_ridge_moments(spark, sf):
-    m = fc.sparse_training_moments(V.demand_interactions(spark, sf))
+    d = V.demand_interactions(spark, sf)
+    m = fc.sparse_training_moments(d, _weeks(spark, sf, d))
     return m.select(*[F.col(c) if c == "n" else F.round(F.col(c), 0).alias(c) for c in m.columns])
 
 
@@ -125,7 +132,8 @@ NW AS (SELECT pm.user_id, pm.item_id,
     f" UNION ALL SELECT '{a}', round(c_{i}, 4) FROM RIDGE" for i, a in enumerate(FORECAST_FEATURES)))
 def forecast_ridge_fit(spark, sf):
     """Intercept + 6 coefficients from the centred normal equations (driver-side 6x6 solve)."""
-    b0, coef = fc.fit_demand(V.demand_interactions(spark, sf))
+    d = V.demand_interactions(spark, sf)
+    b0, coef = fc.fit_demand(d, _weeks(spark, sf, d))
     rows = [("intercept", b0)] + list(zip(FORECAST_FEATURES, coef))
     return spark.createDataFrame(rows, "term string, coefficient double").withColumn("coefficient", r4(F.col("coefficient")))
 
@@ -141,7 +149,8 @@ SELECT g.user_id, g.item_id, g.lag_1, g.lag_2, g.lag_3, round((g.lag_1 + g.lag_2
        round(COALESCE(pm.owner_mean_qty, 10.0), 6) AS owner_mean_qty, round(COALESCE(im.material_mean_qty, 10.0), 6) AS material_mean_qty
 FROM LG g LEFT JOIN PM pm USING (user_id, item_id) LEFT JOIN IM im USING (item_id)""")
 def forecast_features(spark, sf):
-    f = fc.forecast_features(V.demand_interactions(spark, sf))
+    d = V.demand_interactions(spark, sf)
+    f = fc.forecast_features(d, _weeks(spark, sf, d))
     return f.select(*[r6(F.col(c)).alias(c) if c in ("rolling_mean_3", "owner_mean_qty", "material_mean_qty") else F.col(c)
                       for c in f.columns])
 
@@ -150,8 +159,9 @@ def forecast_features(spark, sf):
 def forecast_next_week(spark, sf):
     """D3 for every observed (supplier, category) pair, model fitted on the same series."""
     d = V.demand_interactions(spark, sf)
-    model = fc.fit_demand(d)
-    return fc.forecast_next_week(d, d.select("user_id", "item_id"), model).withColumn(
+    weeks = _weeks(spark, sf, d)
+    model = fc.fit_demand(d, weeks)
+    return fc.forecast_next_week(d, weeks.select("user_id", "item_id"), model, weeks).withColumn(
         "forecast_qty", r4(F.col("forecast_qty")))
 
 
