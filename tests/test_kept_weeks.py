@@ -1,4 +1,4 @@
-"""Fit and forecasts from sums by pair and week kept once."""
+"""Fit, forecasts and the raw ranker from sums by pair and week kept once."""
 
 import datetime as dt
 import math
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater import session
 from tidewater.operators import forecasting as fc
+from tidewater.operators import rankers as rk
 from tidewater.plans import evaluation as pe
 
 SCHEMA = "user_id long, item_id long, interaction_type string, category string, quantity int, price double, interaction_timestamp timestamp_ntz"
@@ -62,6 +63,26 @@ def test_forecasts_read_kept_weeks_alone(events):
     assert got.keys() == want.keys() and all(close(got[k], want[k]) for k in want)
 
 
+def test_raw_ranker_reads_kept_weeks_alone(spark, events):
+    materials = spark.createDataFrame([(i, f"m{i}", f"c{i}", 2.0 * i, f"word{i}") for i in (1, 2, 3, 4)],
+                                      "material_id long, material_name string, category string, price double, description string")
+    weeks, model = session.cut_lineage(fc.pair_weeks(events, len(ROWS), times=True)), (1.0, [0.1, 0.0, 0.0, 0.0, 0.5, 0.25])
+    out = rk.recommend_materials_raw(unread(events), materials, weeks.select("user_id"), model, 4, weeks).collect()
+    forecast = {(r.user_id, r.item_id): r.forecast_qty for r in fc.forecast_next_week(events, None, model).collect()}
+    urgency = {(r.user_id, r.item_id): r for r in fc.reorder_urgency(events).collect() if r.user_id is not None}
+    mean = {1: 82 / 8, 2: 32 / 4, 3: 8.0, 4: 10.0}
+    assert len(out) == 4 * 4 and {r.user_id for r in out} == {1, 2, 3, 4}
+    held = {u: {i for v, i, *_ in ROWS if v == u} for u in (1, 2, 3, 4)}
+    for r in out:
+        key = r.user_id, r.material_id
+        u, q = urgency.get(key), forecast.get(key, mean[r.material_id])
+        sim = 1 / len(held[r.user_id]) if r.material_id in held[r.user_id] else 0.0  # no two items share a word
+        score = 0.3 * min(1, u.n_purchases / 15) + 0.3 * u.urgency if u else 0.0
+        assert abs(r.score - (score + 0.2 * min(1, q / 200) + 0.2 * sim)) < 6e-5
+        assert r.predicted_demand_qty == round(q + 1e-12, 1)
+        assert (r.urgency_days_elapsed, r.urgency_cycle_days) == ((u.days_elapsed or 0, int(u.cycle_days)) if u else (0, 0))
+
+
 def test_forecast_is_evaluated_from_few_reads_of_the_lines(spark, tmp_path, monkeypatch):
     lines = [(o, o % 3, o % 4, "RN"[o % 2], float(1 + o % 7), dt.datetime(2024, 1, 1) + dt.timedelta(days=5 * o % 400)) for o in range(200)]
     spark.createDataFrame([(o, 1, s, p, f, q, d) for o, s, p, f, q, d in lines], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, "
