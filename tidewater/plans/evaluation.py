@@ -61,7 +61,7 @@ REL AS (SELECT DISTINCT user_id, item_id FROM C_TEST WHERE interaction_type IN (
 """
 
 
-def _customer_split(spark, sf):
+def customer_split(spark, sf):
     c = V.customer_interactions(spark, sf)
     train, test = ev.temporal_split(c, C_ORDER, TRAIN_FRACTION)
     feats = cut_lineage(fe.customer_features(train, V.products(spark, sf)))
@@ -73,7 +73,7 @@ def _customer_split(spark, sf):
 SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, count(*) AS n_items FROM REL GROUP BY user_id""")
 def relevance_sets(spark, sf):
     """Relevant test items per eligible user, as a sorted joined string."""
-    _, rel = _customer_split(spark, sf)
+    _, rel = customer_split(spark, sf)
     return rel.groupBy("user_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string").cast("long"))).cast("array<string>"), ",").alias("items"),
         F.count("*").alias("n_items"))
@@ -83,7 +83,7 @@ def relevance_sets(spark, sf):
 SELECT DISTINCT user_id FROM C_TEST WHERE interaction_type IN ('purchase', 'click') AND user_id IN (SELECT user_id FROM CF)""")
 def eval_users_semi(spark, sf):
     """Test users with purchase/click who exist in the training features (left semi)."""
-    _, rel = _customer_split(spark, sf)
+    _, rel = customer_split(spark, sf)
     return rel.select("user_id").distinct()
 
 
@@ -113,14 +113,35 @@ def eval_products_sql(alpha: float) -> str:
             + topk_backfill_sql("(SELECT DISTINCT user_id FROM REL)", "POPF", 10) + _metrics_sql((5, 10), "", True))
 
 
+def list_metrics(recs, rel):
+    """V1-V3 at 5 and 10 of ranked lists (user_id, rank, item_id) against the relevant pairs ``rel``."""
+    return ev.ranking_metrics(recs, rel, (5, 10)).select("metric", r6(F.col("value")).alias("value"))
+
+
 def product_metrics(spark, sf, alpha: float):
     """V1-V3 of the feature-path hybrid ranker with this blend on the temporal split."""
-    feats, rel = _customer_split(spark, sf)
+    feats, rel = customer_split(spark, sf)
     scores = feats.select("user_id", "item_id", F.col("weighted_score").alias("score"))
     users = rel.select("user_id").distinct()
     recs = rk.recommend_products(scores, V.products(spark, sf), rk.popular_from_features(feats), users, 10, alpha)
-    m = ev.ranking_metrics(recs.select("user_id", "rank", F.col("product_id").alias("item_id")), rel, (5, 10))
-    return m.select("metric", r6(F.col("value")).alias("value"))
+    return list_metrics(recs.select("user_id", "rank", F.col("product_id").alias("item_id")), rel)
+
+
+MODEL_COLUMNS = ("part", "user_id", "item_id", "rank", "score", "source", "alpha")
+
+
+def product_models(spark, sf, alphas: tuple[float, ...], feats, users):
+    """For each blend its model (``MODEL_COLUMNS``), fitted on ``feats``: the score of every pair, the popular list and the
+    10 best products of each of ``users``. Text scores and ranges are made once for all blends."""
+    products = V.products(spark, sf)
+    scores, popular = feats.select("user_id", "item_id", F.col("weighted_score").alias("score")), cut_lineage(rk.popular_from_features(feats))
+    picks = cut_lineage(rk.blended_picks(scores, products, 10, alphas))
+    for alpha in alphas:
+        recs = rk.recommend_products(scores, products, popular, users, 10, alpha, picks)
+        model = recs.select(F.lit("list").alias("part"), "user_id", F.col("product_id").alias("item_id"), "rank", "score", "source")
+        model = model.unionByName(scores.select(F.lit("score").alias("part"), "user_id", "item_id", "score"), allowMissingColumns=True)
+        model = model.unionByName(popular.select(F.lit("popular").alias("part"), "item_id", F.col("pos").cast("long").alias("rank")), allowMissingColumns=True)
+        yield model.withColumn("alpha", F.lit(float(alpha))).select(*MODEL_COLUMNS)
 
 
 @query("eval_products", eval_products_sql(HYBRID_ALPHA))

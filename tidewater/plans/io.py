@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.functions import r6
+from tidewater.functions import TRAIN_FRACTION, r6
 from tidewater.operators import evaluation as ev
 from tidewater.operators import features as fe
+from tidewater.operators import validation
+from tidewater.plans import evaluation as pe
 from tidewater.plans.customer import CUSTOMER_FEATURES_SQL, _round_features
 from tidewater.plans.registry import query
 from tidewater.plans.sqlviews import with_views
+from tidewater.session import cut_lineage
 from tidewater.sources import contract, files, loads, sinks
 from tidewater.sources import views as V
 from tidewater.sources.store import FeatureStore
@@ -269,8 +272,7 @@ CANDIDATE_ALPHAS = (0.4, 0.8)
 
 def _gate_sql() -> str:
     """Precision of each candidate, then the gate: at least the precision promoted before."""
-    from tidewater.plans.evaluation import eval_products_sql
-    runs = " UNION ALL ".join(f"SELECT {i} AS nth, {a} AS alpha, (SELECT value FROM ({eval_products_sql(a)}) WHERE metric = 'precision_at_5') AS p5"
+    runs = " UNION ALL ".join(f"SELECT {i} AS nth, {a} AS alpha, (SELECT value FROM ({pe.eval_products_sql(a)}) WHERE metric = 'precision_at_5') AS p5"
                               for i, a in enumerate(CANDIDATE_ALPHAS, 1))
     return f"""WITH RUNS AS ({runs}),
 G AS (SELECT *, COALESCE(max(p5) OVER (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS baseline FROM RUNS)
@@ -281,19 +283,32 @@ SELECT 'candidate-' || nth AS run_id, CAST(alpha AS DOUBLE) AS alpha, p5 AS prec
 @query("promote_if_better", _gate_sql())
 def promote_if_better(spark, sf):
     """Two candidates (blends), each with its model table as a version; the pointer moves to a
-    candidate whose precision@5 on the temporal split is at least that of the promoted one."""
-    from tidewater.plans.evaluation import product_metrics
-    store = FeatureStore(spark, files.shared_scratch(spark, "promotion"))
-    decisions, baseline = [], 0.0
-    for i, alpha in enumerate(CANDIDATE_ALPHAS, 1):
-        metrics = product_metrics(spark, sf, alpha).withColumn("alpha", F.lit(alpha))
-        version = store.save(metrics, "customer_model")
-        p5 = store.load("customer_model", version).where(F.col("metric") == "precision_at_5").first()["value"]
+    candidate whose precision@5 on the temporal split is at least that of the promoted one.
+
+    As a training run does: the training features are kept as a version and checked (violations go to the run log and
+    stop nothing), each candidate's model is kept as a version and measured as loaded from it, and its parameters and
+    metrics are a run of the log, from which the gate takes both precisions."""
+    store, runs = FeatureStore(spark, files.shared_scratch(spark, "promotion")), files.shared_scratch(spark, "runs")
+    feats, rel = pe.customer_split(spark, sf)
+    trained = store.save(feats, "customer_features")
+    feats, rel = store.load("customer_features", trained), cut_lineage(rel)
+    checks = validation.validation_counts(feats, "customer")
+    checks = checks.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in checks.columns])).alias("x")).select("x.*")
+    checks = cut_lineage(checks)
+    logged = lambda run: {r["name"]: r["value"] for r in spark.read.parquet(runs).where((F.col("run_id") == run) & (F.col("type") == "metric")).collect()}
+    decisions, promoted = [], None
+    models = pe.product_models(spark, sf, CANDIDATE_ALPHAS, feats, rel.select("user_id").distinct())
+    for i, (alpha, model) in enumerate(zip(CANDIDATE_ALPHAS, models), 1):
+        version, run = store.save(model, "customer_model"), f"candidate-{i}"
+        lists = store.load("customer_model", version).where(F.col("part") == "list").select("user_id", "rank", "item_id")
+        params = {"alpha": alpha, "train_fraction": TRAIN_FRACTION, "feature_version": trained, "model_version": version}
+        sinks.append_run(spark, runs, run, "customer", params, pe.list_metrics(lists, rel).unionByName(checks))
+        p5, baseline = float(logged(run)["precision_at_5"]), float(logged(promoted)["precision_at_5"]) if promoted else 0.0
         ok = ev.should_promote(p5, baseline)
         if ok:
-            store.save(spark.createDataFrame([(version, float(p5))], "version int, precision_at_5 double"), "customer_pointer")
-        decisions.append((version, f"candidate-{i}", alpha, float(p5), float(baseline), ok))
-        baseline = p5 if ok else baseline
+            store.save(spark.createDataFrame([(version, run)], "version int, run_id string"), "customer_pointer")
+            promoted = store.load("customer_pointer").first()["run_id"]
+        decisions.append((version, run, alpha, p5, baseline, ok))
     pointer = store.load("customer_pointer").select(F.col("version").alias("at"))
     rows = spark.createDataFrame(decisions, "version int, run_id string, alpha double, precision_at_5 double, baseline double, promoted boolean")
     current = rows.join(pointer, rows.version == pointer["at"], "left")
